@@ -57,9 +57,10 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         " THEN 0 ELSE l_suppkey % 20 END AS e",
         "(l_orderkey + l_linenumber) % 50 = 0 AS failed",
     )
-    return items.join(
-        _orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")
-    ).selectExpr(
+    joined = items.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    # The small check tables are one file each; without this one task would write
+    # all the JSON. Real logs come in many files.
+    return joined.repartition(spark.sparkContext.defaultParallelism).selectExpr(
         "*",
         "dur * (500000 + 8000 * qty) AS cpu",
         "dur * discount * 3 DIV 100 AS gc",

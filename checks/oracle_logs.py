@@ -1,7 +1,9 @@
 """SQL answers for the event-log tables and reports, straight from the tables.
 
 Nothing here goes through JSON: `t` is one row per task, `s` per stage, `j` per
-job, `x` per SQL execution, derived from line items, orders, customers and parts.
+job, `p` per SQL execution, derived from line items, orders, customers and parts.
+Milliseconds are rounded to seconds as decimals: Spark rounds the printed number,
+and in binary 0.285 is not a tie.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ j AS (
 a AS (
     SELECT 'c-0001' AS cluster_id,
            'application_1700000000_' || lpad(CAST(k AS VARCHAR), 4, '0') AS app_id, k,
-           min(submit) - 1000 AS begin_ms, max(submit) + 40 * 86400000 AS finish_ms
+           min(submit) - 1000 AS begin_ms, max(submit) + CAST(40 AS BIGINT) * 86400000 AS finish_ms
     FROM o GROUP BY k),
 ex AS (SELECT DISTINCT cluster_id, app_id, k, e FROM t),
 p AS (
@@ -199,13 +201,13 @@ jt AS (
 jc AS (
     SELECT jp.cluster_id, jp.app_id, jp.job_id, CAST(jp.job_id AS VARCHAR) AS job_id_str,
            status, job_result, submit_ts, complete_ts, duration_ms,
-           round(duration_ms / 1000.0::DOUBLE, 1) AS duration_sec, duration_min,
+           CAST(round(CAST(duration_ms AS DECIMAL(18, 0)) * 0.001, 1) AS DOUBLE) AS duration_sec, duration_min,
            concurrent_jobs_at_start, tasks AS job_total_tasks,
            round(cpu / 1e9, 2) AS total_cpu_time_sec,
-           round(run / 1000.0::DOUBLE, 1) AS total_exec_run_time_sec,
+           CAST(round(CAST(run AS DECIMAL(18, 0)) * 0.001, 1) AS DOUBLE) AS total_exec_run_time_sec,
            round(cpu / 1e6 / greatest(run, 1) * 100, 1) AS job_cpu_efficiency_pct,
            round(mean_cpu / 1e6, 1) AS avg_task_cpu_time_ms,
-           round(gc / 1000.0::DOUBLE, 1) AS total_gc_time_sec
+           CAST(round(CAST(gc AS DECIMAL(18, 0)) * 0.001, 1) AS DOUBLE) AS total_gc_time_sec
     FROM jp JOIN cc USING (app_id, job_id) LEFT JOIN jt USING (app_id, job_id))
 """
 
@@ -260,7 +262,7 @@ xn AS (
 xx AS (
     SELECT xl.cluster_id, xl.app_id, CAST(e AS VARCHAR) AS executor_id, 'h' || e AS host,
            CAST(4 + e % 3 AS INTEGER) AS total_cores, begin_ms + 500 + e AS add_ts,
-           CASE WHEN e % 5 = 0 THEN begin_ms + 86400000 * (e + 1) END AS remove_ts,
+           CASE WHEN e % 5 = 0 THEN begin_ms + CAST(86400000 AS BIGINT) * (e + 1) END AS remove_ts,
            CASE WHEN e % 5 = 0 THEN 'idle' END AS removed_reason,
            CAST(e % 2 AS INTEGER) AS resource_profile_id,
            CAST(4096 * (e % 2 + 1) AS DOUBLE) AS onheap_memory_mb,
@@ -284,7 +286,7 @@ xx AS (
 SQLS = """,
 sq AS (
     SELECT cluster_id, app_id, p_partkey AS execution_id, 'run ' || p_name AS description_short,
-           start_ms AS start_ts, round((end_ms - start_ms) / 1000.0::DOUBLE, 2) AS duration_sec,
+           start_ms AS start_ts, CAST(round(CAST((end_ms - start_ms) AS DECIMAL(18, 0)) * 0.001, 2) AS DOUBLE) AS duration_sec,
            CASE WHEN p_size <> 49 THEN 3 END AS total_operators,
            CASE WHEN p_size <> 49 THEN CAST(fast <> '' AS INTEGER)
                 + CAST(join_name LIKE 'Photon%' AS INTEGER) END AS photon_operators,
@@ -391,7 +393,7 @@ SELECT ex.cluster_id, ex.app_id, 'SparkListenerExecutorAdded' AS event_type,
 FROM ex JOIN a USING (k)
 UNION ALL
 SELECT ex.cluster_id, ex.app_id, 'SparkListenerExecutorRemoved', CAST(e AS VARCHAR),
-       begin_ms + 86400000 * (e + 1), NULL, NULL, 'idle', NULL
+       begin_ms + CAST(86400000 AS BIGINT) * (e + 1), NULL, NULL, 'idle', NULL
 FROM ex JOIN a USING (k) WHERE e % 5 = 0
 """,
     "silver_resource_profiles": BASE + """
@@ -457,11 +459,11 @@ jd AS (SELECT * EXCLUDE (job_id), CAST(job_id AS VARCHAR) AS job_id_str,
 """, "jd"),
     "stage": (PROFILE + """,
 sd AS (SELECT *, CAST(stage_id AS VARCHAR) AS stage_id_str,
-              round(scheduling_delay_ms / 1000.0::DOUBLE, 2) AS scheduling_delay_sec,
-              round(shuffle_fetch_wait_ms / 1000.0::DOUBLE, 2) AS shuffle_fetch_wait_sec,
-              round(task_p50_ms / 1000.0::DOUBLE, 3) AS task_p50_sec,
-              round(task_max_ms / 1000.0::DOUBLE, 3) AS task_max_sec,
-              round(time_skew_gap_ms / 1000.0::DOUBLE, 3) AS time_skew_gap_sec FROM st)
+              CAST(round(CAST(scheduling_delay_ms AS DECIMAL(18, 0)) * 0.001, 2) AS DOUBLE) AS scheduling_delay_sec,
+              CAST(round(CAST(shuffle_fetch_wait_ms AS DECIMAL(18, 0)) * 0.001, 2) AS DOUBLE) AS shuffle_fetch_wait_sec,
+              CAST(round(CAST(task_p50_ms AS DECIMAL(18, 0)) * 0.001, 3) AS DOUBLE) AS task_p50_sec,
+              CAST(round(CAST(task_max_ms AS DECIMAL(18, 0)) * 0.001, 3) AS DOUBLE) AS task_max_sec,
+              CAST(round(CAST(time_skew_gap_ms AS DECIMAL(18, 0)) * 0.001, 3) AS DOUBLE) AS time_skew_gap_sec FROM st)
 """, "sd"),
     "executor": (EXECUTORS + """,
 xd AS (SELECT * EXCLUDE (is_straggler, is_underutilized, speculative_tasks),
@@ -521,12 +523,12 @@ SELECT bottleneck_type, severity, count(*) AS cnt FROM {{r}}
 GROUP BY bottleneck_type, severity ORDER BY {LEVEL}, cnt DESC
 """),
     "slowest_jobs": BASE + JOBS + """
-SELECT job_id, round(duration_ms / 1000.0::DOUBLE, 1) AS duration_sec, job_result, stage_ids
+SELECT job_id, CAST(round(CAST(duration_ms AS DECIMAL(18, 0)) * 0.001, 1) AS DOUBLE) AS duration_sec, job_result, stage_ids
 FROM jp ORDER BY duration_ms DESC NULLS LAST, cluster_id, app_id, job_id LIMIT 5
 """,
     "worst_stages": BASE + PROFILE + """
 SELECT stage_id, stage_name, bottleneck_type, severity,
-       round(duration_ms / 1000.0::DOUBLE, 1) AS duration_sec, num_tasks,
+       CAST(round(CAST(duration_ms AS DECIMAL(18, 0)) * 0.001, 1) AS DOUBLE) AS duration_sec, num_tasks,
        round(task_skew_ratio, 1) AS task_skew_ratio, round(shuffle_read_mb, 0) AS shuffle_read_mb,
        round(gc_overhead_pct, 1) AS gc_overhead_pct, recommendation
 FROM st WHERE bottleneck_type <> 'OK'

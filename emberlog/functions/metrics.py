@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,22 +33,35 @@ def millis_to_ts(ms: Column | str) -> Column:
     return F.timestamp_millis(as_column(ms))
 
 
-def first_named_value(names: Column, values: Column, wanted: Sequence[str]) -> Column:
-    """Long value of the first entry named like ``wanted``; 0 when there is none.
+def named_values(entries: Column, names: Column, wanted: Sequence[str]) -> Column:
+    """Array of (found, value), one per wanted name, from an array of Name/Value entries.
 
-    ``names`` and ``values`` are parallel arrays. Of several wanted names the
-    first that yields a number is taken; of repeated entries the first counts.
+    ``names`` are the entries' names in the same order; of repeated entries the
+    first counts. One pass over a short list of names: far less generated code
+    than one expression per name, which the JVM would refuse to compile.
     """
 
-    def at(name: str) -> Column:
+    def look_up(name: Column) -> Column:
         position = F.array_position(names, name)
-        return F.when(position > 0, to_long(F.get(values, (position - 1).cast("int"))))
+        entry = F.get(entries, (position - 1).cast("int"))
+        return F.struct(
+            F.coalesce(position > 0, F.lit(False)).alias("found"),
+            to_long(entry["Value"]).alias("value"),
+        )
 
-    present = F.lit(False)
-    for name in wanted:
-        present = present | F.coalesce(F.array_position(names, name) > 0, F.lit(False))
-    found = at(wanted[0]) if len(wanted) == 1 else F.coalesce(*[at(name) for name in wanted])
-    return F.when(present, found).otherwise(F.lit(0).cast("long"))
+    return F.transform(F.array(*[F.lit(name) for name in wanted]), look_up)
+
+
+def first_found(looked_up: Column, places: Sequence[int]) -> Column:
+    """First number among the given places of :func:`named_values`.
+
+    0 when none of the names occurs; NULL when they occur without a number.
+    """
+    hits = [F.get(looked_up, F.lit(place)) for place in places]
+    absent = F.when(
+        reduce(lambda a, b: a & b, [~hit["found"] for hit in hits]), F.lit(0).cast("long")
+    )
+    return F.coalesce(*[hit["value"] for hit in hits], absent)
 
 
 def guarded_ratio(

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from emberlog import schemas as S
 from emberlog.functions.metrics import (
     cpu_percent,
-    first_named_value,
+    first_found,
     gc_percent,
     millis_to_ts,
+    named_values,
     to_double,
     to_int,
     to_long,
@@ -106,13 +107,16 @@ def stage_events(bronze_raw_events: DataFrame) -> DataFrame:
     info = _parsed(bronze_raw_events, (S.STAGE_COMPLETED,), S.STAGE_EVENT).select(
         "cluster_id", "app_id", "source_file", "ingested_at", _field("Stage Info").alias("p")
     )
-    # A stage lists every SQL metric too: keep the internal ones once, then find
-    # each metric by its position instead of scanning the array per metric.
+    # A stage lists every SQL metric too: keep the internal ones once, take their
+    # names once, and look all wanted names up in one expression.
     internal = F.filter(
         _field("Accumulables"), lambda a: a["Name"].startswith(S.ACCUMULATOR_PREFIX)
     )
-    with_metrics = info.withColumn("m", internal).select(
-        "*", F.col("m.Name").alias("names"), F.col("m.Value").alias("values")
+    wanted = [name for names in S.STAGE_METRICS.values() for name in names]
+    with_metrics = (
+        info.withColumn("m", internal)
+        .withColumn("names", F.transform("m", lambda a: a["Name"]))
+        .withColumn("found", named_values(F.col("m"), F.col("names"), wanted))
     )
     submitted, first_task = _field("Submission Time"), _field("First Task Launched Time")
     completed, reason = _field("Completion Time"), _field("Failure Reason")
@@ -133,8 +137,8 @@ def stage_events(bronze_raw_events: DataFrame) -> DataFrame:
         .otherwise(F.lit(0))
         .alias("scheduling_delay_ms"),
         *[
-            first_named_value(F.col("names"), F.col("values"), wanted).alias(name)
-            for name, wanted in S.STAGE_METRICS.items()
+            first_found(F.col("found"), [wanted.index(n) for n in names]).alias(name)
+            for name, names in S.STAGE_METRICS.items()
         ],
         "source_file",
         "ingested_at",
