@@ -17,10 +17,9 @@ def open_counts(
     keys: Sequence[str],
     start: str,
     end: str,
-    weight: str,
     bucket_width: int = BUCKET_WIDTH,
 ) -> DataFrame:
-    """(keys, at, open): weight of intervals open at each start time.
+    """(keys, at, open): intervals open at each start time, and at each end time.
 
     An interval is open from its start to its end, both included; a NULL end is
     never reached, and an interval ending before it starts is never open.
@@ -32,8 +31,8 @@ def open_counts(
     intervals a key has.
     """
     keys = list(keys)
-    counts = F.col(end).isNull() | (F.col(end) >= F.col(start))
-    zero = F.lit(0).cast("long")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    valid = F.col(end).isNull() | (F.col(end) >= F.col(start))
     edges = (
         intervals.where(F.col(start).isNotNull())
         .select(
@@ -42,29 +41,23 @@ def open_counts(
                 F.array(
                     F.struct(
                         F.col(start).alias("at"),
-                        F.when(counts, F.col(weight)).otherwise(zero).alias("opened"),
+                        F.when(valid, one).otherwise(zero).alias("opened"),
                         zero.alias("closed"),
-                        F.lit(True).alias("asked"),
                     ),
                     F.struct(
-                        F.when(counts, F.col(end)).alias("at"),
+                        F.when(valid, F.col(end)).alias("at"),
                         zero.alias("opened"),
-                        F.col(weight).alias("closed"),
-                        F.lit(False).alias("asked"),
+                        one.alias("closed"),
                     ),
                 )
             ),
         )
-        .where(F.col("at").isNotNull())
-    )
-    per_time = (
-        edges.groupBy(*keys, "at")
-        .agg(
-            F.sum("opened").alias("opened"),
-            F.sum("closed").alias("closed"),
-            F.max("asked").alias("asked"),
-        )
         .withColumn("bucket", F.floor(F.col("at") / F.lit(bucket_width)))
+        .where(F.col("at").isNotNull() & F.col("bucket").isNotNull())
+    )
+    # Read twice below with the same columns and filters, so Spark shuffles it once.
+    per_time = edges.groupBy(*keys, "bucket", "at").agg(
+        F.sum("opened").alias("opened"), F.sum("closed").alias("closed")
     )
 
     earlier_buckets = (
@@ -85,18 +78,13 @@ def open_counts(
     in_bucket = Window.partitionBy(*keys, "bucket").orderBy("at")
     up_to_now = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before_now = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    moving = per_time.select(
-        *keys,
-        "bucket",
-        "at",
-        "asked",
-        (
-            F.sum("opened").over(up_to_now)
-            - F.coalesce(F.sum("closed").over(before_now), zero)
-        ).alias("moved"),
-    ).where("asked")
-    return moving.join(carried, [*keys, "bucket"]).select(
-        *keys, "at", (F.col("carried") + F.col("moved")).alias("open")
+    moved = F.sum("opened").over(up_to_now) - F.coalesce(
+        F.sum("closed").over(before_now), zero
+    )
+    return (
+        per_time.select(*keys, "bucket", "at", moved.alias("moved"))
+        .join(carried, [*keys, "bucket"])
+        .select(*keys, "at", (F.col("carried") + F.col("moved")).alias("open"))
     )
 
 
@@ -107,7 +95,6 @@ def interval_concurrency(
     start: str,
     end: str,
     output: str = "concurrent_at_start",
-    weight: str | None = None,
     bucket_width: int = BUCKET_WIDTH,
 ) -> DataFrame:
     """Add the number of intervals of the same keys but another id open at start.
@@ -116,12 +103,7 @@ def interval_concurrency(
     NULL start or a NULL key count nothing.
     """
     keys = list(keys)
-    counted = "_weight" if weight is None else weight
-    if weight is None:
-        intervals = intervals.withColumn(counted, F.lit(1).cast("long"))
-    columns = [c for c in intervals.columns if c != "_weight"]
-
-    everyone = open_counts(intervals, keys, start, end, counted, bucket_width)
+    everyone = open_counts(intervals, keys, start, end, bucket_width)
     # Repeated ids are rare; their own open intervals are counted the same way.
     repeated = (
         intervals.groupBy(*keys, id_column)
@@ -134,18 +116,15 @@ def interval_concurrency(
         [*keys, id_column],
         start,
         end,
-        counted,
         bucket_width,
     ).withColumnRenamed("open", "_own")
 
     valid = F.col(end).isNull() | (F.col(end) >= F.col(start))
-    itself = F.when(valid, F.col(counted)).otherwise(F.lit(0))
-    others = F.coalesce(
-        F.col("open") - F.coalesce("_own", itself), F.lit(0).cast("long")
-    )
-    asked = intervals.withColumn("at", F.col(start))
+    itself = F.when(valid, 1).otherwise(0)
+    others = F.coalesce(F.col("open") - F.coalesce("_own", itself), F.lit(0).cast("long"))
     return (
-        asked.join(everyone, [*keys, "at"], "left")
+        intervals.withColumn("at", F.col(start))
+        .join(everyone, [*keys, "at"], "left")
         .join(own, [*keys, id_column, "at"], "left")
-        .select(*columns, others.alias(output))
+        .select(*intervals.columns, others.alias(output))
     )

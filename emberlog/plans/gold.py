@@ -373,27 +373,25 @@ def job_concurrency(
     Tasks are summed per stage attempt before they meet the jobs, so a stage
     listed by several jobs multiplies one row and not its tasks.
     """
-    jobs = (
-        gold_job_performance.where(F.col("submit_ts").isNotNull())
-        .groupBy(
-            *JOB,
-            "status",
-            "job_result",
-            "submit_ts",
-            "complete_ts",
-            "duration_ms",
-            "duration_min",
-        )
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumns(
-            {
-                "submit_ms": F.unix_millis("submit_ts"),
-                "complete_ms": F.unix_millis("complete_ts"),
-            }
-        )
+    described = [
+        *JOB,
+        "status",
+        "job_result",
+        "submit_ts",
+        "complete_ts",
+        "duration_ms",
+        "duration_min",
+    ]
+    jobs = gold_job_performance.where(F.col("submit_ts").isNotNull()).select(
+        *described,
+        F.unix_millis("submit_ts").alias("submit_ms"),
+        F.unix_millis("complete_ts").alias("complete_ms"),
     )
-    concurrent = interval_concurrency(
-        jobs, APP, "job_id", "submit_ms", "complete_ms", "others", weight="copies"
+    # A job logged twice is one row with the counts of both.
+    concurrent = (
+        interval_concurrency(jobs, APP, "job_id", "submit_ms", "complete_ms", "others")
+        .groupBy(*described)
+        .agg(F.sum("others").alias("concurrent_jobs_at_start"))
     )
     cpu = (
         work_stage_task_profile.join(work_job_stage_map, STAGE)
@@ -418,7 +416,7 @@ def job_concurrency(
         "duration_ms",
         in_seconds("duration_ms", 1).alias("duration_sec"),
         "duration_min",
-        (F.col("others") * F.col("copies")).alias("concurrent_jobs_at_start"),
+        "concurrent_jobs_at_start",
         "job_total_tasks",
         F.round(F.col("cpu_ns") / F.lit(1e9), 2).alias("total_cpu_time_sec"),
         in_seconds("run_ms", 1).alias("total_exec_run_time_sec"),
