@@ -150,10 +150,18 @@ class Lake:
             self.read(name).createOrReplaceTempView(prefix + name)
 
 
-def write_table(lake: Lake, name: str) -> dict[str, int]:
-    """Make one table from its written inputs; returns the counts of its rules."""
+def write_table(lake: Lake, name: str, bronze: DataFrame | None = None) -> dict[str, int]:
+    """Make one table from its written inputs; returns the counts of its rules.
+
+    ``bronze``: Bronze as already read, to list its files once for many tables.
+    """
     table, rules = TABLES[name], TABLE_RULES.get(name, ())
-    df = table.build(*[lake.read(i) for i in table.inputs])
+    df = table.build(
+        *[
+            bronze if i == BRONZE and bronze is not None else lake.read(i)
+            for i in table.inputs
+        ]
+    )
     if not rules:
         lake.write(name, df)
         return {}
@@ -181,7 +189,8 @@ def run(
     lake = Lake(spark, output_root)
     lines = read_lines(spark, log_root, cluster_id) if lines is None else lines
     write_bronze(lake, lines, cluster_id)
-    return {name: write_table(lake, name) for name in TABLES if name != BRONZE}
+    bronze = lake.read(BRONZE)
+    return {name: write_table(lake, name, bronze) for name in TABLES if name != BRONZE}
 
 
 def table_sizes(lake: Lake) -> DataFrame:
