@@ -44,7 +44,11 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").selectExpr(
+    stored, threads = table(spark, sf_dir, "lineitem"), spark.sparkContext.defaultParallelism
+    # The small check tables are one file each, and one task would write all the JSON.
+    if stored.rdd.getNumPartitions() < threads:
+        stored = stored.repartition(threads)
+    items = stored.selectExpr(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -57,10 +61,9 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         " THEN 0 ELSE l_suppkey % 20 END AS e",
         "(l_orderkey + l_linenumber) % 50 = 0 AS failed",
     )
-    joined = items.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-    # The small check tables are one file each; without this one task would write
-    # all the JSON. Real logs come in many files.
-    return joined.repartition(spark.sparkContext.defaultParallelism).selectExpr(
+    return items.join(
+        _orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")
+    ).selectExpr(
         "*",
         "dur * (500000 + 8000 * qty) AS cpu",
         "dur * discount * 3 DIV 100 AS gc",

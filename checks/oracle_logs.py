@@ -2,7 +2,7 @@
 
 Nothing here goes through JSON: `t` is one row per task, `s` per stage, `j` per
 job, `p` per SQL execution, derived from line items, orders, customers and parts.
-Milliseconds are rounded to seconds as decimals: Spark rounds the printed number,
+Milli- and nanoseconds are rounded to seconds as decimals: Spark rounds the printed number,
 and in binary 0.285 is not a tie.
 """
 
@@ -203,7 +203,7 @@ jc AS (
            status, job_result, submit_ts, complete_ts, duration_ms,
            CAST(round(CAST(duration_ms AS DECIMAL(18, 0)) * 0.001, 1) AS DOUBLE) AS duration_sec, duration_min,
            concurrent_jobs_at_start, tasks AS job_total_tasks,
-           round(cpu / 1e9, 2) AS total_cpu_time_sec,
+           CAST(round(CAST(cpu AS DECIMAL(25, 0)) * 0.000000001, 2) AS DOUBLE) AS total_cpu_time_sec,
            CAST(round(CAST(run AS DECIMAL(18, 0)) * 0.001, 1) AS DOUBLE) AS total_exec_run_time_sec,
            round(cpu / 1e6 / greatest(run, 1) * 100, 1) AS job_cpu_efficiency_pct,
            round(mean_cpu / 1e6, 1) AS avg_task_cpu_time_ms,
