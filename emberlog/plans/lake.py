@@ -149,6 +149,26 @@ class Lake:
         for name in TABLES:
             self.read(name).createOrReplaceTempView(prefix + name)
 
+    def register_tables(self, database: str) -> None:
+        """Add the written tables to a catalog database, with comment and layer.
+
+        They are external tables over this folder. Register again after Bronze got
+        new event types.
+        """
+        catalog = self.spark.catalog
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        for name, table in TABLES.items():
+            full = f"`{database}`.`{name}`"
+            if not catalog.tableExists(full):
+                catalog.createTable(
+                    full, path=self.path(name), source="parquet", description=table.comment
+                )
+                self.spark.sql(
+                    f"ALTER TABLE {full} SET TBLPROPERTIES ('quality' = '{table.layer}')"
+                )
+            if name == BRONZE:
+                catalog.recoverPartitions(full)
+
 
 def write_table(lake: Lake, name: str, bronze: DataFrame | None = None) -> dict[str, int]:
     """Make one table from its written inputs; returns the counts of its rules.
@@ -193,6 +213,18 @@ def run(
     return {name: write_table(lake, name, bronze) for name in TABLES if name != BRONZE}
 
 
+# Session settings that name the input.
+LOG_ROOT_SETTING = "pipeline.log_root"
+CLUSTER_ID_SETTING = "pipeline.cluster_id"
+
+
+def run_configured(spark: SparkSession, output_root: str) -> dict[str, dict[str, int]]:
+    """``run`` with the log root and cluster id taken from the session settings."""
+    return run(
+        spark, spark.conf.get(LOG_ROOT_SETTING), spark.conf.get(CLUSTER_ID_SETTING), output_root
+    )
+
+
 def table_sizes(lake: Lake) -> DataFrame:
     """(table, rows) of the written tables."""
     counts = [

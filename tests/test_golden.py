@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.plans import reports as R
-from emberlog.plans.lake import TABLES, Lake, run, table_sizes
+from emberlog.plans.lake import TABLES, Lake, run, run_configured, table_sizes
 from tests.logs import APP, CLUSTER, golden_events, write_log
 
 
@@ -141,3 +141,25 @@ def test_columns_of_the_wide_tables(lake):
     assert len(lake.read("silver_stage_events").columns) == 40
     assert len(lake.read("silver_task_events").columns) == 40
     assert len(lake.read("gold_stage_performance").columns) == 51
+
+
+def test_read_by_qualified_name(spark, lake):
+    lake.register_tables("golden_lake")
+    lake.register_tables("golden_lake")
+    got = spark.sql(
+        "SELECT count(*) FROM golden_lake.bronze_raw_events"
+        " WHERE event_type = 'SparkListenerTaskEnd'"
+    )
+    assert got.first()[0] == 250
+    assert spark.table("golden_lake.gold_job_performance").count() == 3
+    about = {r[0]: r[1] for r in spark.sql("DESCRIBE EXTENDED golden_lake.silver_task_events").collect()}
+    assert about["Comment"] == "finished tasks with their metrics"
+    assert "quality=silver" in about["Table Properties"]
+
+
+def test_input_named_by_settings(spark, tmp_path):
+    write_log(tmp_path / "logs", golden_events())
+    spark.conf.set("pipeline.log_root", str(tmp_path / "logs"))
+    spark.conf.set("pipeline.cluster_id", CLUSTER)
+    counts = run_configured(spark, str(tmp_path / "lake"))
+    assert counts["silver_job_events"] == {"rows": 6, "valid_job_id": 0}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.plans import reports as R
 from emberlog.plans.lake import BRONZE, Lake, run
-from emberlog.sources.history import append_history, read_history
+from emberlog.sources.history import append_history, append_history_table, read_history
 from emberlog.streaming.bronze import append_bronze
 from tests.logs import CLUSTER, app_start, job_start, sql_end, sql_start, tables_of, write_log
 
@@ -24,6 +24,8 @@ def test_history_appends(spark, tmp_path):
     assert append_history(spark, path, [entry]).count() == 1
     append_history(spark, path, [{**entry, "model_name": "n"}, {**entry, "summary_text": None}])
     assert read_history(spark, path).count() == 3
+    for rows in (1, 2):
+        assert append_history_table(spark, "default.history", [entry]).count() == rows
     assert [f.dataType.simpleString() for f in read_history(spark, path).schema] == [
         "timestamp", "string", "string", "string", "string", "int", "int",
     ]
