@@ -106,7 +106,9 @@ def concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
             day_millis("o_orderdate") + F.col("o_orderkey") % 40 * DAY_MS,
         ).alias("ends"),
     )
-    return interval_concurrency(orders, ["lane"], "o_orderkey", "begins", "ends", "others")
+    return interval_concurrency(
+        orders, ["lane"], "o_orderkey", "begins", "ends", "others", unique_ids=True
+    )
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:

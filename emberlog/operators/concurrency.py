@@ -96,14 +96,23 @@ def interval_concurrency(
     end: str,
     output: str = "concurrent_at_start",
     bucket_width: int = BUCKET_WIDTH,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Add the number of intervals of the same keys but another id open at start.
 
-    Ids may repeat: intervals sharing an id never count each other. Rows with a
-    NULL start or a NULL key count nothing.
+    Ids may repeat: intervals sharing an id never count each other. Where they
+    cannot, ``unique_ids`` saves the search for repeats. Rows with a NULL start
+    or a NULL key count nothing.
     """
     keys = list(keys)
     everyone = open_counts(intervals, keys, start, end, bucket_width)
+    valid = F.col(end).isNull() | (F.col(end) >= F.col(start))
+    itself = F.when(valid, 1).otherwise(0)
+    nothing = F.lit(0).cast("long")
+    counted = intervals.withColumn("at", F.col(start)).join(everyone, [*keys, "at"], "left")
+    if unique_ids:
+        others = F.coalesce(F.col("open") - itself, nothing)
+        return counted.select(*intervals.columns, others.alias(output))
     # Repeated ids are rare; their own open intervals are counted the same way.
     repeated = (
         intervals.groupBy(*keys, id_column)
@@ -119,12 +128,7 @@ def interval_concurrency(
         bucket_width,
     ).withColumnRenamed("open", "_own")
 
-    valid = F.col(end).isNull() | (F.col(end) >= F.col(start))
-    itself = F.when(valid, 1).otherwise(0)
-    others = F.coalesce(F.col("open") - F.coalesce("_own", itself), F.lit(0).cast("long"))
-    return (
-        intervals.withColumn("at", F.col(start))
-        .join(everyone, [*keys, "at"], "left")
-        .join(own, [*keys, id_column, "at"], "left")
-        .select(*intervals.columns, others.alias(output))
+    others = F.coalesce(F.col("open") - F.coalesce("_own", itself), nothing)
+    return counted.join(own, [*keys, id_column, "at"], "left").select(
+        *intervals.columns, others.alias(output)
     )

@@ -5,6 +5,8 @@ Sorted reports end in unique columns so that equal values keep one order.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -296,6 +298,14 @@ def least_accelerated(executions: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def first_rows(df: DataFrame, n: int = 10) -> list[dict]:
+    """At most ``n`` rows on the driver as plain values, ready for JSON."""
+    return [
+        {k: float(v) if isinstance(v, Decimal) else v for k, v in row.asDict().items()}
+        for row in df.limit(n).collect()
+    ]
+
+
 # --- counters, chart series, scatter and detail tables --------------------------------
 
 # Counter -> (aggregate, column).

@@ -46,6 +46,20 @@ def test_concurrency_equals_its_definition(spark, seed, width):
     assert sorted(map(tuple, got), key=repr) == sorted(pairwise(rows), key=repr)
 
 
+def test_concurrency_of_unique_ids(spark):
+    draw = random.Random(6)
+    rows = []
+    for number in range(200):
+        start = draw.randrange(50)
+        end = draw.choice([None, start + draw.randrange(-5, 20)])
+        rows.append((draw.choice("ab"), number, start, end))
+    df = spark.createDataFrame(rows, "k string, id int, s long, e long")
+    got = interval_concurrency(
+        df, ["k"], "id", "s", "e", "n", bucket_width=8, unique_ids=True
+    ).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(pairwise(rows), key=repr)
+
+
 def test_concurrency_of_null_starts_and_keys(spark):
     rows = [("a", 1, None, 5), (None, 2, 1, 5), (None, 3, 1, 5), ("a", 4, 1, None), ("a", 5, 2, 2)]
     df = spark.createDataFrame(rows, "k string, id int, s long, e long")

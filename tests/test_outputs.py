@@ -63,6 +63,12 @@ def test_sql_reports(spark):
     assert low == ["q5", "q38", "q36", "q34", "q32"]  # unknown share first, then slowest
 
 
+def test_first_rows(spark):
+    df = spark.range(30).selectExpr("id", "cast(1.5 AS decimal(4, 2)) AS d", "NULL AS n")
+    assert R.first_rows(df, 2) == [{"id": 0, "d": 1.5, "n": None}, {"id": 1, "d": 1.5, "n": None}]
+    assert len(R.first_rows(df)) == 10
+
+
 def test_charts_are_sorted_where_asked(spark):
     df = spark.createDataFrame([("1", "OK", 1.0), ("2", "OK", None), ("3", "OK", 7.0)],
                                "stage_id_str string, bottleneck_type string, shuffle_read_mb double")
