@@ -112,14 +112,16 @@ TABLES: dict[str, Table] = {
 
 
 def build_tables(bronze: DataFrame, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
-    """Every table as a lazy DataFrame over tagged lines, nothing written."""
+    """Tables as lazy DataFrames over tagged lines, nothing written; all by default."""
     made = {BRONZE: bronze}
-    for name, table in TABLES.items():
-        if name == BRONZE:
-            continue
-        df = table.build(*[made[i] for i in table.inputs])
-        made[name] = drop_bad_rows(df, TABLE_RULES.get(name, ()))
-    return made if names is None else {n: made[n] for n in names}
+
+    def build(name: str) -> DataFrame:
+        if name not in made:
+            df = TABLES[name].build(*[build(i) for i in TABLES[name].inputs])
+            made[name] = drop_bad_rows(df, TABLE_RULES.get(name, ()))
+        return made[name]
+
+    return {name: build(name) for name in (TABLES if names is None else names)}
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
         "tests",
         "local[8]",
         {
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

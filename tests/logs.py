@@ -246,9 +246,19 @@ def lines_df(spark, events, app=APP):
     return spark.createDataFrame(rows, "value string, source_file string")
 
 
+class Tables:
+    """Tables over the given events, each built when asked for."""
+
+    def __init__(self, bronze):
+        self.bronze = bronze
+
+    def __getitem__(self, name):
+        from emberlog.plans.lake import build_tables
+
+        return build_tables(self.bronze, [name])[name]
+
+
 def tables_of(spark, events, app=APP):
-    """Every table as a lazy DataFrame over the given events."""
-    from emberlog.plans.lake import build_tables
     from emberlog.sources.eventlog import tag_events
 
-    return build_tables(tag_events(lines_df(spark, events, app), CLUSTER))
+    return Tables(tag_events(lines_df(spark, events, app), CLUSTER))
