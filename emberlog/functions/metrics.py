@@ -33,35 +33,28 @@ def millis_to_ts(ms: Column | str) -> Column:
     return F.timestamp_millis(as_column(ms))
 
 
-def named_values(entries: Column, names: Column, wanted: Sequence[str]) -> Column:
-    """Array of (found, value), one per wanted name, from an array of Name/Value entries.
+def named_positions(names: Column, wanted: Sequence[str]) -> Column:
+    """Array with the place of each wanted name in ``names`` (from 1; 0 when absent).
 
-    ``names`` are the entries' names in the same order; of repeated entries the
-    first counts. One pass over a short list of names: far less generated code
-    than one expression per name, which the JVM would refuse to compile.
+    Of repeated names the first counts. One expression for all names: a search
+    per output column would generate more code than the JVM compiles.
     """
-
-    def look_up(name: Column) -> Column:
-        position = F.array_position(names, name)
-        entry = F.get(entries, (position - 1).cast("int"))
-        return F.struct(
-            F.coalesce(position > 0, F.lit(False)).alias("found"),
-            to_long(entry["Value"]).alias("value"),
-        )
-
-    return F.transform(F.array(*[F.lit(name) for name in wanted]), look_up)
+    return F.transform(
+        F.array(*[F.lit(name) for name in wanted]), lambda name: F.array_position(names, name)
+    )
 
 
-def first_found(looked_up: Column, places: Sequence[int]) -> Column:
-    """First number among the given places of :func:`named_values`.
+def first_found(entries: Column, positions: Column, places: Sequence[int]) -> Column:
+    """First number among the entries at some of :func:`named_positions`.
 
     0 when none of the names occurs; NULL when they occur without a number.
     """
-    hits = [F.get(looked_up, F.lit(place)) for place in places]
-    absent = F.when(
-        reduce(lambda a, b: a & b, [~hit["found"] for hit in hits]), F.lit(0).cast("long")
-    )
-    return F.coalesce(*[hit["value"] for hit in hits], absent)
+    found = [F.get(positions, F.lit(place)) for place in places]
+    values = [
+        F.when(at > 0, to_long(F.get(entries, (at - 1).cast("int"))["Value"])) for at in found
+    ]
+    absent = reduce(lambda a, b: a & b, [F.coalesce(at, F.lit(0)) == 0 for at in found])
+    return F.coalesce(*values, F.when(absent, F.lit(0).cast("long")))
 
 
 def guarded_ratio(

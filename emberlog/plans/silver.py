@@ -11,7 +11,7 @@ from emberlog.functions.metrics import (
     first_found,
     gc_percent,
     millis_to_ts,
-    named_values,
+    named_positions,
     to_double,
     to_int,
     to_long,
@@ -116,7 +116,7 @@ def stage_events(bronze_raw_events: DataFrame) -> DataFrame:
     with_metrics = (
         info.withColumn("m", internal)
         .withColumn("names", F.transform("m", lambda a: a["Name"]))
-        .withColumn("found", named_values(F.col("m"), F.col("names"), wanted))
+        .withColumn("places", named_positions(F.col("names"), wanted))
     )
     submitted, first_task = _field("Submission Time"), _field("First Task Launched Time")
     completed, reason = _field("Completion Time"), _field("Failure Reason")
@@ -137,7 +137,7 @@ def stage_events(bronze_raw_events: DataFrame) -> DataFrame:
         .otherwise(F.lit(0))
         .alias("scheduling_delay_ms"),
         *[
-            first_found(F.col("found"), [wanted.index(n) for n in names]).alias(name)
+            first_found(F.col("m"), F.col("places"), [wanted.index(n) for n in names]).alias(name)
             for name, names in S.STAGE_METRICS.items()
         ],
         "source_file",
