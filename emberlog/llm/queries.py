@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.common import table
+from emberlog.llm.language import languages
 from emberlog.llm.packing import pack
+from emberlog.llm.simhash import near_duplicates
+from emberlog.llm.templates import contamination
 from emberlog.llm.token_files import token_files
 from emberlog.llm.transducer import token_counts
 
@@ -16,6 +19,20 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return token_files(documents, public_tokenizers.path(WORD_TOKENIZER))
@@ -32,6 +49,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
+    "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
