@@ -169,18 +169,19 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, model: Filter, *carried: str) -> DataFrame:
     """The carried columns, lang_pred and score of each row, from its text alone."""
 
+    names = [*carried] if "text" in carried else [*carried, "text"]
+
     def make():
         def convert(batch: pa.RecordBatch) -> dict:
             out = {name: batch.column(n) for n, name in enumerate(carried)}
-            found = [model.decide(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [model.decide(t) for t in batch.column(names.index("text")).to_pylist()]
             return out | {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
         return convert
 
     types = dict(docs.dtypes)
     schema = "".join(f"`{c}` {types[c]}, " for c in carried) + "lang_pred string, score double"
-    text = F.col("text").alias("__text")
-    return map_batches(docs.select(*carried, text), make, schema)
+    return map_batches(docs.select(*names), make, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:

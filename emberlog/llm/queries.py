@@ -8,21 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm.common import table
+from emberlog.llm.extraction import main_text
+from emberlog.llm.imatch import fingerprint_report
 from emberlog.llm.language import languages
 from emberlog.llm.packing import pack
+from emberlog.llm.sharding import shard_documents
 from emberlog.llm.simhash import near_duplicates
 from emberlog.llm.templates import contamination
 from emberlog.llm.token_files import token_files
+from emberlog.llm.toxicity import toxicity
 from emberlog.llm.transducer import token_counts
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +50,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents, public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return pack(documents, public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
@@ -49,10 +69,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_imatch": op1_imatch,
     "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
+    "op7_sharding": op7_sharding,
+    "op8_main_text": op8_main_text,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
