@@ -5,8 +5,8 @@ A window of a text is compressed with each; it is the nearer to toxic text the m
 bytes the toxic dictionary saves. A document is scored by its windows' savings above
 thresholds that are calibrated on the labelled rows.
 
-A dictionary's content is trained as segments: beginnings of words and pieces inside
-them, chosen by the bytes they save times the documents they occur in. The toxic
+A dictionary's content is trained as segments: words and beginnings of words, chosen
+by the bytes they save times the documents they occur in. The toxic
 dictionary holds those of ordinary text too, so that the difference of two lengths is
 due to what only toxic text has.
 """
@@ -28,8 +28,8 @@ STRIDE_BYTES = 76
 # Labelled rows per class that the dictionaries and thresholds are fitted on; more are
 # thinned out by a hash of their id.
 MOST_ROWS_PER_CLASS = 3_000
-SHORTEST, LONGEST = 4, 9
-TOXIC_SEGMENTS, ORDINARY_SEGMENTS = 200, 1_500
+SHORTEST, LONGEST, LONGEST_WORD = 4, 9, 14
+TOXIC_SEGMENTS, ORDINARY_SEGMENTS = 200, 3_000
 # A toxic segment occurs in so many toxic documents at least, a count and a share, and
 # there so many times as often as in ordinary ones.
 LEAST_DOCUMENTS, LEAST_PART, LEAST_RATIO = 4, 0.01, 20.0
@@ -45,19 +45,26 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def segments(text: str) -> set[str]:
-    """Beginnings of the words, with the blank before them, and the whole words."""
+    """The words between blanks, and their beginnings and endings with one blank."""
     found = set()
     for word in set(WORD.findall(text.lower())):
-        whole = f" {word}"
-        found.add(whole[: LONGEST + 1])
-        for size in range(SHORTEST, min(len(whole), LONGEST)):
+        whole = f" {word} "
+        found.add(whole[:LONGEST_WORD])
+        for size in range(SHORTEST, min(len(whole) - 1, LONGEST)):
             found.add(whole[:size])
-        for at in range(2, len(whole) - SHORTEST + 1):
-            found.add(whole[at : at + SHORTEST])
-            found.add(whole[at : at + SHORTEST + 1])
+            found.add(whole[-size:])
     return found
 
 
+def marks(text: str) -> list[int]:
+    """Two min-hashes of the word shingles, which near copies mostly share."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    shingles = {" ".join(words[n : n + 3]) for n in range(max(1, len(words) - 2))}
+    return [min(xxh64_intdigest(s, seed) >> 1 for s in shingles) for seed in (1, 2)]
+
+
 def windows(text: str | None) -> list[bytes]:
     data = SPACE.sub(" ", f" {text or ''} ").lower().encode()
     last = max(1, len(data) - (WINDOW_BYTES - STRIDE_BYTES))
@@ -148,7 +155,7 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS_PER_CLASS
 ) -> DataFrame:
     """(text, toxic) of the labelled rows that are learned from, at most about
-    ``most_rows`` of each class."""
+    ``most_rows`` of each class, near copies once."""
     usable = (
         labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .where(crc32_mod("doc_id", 5) != 0)
@@ -164,12 +171,30 @@ def labelled_sample(
         F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share[F.col("toxic")] * scale
     )
     # At most about 2 * most_rows rows of two numbers, whatever the labels' number.
-    return (
+    rows = (
         docs.select("doc_id", "text")
         .where("text IS NOT NULL")
         .join(F.broadcast(thinned), "doc_id")
         .select("text", F.col("toxic").cast("int").alias("toxic"))
-        .dropDuplicates()
+    )
+
+    def make():
+        def convert(batch: pa.RecordBatch) -> dict:
+            found = [marks(t) for t in batch.column(0).to_pylist()]
+            return {
+                "text": batch.column(0),
+                "toxic": batch.column(1),
+                "one": [f[0] for f in found],
+                "two": [f[1] for f in found],
+            }
+
+        return convert
+
+    marked = map_batches(rows, make, "text string, toxic int, one long, two long")
+    return (
+        marked.dropDuplicates(["toxic", "one"])
+        .dropDuplicates(["toxic", "two"])
+        .select("text", "toxic")
     )
 
 
@@ -200,7 +225,8 @@ def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     saved = F.octet_length("segment") - 2.5
     rate = F.col("toxic") / toxic_docs
     base = (F.col("ordinary") + 0.5) / ordinary_docs
-    distinctive = (F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_PART * toxic_docs)) & (
+    # What marks a word stands at its beginning.
+    distinctive = F.col("segment").startswith(" ") & (F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_PART * toxic_docs)) & (
         rate >= LEAST_RATIO * base
     )
 
