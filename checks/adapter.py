@@ -17,10 +17,15 @@ CLUSTER = "c-0001"
 LOG_ROOT = "file:/logs"
 DAY_MS = 86_400_000
 MIB = 1024**2
-APP_ID = "concat('application_1700000000_', lpad(cast(k AS string), 4, '0'))"
-# A job takes the orders of one customer within this many order keys, which
-# bounds the list of stages a job line carries.
-ORDERS_PER_JOB = 10_000
+APP_ID = "concat('application_1700000000_', lpad(cast(k AS string), 12, '0'))"
+# Applications take blocks of so many order keys, five to a block, and number their
+# stages and jobs inside it: ids stay 32-bit numbers and there are more applications
+# the more orders there are. A job takes the orders of one customer in a block.
+ORDERS_PER_BLOCK = 10_000
+APPLICATION = f"5 * (o_orderkey DIV {ORDERS_PER_BLOCK}) + o_custkey % 5"
+STAGE_ID = f"o_orderkey % {ORDERS_PER_BLOCK}"
+# Of a customer's orders in a block the first one names the job.
+JOB_ID = f"min(o_orderkey) % {ORDERS_PER_BLOCK}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +42,9 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         "o_custkey",
         "o_orderstatus",
-        F.expr("o_custkey % 5").alias("k"),
+        F.expr(APPLICATION).alias("k"),
+        F.expr(STAGE_ID).alias("stage_id"),
         day_millis("o_orderdate").alias("submit"),
-        F.expr(f"o_custkey + 10000000 * (o_orderkey DIV {ORDERS_PER_JOB})").alias("job_id"),
     )
 
 
@@ -120,7 +125,7 @@ def _task_lines(tasks: DataFrame) -> DataFrame:
     )
     event = _line(
         Event="'SparkListenerTaskEnd'",
-        Stage_ID="l_orderkey",
+        Stage_ID="stage_id",
         Stage_Attempt_ID="0",
         Task_Type="'ResultTask'",
         Task_End_Reason=_line(Reason="if(failed, 'ExceptionFailure', 'Success')"),
@@ -160,7 +165,7 @@ STAGE_SUMS = {
 
 def _stage_lines(tasks: DataFrame) -> DataFrame:
     sums = {f"a{n}": expr for n, expr in enumerate(STAGE_SUMS.values())}
-    stages = tasks.groupBy("k", "o_orderkey", "o_orderstatus", "submit").agg(
+    stages = tasks.groupBy("k", "stage_id", "o_orderkey", "o_orderstatus", "submit").agg(
         F.count(F.lit(1)).alias("tasks"),
         F.max("dur").alias("longest"),
         *[F.expr(expr).alias(name) for name, expr in sums.items()],
@@ -174,7 +179,7 @@ def _stage_lines(tasks: DataFrame) -> DataFrame:
                 _line(ID=str(n + 1), Name=f"'internal.metrics.{name}'", Value=value(f"a{n}"))
             )
         info = _line(
-            Stage_ID="o_orderkey",
+            Stage_ID="stage_id",
             Stage_Attempt_ID="0",
             Stage_Name="concat('stage ', o_orderkey)",
             Number_of_Tasks="tasks",
@@ -194,10 +199,11 @@ def _stage_lines(tasks: DataFrame) -> DataFrame:
 
 
 def _job_lines(orders: DataFrame) -> DataFrame:
-    jobs = orders.groupBy("k", "job_id", "o_custkey").agg(
+    jobs = orders.groupBy("k", "o_custkey").agg(
+        F.expr(JOB_ID).alias("job_id"),
         F.min("submit").alias("first"),
         F.count(F.lit(1)).alias("n"),
-        F.sort_array(F.collect_list("o_orderkey")).alias("ids"),
+        F.sort_array(F.collect_list("stage_id")).alias("ids"),
     )
     start = _line(
         Event="'SparkListenerJobStart'",
@@ -215,16 +221,17 @@ def _job_lines(orders: DataFrame) -> DataFrame:
     return jobs.selectExpr("k", f"explode({both}) AS value").where("value IS NOT NULL")
 
 
-# Settings of every application; the last two are not kept.
+# Settings of every application, as SQL; the last two are not kept. The older spelling
+# lists the number of cores twice, and the later entry holds.
 SETTINGS = {
-    "spark.sql.adaptive.enabled": "false",
-    "spark.sql.adaptive.skewJoin.enabled": "false",
-    "spark.executor.memory": "8g",
-    "spark.executor.cores": "4",
-    "spark.sql.shuffle.partitions": "200",
-    "spark.memory.fraction": "0.6",
-    "spark.app.name": "tables",
-    "spark.driver.host": "localhost",
+    "spark.sql.adaptive.enabled": "'false'",
+    "spark.sql.adaptive.skewJoin.enabled": "'false'",
+    "spark.executor.memory": "concat(4 + k % 7, 'g')",
+    "spark.executor.cores": "'4'",
+    "spark.sql.shuffle.partitions": "cast(200 + k AS string)",
+    "spark.memory.fraction": "'0.6'",
+    "spark.app.name": "'tables'",
+    "spark.driver.host": "'localhost'",
 }
 
 
@@ -241,8 +248,11 @@ def _application_lines(orders: DataFrame) -> DataFrame:
     start_old = _line(**started, Spark_User="concat('user', k)")
     start_new = _line(**started, User="concat('user', k)")
     end = _line(Event="'SparkListenerApplicationEnd'", Timestamp="finish")
-    pairs = ", ".join(f"array('{key}', '{value}')" for key, value in SETTINGS.items())
-    entries = ", ".join(f"'{key}', '{value}'" for key, value in SETTINGS.items())
+    pairs = ", ".join(
+        ["array('spark.executor.cores', '2')"]
+        + [f"array('{key}', {value})" for key, value in SETTINGS.items()]
+    )
+    entries = ", ".join(f"'{key}', {value}" for key, value in SETTINGS.items())
     env_old = f"named_struct('Event', 'SparkListenerEnvironmentUpdate', 'Spark Properties', array({pairs}))"
     env_new = f"named_struct('Event', 'SparkListenerEnvironmentUpdate', 'Spark Properties', map({entries}))"
 
@@ -321,7 +331,7 @@ def _sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(value, source_file): the whole log of five applications, junk included."""
+    """(value, source_file): the whole log of all applications, junk included."""
     orders, tasks = _orders(spark, sf_dir), _tasks(spark, sf_dir)
     junk = table(spark, sf_dir, "documents").selectExpr("0L AS k", "text AS value")
     lines = (

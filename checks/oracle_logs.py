@@ -10,12 +10,12 @@ from __future__ import annotations
 
 BASE = """
 WITH o AS (
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_custkey % 5 AS k,
-           epoch_ms(o_orderdate) AS submit,
-           o_custkey + 10000000 * (o_orderkey // 10000) AS job_id
+    SELECT o_orderkey, o_custkey, o_orderstatus, 5 * (o_orderkey // 10000) + o_custkey % 5 AS k,
+           epoch_ms(o_orderdate) AS submit, o_orderkey % 10000 AS stage_no,
+           min(o_orderkey) OVER (PARTITION BY o_orderkey // 10000, o_custkey) % 10000 AS job_id
     FROM orders),
 t0 AS (
-    SELECT o.k, o.o_orderkey, o.o_orderstatus, o.submit, o.job_id,
+    SELECT o.k, o.o_orderkey, o.stage_no, o.o_orderstatus, o.submit, o.job_id,
            l_linenumber, l_partkey, l_suppkey,
            CAST(l_quantity AS BIGINT) AS qty,
            CAST(round(l_extendedprice) AS BIGINT) AS dur,
@@ -27,7 +27,7 @@ t0 AS (
     FROM lineitem JOIN o ON l_orderkey = o.o_orderkey),
 t AS (
     SELECT *, 'c-0001' AS cluster_id,
-           'application_1700000000_' || lpad(CAST(k AS VARCHAR), 4, '0') AS app_id,
+           'application_1700000000_' || lpad(CAST(k AS VARCHAR), 12, '0') AS app_id,
            dur * (500000 + 8000 * qty) AS cpu,
            dur * discount * 3 // 100 AS gc,
            l_partkey * 500000 AS remote_bytes, qty * 40000000 AS local_bytes,
@@ -37,7 +37,7 @@ t AS (
            CASE WHEN dur > 0 THEN (dur * (500000 + 8000 * qty)) / 1e6 / dur * 100 END AS cpu_pct
     FROM t0),
 s AS (
-    SELECT cluster_id, app_id, k, o_orderkey AS stage_id, submit,
+    SELECT cluster_id, app_id, k, stage_no AS stage_id, submit,
            'stage ' || o_orderkey AS stage_name,
            CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 = 0 THEN 'FAILED'
                 ELSE 'COMPLETED' END AS status,
@@ -58,27 +58,27 @@ s AS (
            CAST(sum(l_suppkey % 100) AS BIGINT) AS wait,
            CAST(sum(gc) AS BIGINT) / CAST(sum(dur) AS BIGINT) * 100 AS gc_pct,
            CAST(sum(cpu) AS BIGINT) / 1e6 / CAST(sum(dur) AS BIGINT) * 100 AS cpu_pct
-    FROM t GROUP BY cluster_id, app_id, k, o_orderkey, o_orderstatus, submit),
+    FROM t GROUP BY cluster_id, app_id, k, stage_no, o_orderkey, o_orderstatus, submit),
 j AS (
     SELECT 'c-0001' AS cluster_id,
-           'application_1700000000_' || lpad(CAST(k AS VARCHAR), 4, '0') AS app_id, k,
+           'application_1700000000_' || lpad(CAST(k AS VARCHAR), 12, '0') AS app_id, k,
            job_id, o_custkey, min(submit) + o_custkey AS submit,
            CASE WHEN o_custkey % 7 <> 0
                 THEN min(submit) + o_custkey + count(*) * 7 * 86400000 END AS complete,
            CASE WHEN o_custkey % 7 <> 0
                 THEN CASE WHEN o_custkey % 11 = 0 THEN 'JobFailed' ELSE 'JobSucceeded' END
            END AS job_result,
-           '[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) || ']' AS stage_ids
+           '[' || string_agg(CAST(stage_no AS VARCHAR), ',' ORDER BY stage_no) || ']' AS stage_ids
     FROM o GROUP BY k, job_id, o_custkey),
 a AS (
     SELECT 'c-0001' AS cluster_id,
-           'application_1700000000_' || lpad(CAST(k AS VARCHAR), 4, '0') AS app_id, k,
+           'application_1700000000_' || lpad(CAST(k AS VARCHAR), 12, '0') AS app_id, k,
            min(submit) - 1000 AS begin_ms, max(submit) + CAST(40 AS BIGINT) * 86400000 AS finish_ms
     FROM o GROUP BY k),
 ex AS (SELECT DISTINCT cluster_id, app_id, k, e FROM t),
 p AS (
     SELECT 'c-0001' AS cluster_id,
-           'application_1700000000_' || lpad(CAST(p_partkey % 5 AS VARCHAR), 4, '0') AS app_id,
+           'application_1700000000_' || lpad(CAST(p_partkey % 5 AS VARCHAR), 12, '0') AS app_id,
            p_partkey % 5 AS k, p_partkey, p_name, p_type, p_size,
            CASE WHEN p_size % 2 = 0 THEN 'Photon' ELSE '' END AS fast,
            1700000000000 + p_partkey * 1000 AS start_ms,
@@ -93,10 +93,20 @@ p AS (
     FROM part)
 """
 
+# Severity and advice of each bottleneck.
+ADVICE = """    ('STAGE_FAILURE', 'HIGH', 'failure_reason を確認。OOM の場合は executor memory を増加。'),
+    ('DISK_SPILL', 'HIGH', 'executor memory を増加。AQE を有効化: spark.sql.adaptive.enabled=true'),
+    ('HIGH_GC', 'MEDIUM', 'UDF・collect の見直し。オブジェクト生成を削減。G1GC チューニングを検討。'),
+    ('DATA_SKEW', 'MEDIUM', 'AQE スキュー結合を有効化: spark.sql.adaptive.skewJoin.enabled=true または JOIN キーのサルティング。'),
+    ('HEAVY_SHUFFLE', 'LOW', 'Broadcast Join を検討 (spark.sql.autoBroadcastJoinThreshold)。shuffle partitions 数を調整。'),
+    ('MEMORY_SPILL', 'LOW', 'spark.memory.fraction を増加。repartition() でパーティションサイズを削減。'),
+    ('MODERATE_GC', 'LOW', 'GC 傾向を監視。executor memory の増加を検討。'),
+    ('OK', 'NONE', 'ボトルネックなし。')"""
+
 # Per stage attempt, successful tasks only.
 PROFILE = """,
 pr AS (
-    SELECT cluster_id, app_id, o_orderkey AS stage_id, count(*) AS task_count,
+    SELECT cluster_id, app_id, stage_no AS stage_id, count(*) AS task_count,
            min(dur) AS task_min_ms, max(dur) AS task_max_ms, avg(dur) AS task_avg_ms,
            quantile_disc(dur, 0.5) AS p50, quantile_disc(dur, 0.75) AS p75,
            quantile_disc(dur, 0.95) AS p95, quantile_disc(dur, 0.99) AS p99,
@@ -108,7 +118,7 @@ pr AS (
            quantile_disc(remote_bytes + local_bytes, 0.5) AS sh_p50,
            CAST(sum(cpu) AS BIGINT) AS cpu_ns, CAST(sum(dur) AS BIGINT) AS run_ms,
            CAST(sum(gc) AS BIGINT) AS gc_ms
-    FROM t WHERE NOT failed GROUP BY cluster_id, app_id, o_orderkey),
+    FROM t WHERE NOT failed GROUP BY cluster_id, app_id, stage_no),
 st0 AS (
     SELECT s.cluster_id, s.app_id, CAST(s.stage_id AS INTEGER) AS stage_id, 0 AS attempt_id,
            stage_name, status, failure_reason, CAST(num_tasks AS INTEGER) AS num_tasks,
@@ -151,14 +161,7 @@ st1 AS (
            ELSE 'OK' END AS bottleneck_type
     FROM st0),
 advice(bottleneck_type, severity, recommendation) AS (VALUES
-    ('STAGE_FAILURE', 'HIGH', 'failure_reason を確認。OOM の場合は executor memory を増加。'),
-    ('DISK_SPILL', 'HIGH', 'executor memory を増加。AQE を有効化: spark.sql.adaptive.enabled=true'),
-    ('HIGH_GC', 'MEDIUM', 'UDF・collect の見直し。オブジェクト生成を削減。G1GC チューニングを検討。'),
-    ('DATA_SKEW', 'MEDIUM', 'AQE スキュー結合を有効化: spark.sql.adaptive.skewJoin.enabled=true または JOIN キーのサルティング。'),
-    ('HEAVY_SHUFFLE', 'LOW', 'Broadcast Join を検討 (spark.sql.autoBroadcastJoinThreshold)。shuffle partitions 数を調整。'),
-    ('MEMORY_SPILL', 'LOW', 'spark.memory.fraction を増加。repartition() でパーティションサイズを削減。'),
-    ('MODERATE_GC', 'LOW', 'GC 傾向を監視。executor memory の増加を検討。'),
-    ('OK', 'NONE', 'ボトルネックなし。')),
+""" + ADVICE + """),
 st AS (
     SELECT st1.* EXCLUDE (read_bytes, disk_spill, memory_spill), severity, recommendation
     FROM st1 JOIN advice USING (bottleneck_type))
@@ -170,9 +173,9 @@ bn AS (
            stage_name, status, severity, bottleneck_type, duration_ms, num_tasks,
            task_skew_ratio, gc_overhead_pct, disk_spill_mb, memory_spill_mb, shuffle_read_mb,
            task_p95_ms, task_p99_ms, recommendation, failure_reason
-    FROM st LEFT JOIN (SELECT k, job_id, o_orderkey FROM o) m
-      ON m.o_orderkey = st.stage_id
-     AND st.app_id = 'application_1700000000_' || lpad(CAST(m.k AS VARCHAR), 4, '0')
+    FROM st LEFT JOIN (SELECT k, job_id, stage_no FROM o) m
+      ON m.stage_no = st.stage_id
+     AND st.app_id = 'application_1700000000_' || lpad(CAST(m.k AS VARCHAR), 12, '0')
     WHERE bottleneck_type <> 'OK')
 """
 
@@ -306,8 +309,8 @@ sq AS (
 
 CONFIG = """
     ('spark.sql.adaptive.enabled', 'false'), ('spark.sql.adaptive.skewJoin.enabled', 'false'),
-    ('spark.executor.memory', '8g'), ('spark.executor.cores', '4'),
-    ('spark.sql.shuffle.partitions', '200'), ('spark.memory.fraction', '0.6')
+    ('spark.executor.memory', (4 + k % 7) || 'g'), ('spark.executor.cores', '4'),
+    ('spark.sql.shuffle.partitions', CAST(200 + k AS VARCHAR)), ('spark.memory.fraction', '0.6')
 """
 
 TABLES = {
@@ -364,7 +367,7 @@ SELECT cluster_id, app_id, CAST(stage_id AS INTEGER) AS stage_id, 0 AS attempt_i
 FROM s
 """,
     "silver_task_events": BASE + """
-SELECT cluster_id, app_id, CAST(o_orderkey AS INTEGER) AS stage_id, 0 AS attempt_id,
+SELECT cluster_id, app_id, CAST(stage_no AS INTEGER) AS stage_id, 0 AS attempt_id,
        o_orderkey * 100 + l_linenumber AS task_id, l_linenumber AS index,
        'ResultTask' AS task_type,
        CASE WHEN failed THEN 'ExceptionFailure' ELSE 'Success' END AS task_result,
@@ -404,7 +407,7 @@ FROM a, (VALUES (0), (1)) AS v(i)
 """,
     "silver_spark_config": BASE + f"""
 SELECT cluster_id, app_id, config_key, config_value
-FROM a, (VALUES {CONFIG}) AS v(config_key, config_value)
+FROM a, LATERAL (VALUES {CONFIG}) AS v(config_key, config_value)
 """,
     "silver_sql_executions": BASE + """
 SELECT cluster_id, app_id, p_partkey AS execution_id,
@@ -433,8 +436,8 @@ FROM pr
 """,
     "work_job_stage_map": BASE + """
 SELECT 'c-0001' AS cluster_id,
-       'application_1700000000_' || lpad(CAST(k AS VARCHAR), 4, '0') AS app_id,
-       CAST(job_id AS INTEGER) AS job_id, CAST(o_orderkey AS INTEGER) AS stage_id
+       'application_1700000000_' || lpad(CAST(k AS VARCHAR), 12, '0') AS app_id,
+       CAST(job_id AS INTEGER) AS job_id, CAST(stage_no AS INTEGER) AS stage_id
 FROM o
 """,
     "work_executor_load": BASE + EXECUTORS + """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.adapter import CLUSTER, DAY_MS, ORDERS_PER_JOB, day_millis, table
+from checks.adapter import CLUSTER, DAY_MS, ORDERS_PER_BLOCK, day_millis, table
 from emberlog.functions import plan_text as P
 from emberlog.functions.metrics import (
     count_where,
@@ -186,7 +186,7 @@ def explode_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lists as JSON text, parsed, exploded and joined to summed items."""
     lists = (
         table(spark, sf_dir, "orders")
-        .groupBy("o_custkey", F.expr(f"o_orderkey DIV {ORDERS_PER_JOB}").alias("part"))
+        .groupBy("o_custkey", F.expr(f"o_orderkey DIV {ORDERS_PER_BLOCK}").alias("part"))
         .agg(F.to_json(F.sort_array(F.collect_list("o_orderkey"))).alias("ids"))
     )
     pairs = explode_id_list(lists, ["o_custkey"], "ids", "l_orderkey", "bigint")
@@ -357,7 +357,9 @@ def series_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
-        F.col("l_quantity").cast("long").alias("qty"), "l_extendedprice", "l_orderkey"
+        F.col("l_quantity").cast("long").alias("qty"),
+        "l_extendedprice",
+        F.when(F.col("l_returnflag") != "N", F.col("l_orderkey")).alias("returned"),
     )
     return counters(
         items,
@@ -365,7 +367,7 @@ def kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
             "total_qty": ("SUM", "qty"),
             "mean_qty": ("AVG", "qty"),
             "max_price": ("MAX", "l_extendedprice"),
-            "items": ("COUNT", "l_orderkey"),
+            "items": ("COUNT", "returned"),
         },
     )
 

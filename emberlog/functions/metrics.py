@@ -29,32 +29,43 @@ def to_double(text: Column | str) -> Column:
     return as_column(text).try_cast("double")
 
 
+# The first and last millisecond of the years 1 to 9999.
+FIRST_MILLIS, LAST_MILLIS = -62_135_596_800_000, 253_402_300_799_999
+
+
 def millis_to_ts(ms: Column | str) -> Column:
-    return F.timestamp_millis(as_column(ms))
+    """NULL outside the years 1 to 9999: no number in a log may fail a run."""
+    ms = as_column(ms)
+    return F.when(ms.between(FIRST_MILLIS, LAST_MILLIS), F.timestamp_millis(ms))
+
+
+def difference(a: Column | str, b: Column | str) -> Column:
+    """a - b, NULL if it has no room in the type."""
+    return F.try_subtract(as_column(a), as_column(b))
 
 
-def named_positions(names: Column, wanted: Sequence[str]) -> Column:
-    """Array with the place of each wanted name in ``names`` (from 1; 0 when absent).
+def metric_map(entries: Column) -> Column:
+    """Name -> number of (Name, Value) entries; of repeated names the first counts.
 
-    Of repeated names the first counts. One expression for all names: a search
-    per output column would generate more code than the JVM compiles.
+    Names hardly ever repeat, and only then are repeats searched for.
     """
-    return F.transform(
-        F.array(*[F.lit(name) for name in wanted]), lambda name: F.array_position(names, name)
+    names = F.transform(entries, lambda e: e["Name"])
+    first = F.filter(entries, lambda e, n: F.array_position(names, e["Name"]) == n + 1)
+    unique = F.when(F.size(F.array_distinct(names)) == F.size(names), entries).otherwise(first)
+    return F.map_from_entries(
+        F.transform(unique, lambda e: F.struct(e["Name"], to_long(e["Value"])))
     )
 
 
-def first_found(entries: Column, positions: Column, places: Sequence[int]) -> Column:
-    """First number among the entries at some of :func:`named_positions`.
+def first_found(metrics: Column, names: Sequence[str]) -> Column:
+    """First number of some of these names in a :func:`metric_map`.
 
     0 when none of the names occurs; NULL when they occur without a number.
     """
-    found = [F.get(positions, F.lit(place)) for place in places]
-    values = [
-        F.when(at > 0, to_long(F.get(entries, (at - 1).cast("int"))["Value"])) for at in found
-    ]
-    absent = reduce(lambda a, b: a & b, [F.coalesce(at, F.lit(0)) == 0 for at in found])
-    return F.coalesce(*values, F.when(absent, F.lit(0).cast("long")))
+    values = [F.try_element_at(metrics, F.lit(name)) for name in names]
+    known = [F.coalesce(F.map_contains_key(metrics, name), F.lit(False)) for name in names]
+    occurs = reduce(lambda a, b: a | b, known)
+    return F.coalesce(*values, F.when(~occurs, F.lit(0).cast("long")))
 
 
 def guarded_ratio(

@@ -28,7 +28,8 @@ def open_counts(
     within fixed-width time buckets, and over bucket totals. Times are counted
     per distinct value first, so the rows of any one window partition are
     bounded by the bucket width and by the number of buckets, however many
-    intervals a key has.
+    intervals a key has. The default width is right for milliseconds; with a finer
+    unit pass a larger one, or a key's buckets meet in one task without a bound.
     """
     keys = list(keys)
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -101,34 +102,39 @@ def interval_concurrency(
     """Add the number of intervals of the same keys but another id open at start.
 
     Ids may repeat: intervals sharing an id never count each other. Where they
-    cannot, ``unique_ids`` saves the search for repeats. Rows with a NULL start
+    cannot, ``unique_ids`` saves the shuffle by id. Rows with a NULL start
     or a NULL key count nothing.
     """
     keys = list(keys)
     everyone = open_counts(intervals, keys, start, end, bucket_width)
     valid = F.col(end).isNull() | (F.col(end) >= F.col(start))
-    itself = F.when(valid, 1).otherwise(0)
     nothing = F.lit(0).cast("long")
-    counted = intervals.withColumn("at", F.col(start)).join(everyone, [*keys, "at"], "left")
     if unique_ids:
-        others = F.coalesce(F.col("open") - itself, nothing)
-        return counted.select(*intervals.columns, others.alias(output))
-    # Repeated ids are rare; their own open intervals are counted the same way.
-    repeated = (
-        intervals.groupBy(*keys, id_column)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .drop("_n")
+        counted = intervals.withColumn("_own", F.when(valid, 1).otherwise(0))
+    else:
+        counted = own_counts(intervals, [*keys, id_column], start, end)
+    others = F.coalesce(F.col("open") - F.col("_own"), nothing)
+    return (
+        counted.withColumn("at", F.col(start))
+        .join(everyone, [*keys, "at"], "left")
+        .select(*intervals.columns, others.alias(output))
     )
-    own = open_counts(
-        intervals.join(repeated, [*keys, id_column], "left_semi"),
-        [*keys, id_column],
-        start,
-        end,
-        bucket_width,
-    ).withColumnRenamed("open", "_own")
 
-    others = F.coalesce(F.col("open") - F.coalesce("_own", itself), nothing)
-    return counted.join(own, [*keys, id_column, "at"], "left").select(
-        *intervals.columns, others.alias(output)
+
+def own_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """``intervals`` with ``_own``: those of the same keys, itself included, that are
+    open at its start. One shuffle by the keys; rows are read in order of time, so a
+    key with many intervals needs no memory for them."""
+    edges = F.array(
+        F.struct(F.col(start).alias("_at"), F.lit(True).alias("_starts")),
+        F.struct(F.col(end).alias("_at"), F.lit(False).alias("_starts")),
     )
+    valid = F.col(end).isNull() | (F.col(end) >= F.col(start))
+    rows = intervals.select("*", F.explode(edges).alias("_edge")).select("*", "_edge.*")
+    ends = ~F.col("_starts") & F.col("_at").isNotNull() & F.col(start).isNotNull() & valid
+    in_time = Window.partitionBy(*keys).orderBy("_at")
+    opened = F.count_if(F.col("_starts") & F.col("_at").isNotNull() & valid)
+    up_to_now = in_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before_now = in_time.rangeBetween(Window.unboundedPreceding, -1)
+    own = opened.over(up_to_now) - F.count_if(ends).over(before_now)
+    return rows.withColumn("_own", own).where("_starts").select(*intervals.columns, "_own")

@@ -11,9 +11,15 @@ AGGREGATES = {"SUM": F.sum, "AVG": F.avg, "MAX": F.max, "COUNT": F.count}
 
 
 def counters(df: DataFrame, measures: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """``measures``: output -> (aggregate, column), all in one pass, one row."""
+    """``measures``: output -> (aggregate, column), all in one pass, one row.
+
+    COUNT counts rows, whatever the column holds; in a chart it counts values.
+    """
     return df.agg(
-        *[AGGREGATES[how](column).alias(name) for name, (how, column) in measures.items()]
+        *[
+            (F.count(F.lit(1)) if how == "COUNT" else AGGREGATES[how](column)).alias(name)
+            for name, (how, column) in measures.items()
+        ]
     )
 
 

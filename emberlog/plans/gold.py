@@ -9,6 +9,7 @@ from emberlog import schemas as S
 from emberlog.functions import plan_text as P
 from emberlog.functions.metrics import (
     count_where,
+    difference,
     guarded_percent,
     in_gib,
     in_mib,
@@ -73,10 +74,10 @@ def stage_task_profile(silver_task_events: DataFrame) -> DataFrame:
             count_where(F.col("task_result") != "Success").alias("failed_tasks"),
             count_where(F.col("speculative")).alias("speculative_tasks"),
             count_where(F.col("disk_bytes_spilled") > 0).alias("tasks_with_disk_spill"),
-            F.sum("executor_cpu_time_ns").alias("cpu_ns"),
+            F.try_sum("executor_cpu_time_ns").alias("cpu_ns"),
             F.count("executor_cpu_time_ns").alias("cpu_tasks"),
-            F.sum("executor_run_time_ms").alias("run_ms"),
-            F.sum("gc_time_ms").alias("gc_ms"),
+            F.try_sum("executor_run_time_ms").alias("run_ms"),
+            F.try_sum("gc_time_ms").alias("gc_ms"),
         ],
     )
 
@@ -94,16 +95,16 @@ def executor_load(silver_task_events: DataFrame) -> DataFrame:
         .groupBy(*EXECUTOR, "host")
         .agg(
             F.count("task_id").alias("total_tasks"),
-            F.sum("task_duration_ms").alias("total_task_ms"),
+            F.try_sum("task_duration_ms").alias("total_task_ms"),
             F.avg("task_duration_ms").alias("avg_task_ms"),
-            F.sum("gc_time_ms").alias("total_gc_ms"),
+            F.try_sum("gc_time_ms").alias("total_gc_ms"),
             F.avg("gc_overhead_pct").alias("avg_gc_pct"),
             F.avg("cpu_efficiency_pct").alias("avg_cpu_efficiency_pct"),
-            F.sum("input_bytes").alias("input_bytes"),
-            F.sum("shuffle_read_bytes").alias("shuffle_read_bytes"),
-            F.sum("shuffle_write_bytes").alias("shuffle_write_bytes"),
-            F.sum("memory_bytes_spilled").alias("total_memory_spilled"),
-            F.sum("disk_bytes_spilled").alias("total_disk_spilled"),
+            F.try_sum("input_bytes").alias("input_bytes"),
+            F.try_sum("shuffle_read_bytes").alias("shuffle_read_bytes"),
+            F.try_sum("shuffle_write_bytes").alias("shuffle_write_bytes"),
+            F.try_sum("memory_bytes_spilled").alias("total_memory_spilled"),
+            F.try_sum("disk_bytes_spilled").alias("total_disk_spilled"),
             F.max("peak_exec_memory_bytes").alias("peak_memory_bytes"),
             count_where(F.col("speculative")).alias("speculative_tasks"),
         )
@@ -127,13 +128,13 @@ def application_summary(
         F.count("stage_id").alias("total_stages"),
         count_where(F.col("status") == "COMPLETED").alias("completed_stages"),
         count_where(F.col("status") == "FAILED").alias("failed_stages"),
-        F.sum("num_tasks").alias("total_tasks"),
-        F.sum("input_bytes").alias("input_bytes"),
-        F.sum("shuffle_read_bytes").alias("shuffle_bytes"),
-        F.sum("disk_bytes_spilled").alias("disk_spill"),
-        F.sum("memory_bytes_spilled").alias("memory_spill"),
-        F.sum("jvm_gc_time_ms").alias("total_gc_time_ms"),
-        F.sum("executor_run_time_ms").alias("total_exec_run_ms"),
+        F.try_sum("num_tasks").alias("total_tasks"),
+        F.try_sum("input_bytes").alias("input_bytes"),
+        F.try_sum("shuffle_read_bytes").alias("shuffle_bytes"),
+        F.try_sum("disk_bytes_spilled").alias("disk_spill"),
+        F.try_sum("memory_bytes_spilled").alias("memory_spill"),
+        F.try_sum("jvm_gc_time_ms").alias("total_gc_time_ms"),
+        F.try_sum("executor_run_time_ms").alias("total_exec_run_ms"),
         count_where(F.col("disk_bytes_spilled") > 0).alias("stages_with_disk_spill"),
     )
     jobs = (
@@ -145,7 +146,7 @@ def application_summary(
             count_where(F.col("job_result") != "JobSucceeded").alias("failed_jobs"),
         )
     )
-    duration = F.col("end_ms") - F.col("start_ms")
+    duration = difference("end_ms", "start_ms")
     gc = F.round(guarded_percent("total_gc_time_ms", "total_exec_run_ms", 0.0), 2)
     return (
         application(S.APPLICATION_START, "start_ts", "start_ms", "app_name", "spark_user")
@@ -170,7 +171,7 @@ def application_summary(
             "total_tasks",
             in_gib("input_bytes").alias("total_input_gb"),
             in_gib("shuffle_bytes").alias("total_shuffle_gb"),
-            in_gib(F.col("disk_spill") + F.col("memory_spill")).alias("total_spill_gb"),
+            in_gib(F.try_add("disk_spill", "memory_spill")).alias("total_spill_gb"),
             "stages_with_disk_spill",
             "total_gc_time_ms",
             gc.alias("gc_overhead_pct"),
@@ -193,7 +194,7 @@ def job_performance(silver_job_events: DataFrame) -> DataFrame:
         F.col("completion_ts").alias("complete_ts"),
         F.col("completion_ms").alias("complete_ms"),
     )
-    duration = F.col("complete_ms") - F.col("submit_ms")
+    duration = difference("complete_ms", "submit_ms")
     result = F.col("job_result")
     status = F.when(result.isNull(), "RUNNING").otherwise(
         F.when(result == "JobSucceeded", "SUCCEEDED").otherwise("FAILED")
@@ -242,13 +243,13 @@ def stage_performance(
     biggest, median = F.col("task_shuffle_max_bytes"), F.col("task_shuffle_p50_bytes")
     derived = {
         "task_skew_ratio": skew_ratio("task_max_ms", "task_p50_ms"),
-        "time_skew_gap_ms": F.col("task_max_ms") - F.col("task_p50_ms"),
+        "time_skew_gap_ms": difference("task_max_ms", "task_p50_ms"),
         "task_shuffle_min_mb": in_mib("task_shuffle_min_bytes", 2),
         "task_shuffle_p50_mb": in_mib(median, 2),
         "task_shuffle_max_mb": in_mib(biggest, 2),
         "shuffle_skew_ratio": skew_ratio(biggest, median),
-        "data_skew_gap_mb": in_mib(biggest - F.col("task_shuffle_min_bytes"), 2),
-        "data_skew_gap_p50_mb": in_mib(biggest - median, 2),
+        "data_skew_gap_mb": in_mib(difference(biggest, "task_shuffle_min_bytes"), 2),
+        "data_skew_gap_p50_mb": in_mib(difference(biggest, median), 2),
         "input_mb": in_mib("input_bytes", 1),
         "output_mb": in_mib("output_bytes", 1),
         "shuffle_read_mb": in_mib("shuffle_read_bytes", 1),
@@ -282,7 +283,7 @@ def stage_task_extras(
         count_where(F.col("task_result") != "Success").alias("failed_task_attempts"),
         F.min(F.unix_millis("launch_ts")).alias("first_launch_ms"),
     )
-    delay = F.col("first_launch_ms") - F.unix_millis("submission_ts")
+    delay = difference("first_launch_ms", F.unix_millis("submission_ts"))
     return silver_stage_events.join(tasks, ATTEMPT, "left").select(
         *ATTEMPT,
         F.coalesce("failed_task_attempts", F.lit(0)).alias("failed_task_attempts"),
@@ -391,21 +392,21 @@ def job_concurrency(
     concurrent = (
         interval_concurrency(jobs, APP, "job_id", "submit_ms", "complete_ms", "others")
         .groupBy(*described)
-        .agg(F.sum("others").alias("concurrent_jobs_at_start"))
+        .agg(F.try_sum("others").alias("concurrent_jobs_at_start"))
     )
     cpu = (
         work_stage_task_profile.join(work_job_stage_map, STAGE)
         .groupBy(*JOB)
         .agg(
-            F.sum("task_count").alias("job_total_tasks"),
-            F.sum("cpu_ns").alias("cpu_ns"),
-            F.sum("cpu_tasks").alias("cpu_tasks"),
-            F.sum("run_ms").alias("run_ms"),
-            F.sum("gc_ms").alias("gc_ms"),
+            F.try_sum("task_count").alias("job_total_tasks"),
+            F.try_sum("cpu_ns").alias("cpu_ns"),
+            F.try_sum("cpu_tasks").alias("cpu_tasks"),
+            F.try_sum("run_ms").alias("run_ms"),
+            F.try_sum("gc_ms").alias("gc_ms"),
         )
     )
     cpu_ms = F.col("cpu_ns") / F.lit(1e6)
-    mean_cpu_ms = F.when(F.col("cpu_tasks") > 0, F.col("cpu_ns") / F.col("cpu_tasks"))
+    mean_cpu_ns = F.when(F.col("cpu_tasks") > 0, F.col("cpu_ns") / F.col("cpu_tasks"))
     return concurrent.join(cpu, JOB, "left").select(
         *JOB,
         F.col("job_id").cast("string").alias("job_id_str"),
@@ -423,7 +424,7 @@ def job_concurrency(
         F.round(cpu_ms / F.greatest("run_ms", F.lit(1)) * 100, 1).alias(
             "job_cpu_efficiency_pct"
         ),
-        F.round(mean_cpu_ms / F.lit(1e6), 1).alias("avg_task_cpu_time_ms"),
+        F.round(mean_cpu_ns / F.lit(1e6), 1).alias("avg_task_cpu_time_ms"),
         in_seconds("gc_ms", 1).alias("total_gc_time_sec"),
     )
 
@@ -454,7 +455,7 @@ def sql_photon_analysis(
         )
     )
     joins = F.col("bhj_count") + F.col("photon_bhj_count") + F.col("smj_count")
-    duration = F.col("end_time_ms") - F.col("start_time_ms")
+    duration = difference("end_time_ms", "start_time_ms")
     others = (
         [P.count_named(operators, *P.OTHER_JOINS).alias("other_join_count")]
         if with_other_joins

@@ -19,12 +19,17 @@ BROADCAST_MAX_EXECUTIONS = 1_000_000
 
 @dataclass(frozen=True)
 class Table:
-    """A named table: its inputs by name and the function that makes it."""
+    """A named table: its inputs by name and the function that makes it.
+
+    ``build`` starts no Spark job. ``build_written`` may: it is used where the inputs
+    are written tables, whose sizes cost only a look at their metadata.
+    """
 
     layer: str
     comment: str
     inputs: tuple[str, ...]
     build: Callable[..., DataFrame]
+    build_written: Callable[..., DataFrame] | None = None
 
 
 BRONZE = "bronze_raw_events"
@@ -57,7 +62,11 @@ TABLES: dict[str, Table] = {
         "silver", "performance-related settings", (BRONZE,), silver.spark_config
     ),
     "silver_sql_executions": Table(
-        "silver", "SQL executions with their plan text", (BRONZE,), _sql_executions
+        "silver",
+        "SQL executions with their plan text",
+        (BRONZE,),
+        silver.sql_executions,
+        _sql_executions,
     ),
     "work_stage_task_profile": Table(
         "work", "task distribution per stage attempt", ("silver_task_events",),
@@ -113,7 +122,7 @@ TABLES: dict[str, Table] = {
 
 def build_tables(bronze: DataFrame, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """Tables as lazy DataFrames over tagged lines, nothing written; all by default."""
-    made = {BRONZE: bronze}
+    made = {BRONZE: fill_app_ids(bronze)}
 
     def build(name: str) -> DataFrame:
         if name not in made:
@@ -126,7 +135,7 @@ def build_tables(bronze: DataFrame, names: Iterable[str] | None = None) -> dict[
 
 @dataclass(frozen=True)
 class Lake:
-    """A folder with one Parquet table per name; Bronze is split by event type."""
+    """A folder with one Parquet table per name; Bronze is split by event kind."""
 
     spark: SparkSession
     root: str
@@ -138,13 +147,14 @@ class Lake:
         writer = df.write.mode("overwrite")
         if name == BRONZE:
             # Log text shrinks about twentyfold: small row groups keep the parsing
-            # of one file divisible.
-            writer = writer.partitionBy("event_type").option("parquet.block.size", 32 * MIB)
+            # of one file divisible. Rebalancing splits the common kinds and merges the
+            # rare ones, else every input split would write a file for each kind.
+            writer = df.hint("rebalance", "event_kind").write.mode("overwrite")
+            writer = writer.partitionBy("event_kind").option("parquet.block.size", 32 * MIB)
         writer.parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
-        return fill_app_ids(df) if name == BRONZE else df
+        return self.spark.read.parquet(self.path(name))
 
     def register_views(self, prefix: str = "") -> None:
         """Make the written tables readable by name from SQL."""
@@ -155,7 +165,7 @@ class Lake:
         """Add the written tables to a catalog database, with comment and layer.
 
         They are external tables over this folder. Register again after Bronze got
-        new event types.
+        new kinds of events.
         """
         catalog = self.spark.catalog
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
@@ -178,7 +188,7 @@ def write_table(lake: Lake, name: str, bronze: DataFrame | None = None) -> dict[
     ``bronze``: Bronze as already read, to list its files once for many tables.
     """
     table, rules = TABLES[name], TABLE_RULES.get(name, ())
-    df = table.build(
+    df = (table.build_written or table.build)(
         *[
             bronze if i == BRONZE and bronze is not None else lake.read(i)
             for i in table.inputs
@@ -193,7 +203,7 @@ def write_table(lake: Lake, name: str, bronze: DataFrame | None = None) -> dict[
 
 
 def write_bronze(lake: Lake, lines: DataFrame, cluster_id: str) -> None:
-    lake.write(BRONZE, tag_events(lines, cluster_id))
+    lake.write(BRONZE, fill_app_ids(tag_events(lines, cluster_id), count_files=True))
 
 
 def run(

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from emberlog import schemas as S
 from emberlog.functions.metrics import (
     cpu_percent,
+    difference,
     first_found,
     gc_percent,
+    metric_map,
     millis_to_ts,
-    named_positions,
     to_double,
     to_int,
     to_long,
@@ -22,9 +23,9 @@ from emberlog.operators.dedup import latest_by_key
 def _parsed(bronze: DataFrame, events: tuple[str, ...], shape: str) -> DataFrame:
     """Lines of the given events with their payload as struct ``p``.
 
-    On a Bronze table partitioned by event type the filter prunes partitions.
+    On a Bronze table, which is partitioned by event kind, the filter prunes partitions.
     """
-    return bronze.where(F.col("event_type").isin(*events)).select(
+    return bronze.where(F.col("event_kind").isin(*events)).select(
         "cluster_id",
         "app_id",
         "event_type",
@@ -107,17 +108,12 @@ def stage_events(bronze_raw_events: DataFrame) -> DataFrame:
     info = _parsed(bronze_raw_events, (S.STAGE_COMPLETED,), S.STAGE_EVENT).select(
         "cluster_id", "app_id", "source_file", "ingested_at", _field("Stage Info").alias("p")
     )
-    # A stage lists every SQL metric too: keep the internal ones once, take their
-    # names once, and look all wanted names up in one expression.
+    # A stage lists every SQL metric too: keep the internal ones once and look all
+    # wanted names up in one map.
     internal = F.filter(
         _field("Accumulables"), lambda a: a["Name"].startswith(S.ACCUMULATOR_PREFIX)
     )
-    wanted = [name for names in S.STAGE_METRICS.values() for name in names]
-    with_metrics = (
-        info.withColumn("m", internal)
-        .withColumn("names", F.transform("m", lambda a: a["Name"]))
-        .withColumn("places", named_positions(F.col("names"), wanted))
-    )
+    with_metrics = info.withColumn("m", internal).withColumn("m", metric_map(F.col("m")))
     submitted, first_task = _field("Submission Time"), _field("First Task Launched Time")
     completed, reason = _field("Completion Time"), _field("Failure Reason")
     base = with_metrics.select(
@@ -132,12 +128,12 @@ def stage_events(bronze_raw_events: DataFrame) -> DataFrame:
         millis_to_ts(submitted).alias("submission_ts"),
         millis_to_ts(first_task).alias("first_task_ts"),
         millis_to_ts(completed).alias("completion_ts"),
-        (completed - submitted).alias("duration_ms"),
-        F.when(first_task.isNotNull(), first_task - submitted)
+        difference(completed, submitted).alias("duration_ms"),
+        F.when(first_task.isNotNull(), difference(first_task, submitted))
         .otherwise(F.lit(0))
         .alias("scheduling_delay_ms"),
         *[
-            first_found(F.col("m"), F.col("places"), [wanted.index(n) for n in names]).alias(name)
+            first_found(F.col("m"), names).alias(name)
             for name, names in S.STAGE_METRICS.items()
         ],
         "source_file",
@@ -145,7 +141,9 @@ def stage_events(bronze_raw_events: DataFrame) -> DataFrame:
     )
     return base.withColumns(
         {
-            "shuffle_read_bytes": F.col("shuffle_remote_bytes") + F.col("shuffle_local_bytes"),
+            "shuffle_read_bytes": F.try_add(
+                F.col("shuffle_remote_bytes"), F.col("shuffle_local_bytes")
+            ),
             "gc_overhead_pct": gc_percent("jvm_gc_time_ms", "executor_run_time_ms"),
             "cpu_efficiency_pct": cpu_percent("executor_cpu_time_ns", "executor_run_time_ms"),
         }
@@ -201,13 +199,14 @@ def task_events(bronze_raw_events: DataFrame) -> DataFrame:
         "app_id",
         *[_field(*path).alias(name) for name, path in TASK_FIELDS.items()],
         millis_to_ts(launched).alias("launch_ts"),
-        (_field("Task Info", "Finish Time") - launched).alias("task_duration_ms"),
+        difference(_field("Task Info", "Finish Time"), launched).alias("task_duration_ms"),
         "ingested_at",
     )
     return flat.withColumns(
         {
-            "shuffle_read_bytes": F.coalesce("shuffle_remote_bytes", zero)
-            + F.coalesce("shuffle_local_bytes", zero),
+            "shuffle_read_bytes": F.try_add(
+                F.coalesce("shuffle_remote_bytes", zero), F.coalesce("shuffle_local_bytes", zero)
+            ),
             "gc_overhead_pct": gc_percent("gc_time_ms", "task_duration_ms"),
             "cpu_efficiency_pct": cpu_percent("executor_cpu_time_ns", "executor_run_time_ms"),
         }
@@ -247,7 +246,12 @@ def resource_profiles(bronze_raw_events: DataFrame) -> DataFrame:
 
 
 def spark_config(bronze_raw_events: DataFrame) -> DataFrame:
-    """Performance settings; of a key set twice the latest row is kept."""
+    """Performance settings; of a key set twice one value is kept.
+
+    Rolled files count by their number, properties by their place in the list. Lines
+    have no order in the table, so of two updates in one file the choice is arbitrary
+    but repeatable.
+    """
     text = _field("Spark Properties")
     pairs = F.transform(
         F.from_json(text, "array<array<string>>"),
@@ -272,9 +276,13 @@ def spark_config(bronze_raw_events: DataFrame) -> DataFrame:
         )
         .where(F.col("config_key").rlike(S.CONFIG_KEEP_PATTERN))
     )
+    rolled = F.regexp_extract("source_file", S.ROLLED_FILE_PATTERN, 1).try_cast("long")
     newest = [
-        F.desc(c) for c in ("ingested_at", "source_file", "place", "config_value")
+        F.desc("ingested_at"),
+        F.desc_nulls_last("rolled"),
+        *[F.desc(c) for c in ("source_file", "place", "config_value")],
     ]
+    settings = settings.withColumn("rolled", rolled)
     return latest_by_key(settings, ["cluster_id", "app_id", "config_key"], newest).select(
         "cluster_id", "app_id", "config_key", "config_value", "ingested_at"
     )
@@ -290,7 +298,7 @@ def sql_executions(
     count on a written Bronze table) and broadcast up to that many rows, about
     100 bytes each. Beyond it, or without it, Spark chooses the join.
     """
-    end_lines = bronze_raw_events.where(F.col("event_type") == S.SQL_END)
+    end_lines = bronze_raw_events.where(F.col("event_kind") == S.SQL_END)
     starts = _parsed(bronze_raw_events, (S.SQL_START,), S.SQL_START_EVENT).select(
         "cluster_id",
         "app_id",

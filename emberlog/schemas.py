@@ -19,6 +19,25 @@ RESOURCE_PROFILE_ADDED = "SparkListenerResourceProfileAdded"
 SQL_START = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart"
 SQL_END = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionEnd"
 
+# The events that tables are made of; a Bronze table has a partition for each.
+KNOWN_EVENTS = (
+    APPLICATION_START,
+    APPLICATION_END,
+    ENVIRONMENT_UPDATE,
+    JOB_START,
+    JOB_END,
+    STAGE_COMPLETED,
+    TASK_END,
+    EXECUTOR_ADDED,
+    EXECUTOR_REMOVED,
+    RESOURCE_PROFILE_ADDED,
+    SQL_START,
+    SQL_END,
+)
+OTHER_EVENT = "other"
+# Number of a rolled log file.
+ROLLED_FILE_PATTERN = r"/events_(\d+)_[^/]*$"
+
 # --- fixed values: JSON shapes --------------------------------------------------
 # Both spellings of the user are read: older logs say `Spark User`, newer `User`.
 APPLICATION_EVENT = """

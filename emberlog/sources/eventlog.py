@@ -13,7 +13,9 @@ APP_FOLDER_PATTERN = r"/eventlog/([^/]+)/"
 YARN_APP_PATTERN = r"(application_\d+_\d+)"
 ROLLING_FOLDER_PREFIX = r"^eventlog_v2_"
 
-BRONZE_COLUMNS = ("value", "source_file", "app_id", "event_type", "cluster_id", "ingested_at")
+BRONZE_COLUMNS = (
+    "value", "source_file", "app_id", "event_type", "cluster_id", "ingested_at", "event_kind",
+)
 
 # The fallback id map is broadcast up to this many files (about 300 bytes each).
 BROADCAST_MAX_FILES = 200_000
@@ -44,38 +46,60 @@ def app_id_from_path(path: Column | str) -> Column:
 
 
 def tag_events(lines: DataFrame, cluster_id: str) -> DataFrame:
-    """Bronze rows from (value, source_file). Stateless: works on streams as well."""
+    """Bronze rows from (value, source_file). Stateless: works on streams as well.
+
+    ``event_kind`` is the event's name if tables are made of it, else ``other``: free
+    text of a log names no folder, and there are as many folders as known events.
+    """
+    event = F.get_json_object("value", "$.Event")
     return lines.select(
         "value",
         "source_file",
         app_id_from_path("source_file").alias("app_id"),
-        F.get_json_object("value", "$.Event").alias("event_type"),
+        event.alias("event_type"),
         F.lit(cluster_id).alias("cluster_id"),
         F.current_timestamp().alias("ingested_at"),
+        F.when(event.isin(*S.KNOWN_EVENTS), event)
+        .otherwise(F.lit(S.OTHER_EVENT))
+        .alias("event_kind"),
     ).where(F.col("event_type").isNotNull())
 
 
-def fill_app_ids(bronze: DataFrame) -> DataFrame:
-    """Give lines of files without an id in their path the id the file itself states.
-
-    Reads the (tiny) application-start partition of a written Bronze table. When
-    every path carries an id, which is the normal layout, no join is added.
-    """
-    stated = (
-        bronze.where((F.col("event_type") == S.APPLICATION_START) & F.col("app_id").isNull())
+def stated_ids(tagged: DataFrame) -> DataFrame:
+    """(source_file, stated_id) of the files whose path has no id but whose own
+    application start does."""
+    return (
+        tagged.where(F.col("app_id").isNull() & (F.col("event_kind") == S.APPLICATION_START))
         .select("source_file", F.get_json_object("value", "$['App ID']").alias("stated_id"))
         .where(F.col("stated_id").isNotNull())
         .groupBy("source_file")
         .agg(F.min("stated_id").alias("stated_id"))
     )
-    files = stated.count()
-    if files == 0:
-        return bronze
-    if files <= BROADCAST_MAX_FILES:
-        stated = F.broadcast(stated)
-    return bronze.join(stated, "source_file", "left").select(
+
+
+def _joined(tagged: DataFrame, stated: DataFrame) -> DataFrame:
+    return tagged.join(stated, "source_file", "left").select(
         *[
             F.coalesce("app_id", "stated_id").alias("app_id") if c == "app_id" else F.col(c)
-            for c in bronze.columns
+            for c in tagged.columns
         ]
     )
+
+
+def fill_app_ids(tagged: DataFrame, count_files: bool = False) -> DataFrame:
+    """Give lines of files without an id in their path the id the file itself states.
+
+    Lazy by default: only rows without an id meet the join, and Spark lists no file for
+    them when every path carries one. With ``count_files``, for a table that is about to
+    be written, the files are counted first: no join is added if there are none, and a
+    broadcast up to a bound.
+    """
+    stated = stated_ids(tagged)
+    if count_files:
+        files = stated.count()
+        if files == 0:
+            return tagged
+        if files <= BROADCAST_MAX_FILES:
+            return _joined(tagged, F.broadcast(stated))
+    known = tagged.where(F.col("app_id").isNotNull())
+    return known.unionByName(_joined(tagged.where(F.col("app_id").isNull()), stated))

@@ -8,10 +8,11 @@ import textwrap
 from pyspark.sql import functions as F
 
 from emberlog.plans import reports as R
-from emberlog.plans.lake import BRONZE, Lake, run
+from emberlog.plans.lake import Lake, run
 from emberlog.sources.history import append_history, append_history_table, read_history
-from emberlog.streaming.bronze import append_bronze
-from tests.logs import CLUSTER, app_start, job_start, sql_end, sql_start, tables_of, write_log
+from emberlog.sources.eventlog import fill_app_ids, read_lines, tag_events
+from emberlog.streaming.bronze import append_bronze, read_bronze
+from tests.logs import APP, CLUSTER, app_start, job_start, sql_end, sql_start, tables_of, write_log
 
 
 def test_history_appends(spark, tmp_path):
@@ -31,20 +32,66 @@ def test_history_appends(spark, tmp_path):
     ]
 
 
-def test_streaming_reads_each_finished_file_once(spark, tmp_path):
-    def load():
-        append_bronze(
-            spark, str(tmp_path / "logs"), CLUSTER, str(tmp_path / "lake"),
-            str(tmp_path / "checkpoint"), max_files=1,
-        ).awaitTermination()
-        return Lake(spark, str(tmp_path / "lake")).read(BRONZE).count()
-
-    write_log(tmp_path / "logs", [app_start(), "junk", job_start(1, 2, [])])
-    write_log(tmp_path / "logs", [job_start(9, 2, [])], name="run2/eventlog.inprogress")
-    assert load() == 2
-    assert load() == 2
-    write_log(tmp_path / "logs", [job_start(2, 2, [])], name="run3/eventlog")
-    assert load() == 3
+class Logs:
+    """A log folder read by the batch reader and by the incremental one."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.logs, self.lake = spark, str(folder / "logs"), str(folder / "lake")
+
+    def load(self, **options):
+        return append_bronze(self.spark, self.logs, CLUSTER, self.lake, **options)
+
+    def rows(self, bronze):
+        return sorted(map(str, bronze.drop("ingested_at", "source_file").collect()))
+
+    def equal(self):
+        batch = fill_app_ids(tag_events(read_lines(self.spark, self.logs, CLUSTER), CLUSTER))
+        both = read_bronze(self.spark, self.logs, CLUSTER, self.lake)
+        assert self.rows(both) == self.rows(batch.select(*both.columns))
+        return both.count()
+
+
+def test_incremental_reads_closed_files_once_and_open_ones_each_time(spark, tmp_path):
+    logs, root = Logs(spark, tmp_path), tmp_path / "logs"
+    write_log(root, [app_start(), "junk", job_start(1, 2, [])])
+    write_log(root, [job_start(9, 2, [])], name="run2/eventlog.inprogress")
+    assert logs.equal() == 3
+    assert (logs.load(), logs.load(), logs.equal()) == (1, 0, 3)
+    write_log(root, [job_start(9, 2, []), job_start(10, 3, [])], name="run2/eventlog.inprogress")
+    assert (logs.load(), logs.equal()) == (0, 4)
+    (root / CLUSTER / "eventlog" / APP / "run2" / "eventlog.inprogress").rename(
+        root / CLUSTER / "eventlog" / APP / "run2" / "eventlog"
+    )
+    assert (logs.load(), logs.equal()) == (1, 4)
+
+
+def test_incremental_leaves_a_growing_roll_until_a_later_one_or_the_end(spark, tmp_path):
+    logs, root, app = Logs(spark, tmp_path), tmp_path / "logs", "eventlog_v2_local-5"
+    status = write_log(root, [], app, name="appstatus_local-5.inprogress")
+    write_log(root, [app_start(app="local-5")], app, name="events_1_local-5")
+    assert (logs.load(), logs.equal()) == (0, 1)
+    write_log(root, [app_start(app="local-5"), job_start(1, 2, [])], app, name="events_1_local-5")
+    assert logs.equal() == 2
+    write_log(root, [job_start(2, 2, [])], app, name="events_2_local-5")
+    assert (logs.load(), logs.equal()) == (1, 3)
+    write_log(root, [job_start(2, 2, []), job_start(3, 2, [])], app, name="events_2_local-5")
+    assert (logs.load(), logs.equal()) == (0, 4)
+    status.rename(status.with_name("appstatus_local-5"))
+    assert (logs.load(), logs.load(), logs.equal()) == (1, 0, 4)
+
+
+def test_incremental_after_a_run_that_died_and_in_small_steps(spark, tmp_path):
+    logs, root = Logs(spark, tmp_path), tmp_path / "logs"
+    for n in range(3):
+        write_log(root, [app_start(app=f"local-{n}"), job_start(n, 2, [])], None, name=f"local-{n}")
+    # Rows without an entry in the ledger, as a run leaves them that dies between.
+    stray = tag_events(read_lines(spark, logs.logs, CLUSTER), CLUSTER)
+    stray.write.partitionBy("event_kind").parquet(f"{logs.lake}/bronze_closed_events/batch=1")
+    assert logs.equal() == 6
+    assert [logs.load(max_files=2) for _ in range(3)] == [2, 1, 0]
+    assert logs.equal() == 6
+    ids = read_bronze(spark, logs.logs, CLUSTER, logs.lake).select("app_id").distinct().collect()
+    assert {r["app_id"] for r in ids} == {"local-0", "local-1", "local-2"}
 
 
 def test_sql_reports(spark):

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from emberlog.operators.concurrency import open_counts
+from emberlog.operators.concurrency import interval_concurrency, open_counts
 from emberlog.operators.dedup import latest_by_key
-from emberlog.plans.lake import BRONZE, TABLES, Lake, write_bronze
+from emberlog.plans.lake import BRONZE, TABLES, Lake, build_tables, write_bronze
+from emberlog.sources.eventlog import tag_events
 from tests.logs import CLUSTER, golden_events, lines_df
 
 SMALLEST = entry.SMALLEST
@@ -29,7 +30,8 @@ def lake(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", [n for n, t in TABLES.items() if t.inputs == (BRONZE,)])
 def test_typed_tables_prune_bronze_and_do_not_shuffle(lake, name):
     plan = plan_of(TABLES[name].build(lake.read(BRONZE)))
-    assert "PartitionFilters: [isnotnull(event_type" in plan or "event_type#" in plan
+    filters = re.findall(r"PartitionFilters: \[(.*)\]", plan)
+    assert filters and all("event_kind#" in found for found in filters)
     assert "Python" not in plan and "ArrowEval" not in plan
     allowed = {"silver_spark_config": 1}.get(name, 0)
     assert len(re.findall(r"^\(\d+\) Exchange", plan, re.M)) <= allowed
@@ -41,7 +43,7 @@ def test_one_json_parse_per_stage_and_task(lake):
 
 
 def test_bronze_reads_only_needed_columns(lake):
-    plan = plan_of(TABLES["silver_sql_executions"].build(lake.read(BRONZE)))
+    plan = plan_of(TABLES["silver_sql_executions"].build_written(lake.read(BRONZE)))
     assert "source_file" not in plan
     assert "BroadcastHashJoin" in plan  # the end events were counted first
 
@@ -65,3 +67,18 @@ def test_no_python_and_no_cross_joins(spark, name):
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEval",
                  "MapInPandas", "FlatMapGroups"):
         assert word not in plan
+
+
+def test_building_starts_no_job(spark):
+    tracker, group = spark.sparkContext.statusTracker(), "building"
+    tagged = tag_events(lines_df(spark, golden_events()), CLUSTER)
+    spark.sparkContext.setJobGroup(group, "no job")
+    build_tables(tagged)
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_concurrency_shuffles_by_id_once(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id % 500 AS n", "id AS s", "id + 5 AS e")
+    plan = plan_of(interval_concurrency(df, ["k"], "n", "s", "e"))
+    assert len(re.findall(r"^\(\d+\) Exchange", plan, re.M)) <= 8

@@ -1,11 +1,18 @@
 """Spellings of the log format, missing and malformed values, quality rules."""
 
+import json
+
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
+from emberlog.plans.lake import TABLES, build_tables
+from emberlog.sources.eventlog import tag_events
 from emberlog.sources.quality import TABLE_RULES, count_violations, drop_bad_rows
 from tests.logs import (
     APP,
+    CLUSTER,
     T0,
+    app_end,
     app_start,
     environment,
     executor_added,
@@ -156,7 +163,59 @@ def test_rules_count_and_drop(spark):
 
 
 def test_rows_without_app_id_are_dropped_only_from_applications(spark):
-    tables = tables_of(spark, [app_start(), job_start(1, 1, [])], app="")
+    tables = tables_of(spark, [app_end(9), job_start(1, 1, [])], app="")
     assert tables["silver_application_events"].count() == 0
     assert tables["silver_job_events"].count() == 1
     assert APP
+
+
+HUGE = [99_999_999_999_999_999, 2**63 - 1, -(2**63), 10**30]
+
+
+def test_no_number_fails_a_run(spark):
+    """Each extreme value in each place, under ANSI arithmetic, through every table."""
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    events = []
+    for n, value in enumerate(HUGE):
+        events += [
+            app_start(at=value, app=f"application_1_{n}"),
+            job_start(n, value, [1]),
+            job_end(n, -value),
+            stage(n, value, -value, {"executorRunTime": value, "executorCpuTime": value,
+                                     "shuffle.read.remoteBytesRead": value,
+                                     "shuffle.read.localBytesRead": value}, first=-value),
+            stage(n, 1, 2, {"memoryBytesSpilled": value, "diskBytesSpilled": value}, attempt=1),
+            task(n, n, value, 5, read=value, disk=value, memory=value, gc=value, cpu=value),
+            executor_added(n, value, "h", cores=value, profile=value),
+            profile_added(n, value, value, value),
+            sql_start(n, value), sql_end(n, -value),
+        ]
+    tables = tables_of(spark, events)
+    for name in TABLES:
+        tables[name].write.format("noop").mode("overwrite").save()
+    row = tables["silver_stage_events"].where("stage_id = 1 AND attempt_id = 0").first()
+    assert (row["duration_ms"], row["submission_ts"], row["shuffle_read_bytes"]) == (None,) * 3
+
+
+def test_rolled_files_count_by_their_number(spark):
+    rows = [
+        (json.dumps(environment([["spark.executor.memory", f"{n}g"]])),
+         f"file:/logs/{CLUSTER}/eventlog/eventlog_v2_{APP}/events_{n}_{APP}")
+        for n in (10, 9, 2)
+    ]
+    lines = spark.createDataFrame(rows, "value string, source_file string")
+    table = build_tables(tag_events(lines, CLUSTER), ["silver_spark_config"])
+    assert [r["config_value"] for r in table["silver_spark_config"].collect()] == ["10g"]
+
+
+def test_ids_of_the_fixture_stay_small(spark):
+    from checks.adapter import APPLICATION, JOB_ID, STAGE_ID
+
+    keys = [n for block in (10**7, 10**9, 10**11) for n in range(block, block + 20_000, 7)]
+    orders = spark.createDataFrame([(k, k % 15_000) for k in keys], "o_orderkey long, o_custkey long")
+    named = orders.selectExpr(f"{APPLICATION} AS k", f"{STAGE_ID} AS stage", "*")
+    assert named.select("k", "stage").distinct().count() == len(keys)
+    assert named.where("try_cast(stage AS int) IS NULL").count() == 0
+    jobs = named.groupBy("k", "o_custkey").agg(F.expr(JOB_ID).alias("job"))
+    assert jobs.select("k", "job").distinct().count() == jobs.count()
+    assert jobs.where("try_cast(job AS int) IS NULL").count() == 0

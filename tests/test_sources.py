@@ -6,9 +6,11 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from emberlog.plans.lake import BRONZE, Lake, write_bronze
+from emberlog.plans.lake import BRONZE, Lake, build_tables, run, write_bronze
 from emberlog.sources.eventlog import app_id_from_path, fill_app_ids, read_lines, tag_events
-from tests.logs import CLUSTER, app_end, app_start, job_start, lines_df, write_log
+from tests.logs import (
+    APP, CLUSTER, T0, app_end, app_start, job_end, job_start, lines_df, write_log,
+)
 
 
 @pytest.mark.parametrize(
@@ -49,10 +51,66 @@ def test_all_layouts_are_read(spark, tmp_path):
 
 
 def test_no_join_when_paths_carry_ids(spark, tmp_path):
+    tagged = tag_events(lines_df(spark, [app_start()]), CLUSTER)
+    assert fill_app_ids(tagged, count_files=True) is tagged
+
+
+LAYOUTS = [
+    (APP, "run/eventlog", APP),
+    (None, "application_3_3", "application_3_3"),
+    (None, "local-4", "local-4"),
+    ("eventlog_v2_local-5", "events_1_local-5", "local-5"),
+]
+
+
+@pytest.mark.parametrize(("folder", "name", "app"), LAYOUTS)
+def test_every_entry_point_knows_the_application(spark, tmp_path, folder, name, app):
+    events = [app_start(app=app), job_start(1, T0, [1]), job_end(1, T0 + 5), app_end(T0 + 9)]
+    write_log(tmp_path, events, folder, name=name)
+    lines = read_lines(spark, str(tmp_path), CLUSTER)
+    table = "silver_application_events"
+
+    def found(df):
+        return sorted((r["app_id"], r["timestamp_ms"]) for r in df.collect())
+
+    expected = [(app, T0), (app, T0 + 9)]
+    assert found(build_tables(tag_events(lines, CLUSTER), [table])[table]) == expected
+    run(spark, str(tmp_path), CLUSTER, str(tmp_path / "lake"))
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert found(lake.read(table)) == expected
+    lake.register_views("v_")
+    assert found(spark.table(f"v_{table}")) == expected
+    database = f"db_{abs(hash((folder, name)))}"
+    lake.register_tables(database)
+    ids = spark.sql(f"SELECT DISTINCT app_id FROM {database}.{BRONZE}").collect()
+    assert [r["app_id"] for r in ids] == [app]
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_no_join_is_run_for_lines_with_ids(spark, tmp_path):
+    write_log(tmp_path, [app_start(), job_start(1, 5, [])])
+    filled = fill_app_ids(tag_events(read_lines(spark, str(tmp_path), CLUSTER), CLUSTER))
+    assert filled.count() == 2 and {r["app_id"] for r in filled.collect()} == {APP}
+
+
+def test_odd_event_names_share_a_folder(spark, tmp_path):
+    odd = ["x" * 300, "a/b", "..", "other", ""]
+    lines = lines_df(spark, [app_start(), *[{"Event": name} for name in odd]])
+    lake = Lake(spark, str(tmp_path))
+    write_bronze(lake, lines, CLUSTER)
+    rows = lake.read(BRONZE).collect()
+    assert sorted(r["event_type"] for r in rows if r["event_kind"] == "other") == sorted(odd)
+    assert len(rows) == 6
+    folders = sorted(p.name for p in (tmp_path / BRONZE).iterdir() if "=" in p.name)
+    assert folders == ["event_kind=SparkListenerApplicationStart", "event_kind=other"]
+
+
+def test_bronze_has_few_files_for_many_splits(spark, tmp_path):
+    events = [app_start()] + [job_start(n, 5, []) for n in range(400)] + [app_end(9)]
     lake = Lake(spark, str(tmp_path))
-    write_bronze(lake, lines_df(spark, [app_start()]), CLUSTER)
-    bronze = spark.read.parquet(lake.path(BRONZE))
-    assert fill_app_ids(bronze) is bronze
+    write_bronze(lake, lines_df(spark, events).repartition(40), CLUSTER)
+    files = [p for p in (tmp_path / BRONZE).rglob("part-*") if p.suffix == ".parquet"]
+    assert len(files) <= 6
 
 
 def test_stated_ids_are_joined_without_broadcast_beyond_the_bound(spark, monkeypatch, tmp_path):
