@@ -52,7 +52,7 @@ def test_toxicity(spark, nothing):
             words[rng.randrange(30)] = rng.choice(INSULTS)
         rows.append((n, " ".join(words), "clash", 5))
         labels.append((n, n % 3 == 0 and 1 or 0))
-    rows += [(900, None, None, None), (901, "", None, None), (None, "river", None, None), (902, INSULTS[0] + " " + "bread " * 20_000, None, None)]
+    rows += [(900, None, None, None), (901, "", None, None), (None, "river", None, None), (902, (INSULTS[0] + " " + "bread " * 40) * 500, None, None)]
     labels += [(900, None), (None, 1), (5, 7), (900, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int")
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
