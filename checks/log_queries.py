@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from checks.fixture_lake import computed, written
+from emberlog.plans import gold
 from emberlog.plans import reports as R
 from emberlog.plans.lake import BRONZE, TABLES
+from emberlog.sources.quality import TABLE_RULES, violation_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,7 +111,66 @@ REPORTS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "acceptance_concurrency": (R.acceptance_concurrency, CONCURRENCY),
 }
 
-QUERIES: dict[str, Query] = {BRONZE: bronze}
+
+def english_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = gold.stage_performance(
+        written(spark, sf_dir, "silver_stage_events"),
+        written(spark, sf_dir, "work_stage_task_profile"),
+        language="en",
+    )
+    return stages.select("app_id", "stage_id", "bottleneck_type", "severity", "recommendation")
+
+
+def ignored_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = gold.stage_performance(
+        written(spark, sf_dir, "silver_stage_events"),
+        written(spark, sf_dir, "work_stage_task_profile"),
+        ignore_failures_like="^abort",
+    )
+    return stages.select("app_id", "stage_id", "status", "bottleneck_type")
+
+
+def other_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analysed = gold.sql_photon_analysis(
+        written(spark, sf_dir, "silver_sql_executions"), with_other_joins=True
+    )
+    return analysed.select("app_id", "execution_id", "total_join_count", "other_join_count")
+
+
+def task_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold.stage_task_extras(
+        written(spark, sf_dir, "silver_stage_events"), written(spark, sf_dir, "silver_task_events")
+    )
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break each rule, before any is dropped."""
+    bronze_table = written(spark, sf_dir, BRONZE)
+    counts = []
+    for name, rules in TABLE_RULES.items():
+        row = TABLES[name].build(bronze_table).agg(
+            F.count(F.lit(1)).alias("rows"), *violation_counts(rules)
+        )
+        counts += [
+            row.select(
+                F.lit(name).alias("table_name"),
+                F.lit(rule.name).alias("rule"),
+                "rows",
+                F.col(rule.name).alias("broken"),
+            )
+            for rule in rules
+        ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+QUERIES: dict[str, Query] = {
+    BRONZE: bronze,
+    "option_english_texts": english_texts,
+    "option_ignored_failures": ignored_failures,
+    "option_other_joins": other_joins,
+    "stage_task_extras": task_extras,
+    "rule_counts": rule_counts,
+}
 QUERIES |= {name: partial(_table, name) for name in TABLES if name != BRONZE}
 QUERIES |= {f"report_{n}": partial(_report, f, t) for n, (f, t) in REPORTS.items()}
 QUERIES |= {

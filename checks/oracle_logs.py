@@ -661,7 +661,58 @@ DETAILS = {
     ),
 }
 
-QUERIES = dict(TABLES)
+# The English advice.
+ENGLISH = """
+    ('STAGE_FAILURE', 'Check failure_reason; increase executor memory for OOM.'),
+    ('DISK_SPILL', 'Increase executor memory; enable AQE'),
+    ('HIGH_GC', 'Review UDFs; reduce object creation; tune G1GC'),
+    ('DATA_SKEW', 'Enable AQE skew join; salt join keys'),
+    ('HEAVY_SHUFFLE', 'Use broadcast joins; tune shuffle partitions'),
+    ('MEMORY_SPILL', 'Increase spark.memory.fraction; repartition'),
+    ('MODERATE_GC', 'Monitor GC trends; consider more executor memory'),
+    ('OK', 'No action needed')
+"""
+
+OPTIONS = {
+    "option_english_texts": BASE + PROFILE + f"""
+SELECT app_id, stage_id, bottleneck_type, severity, e.text AS recommendation
+FROM st JOIN (VALUES {ENGLISH}) AS e(kind, text) ON e.kind = bottleneck_type
+""",
+    "option_ignored_failures": BASE + PROFILE + """
+SELECT app_id, stage_id, status, CASE
+       WHEN status = 'FAILED' AND failure_reason NOT LIKE 'abort%' THEN 'STAGE_FAILURE'
+       WHEN disk_spill > 0 THEN 'DISK_SPILL'
+       WHEN gc_overhead_pct > 20 THEN 'HIGH_GC'
+       WHEN task_skew_ratio > 5 THEN 'DATA_SKEW'
+       WHEN read_bytes > 10737418240 THEN 'HEAVY_SHUFFLE'
+       WHEN memory_spill > 0 THEN 'MEMORY_SPILL'
+       WHEN gc_overhead_pct > 10 THEN 'MODERATE_GC'
+       ELSE 'OK' END AS bottleneck_type
+FROM st0
+""",
+    "option_other_joins": BASE + SQLS + """
+SELECT sq.app_id, execution_id, total_join_count,
+       CAST(join_name IN ('ShuffledHashJoin', 'CartesianProduct') AS INTEGER) AS other_join_count
+FROM sq JOIN p ON p.p_partkey = execution_id
+""",
+    "stage_task_extras": BASE + """
+SELECT cluster_id, app_id, CAST(stage_no AS INTEGER) AS stage_id, 0 AS attempt_id,
+       count(*) FILTER (WHERE failed) AS failed_task_attempts,
+       CAST(0 AS BIGINT) AS scheduling_delay_from_tasks_ms
+FROM t GROUP BY cluster_id, app_id, stage_no
+""",
+    "rule_counts": BASE + """
+SELECT 'silver_application_events' AS table_name, 'valid_app_id' AS rule,
+       2 * count(*) - count(*) FILTER (WHERE k = 4) AS rows, CAST(0 AS BIGINT) AS broken FROM a
+UNION ALL SELECT 'silver_job_events', 'valid_job_id', count(*) + count(job_result), 0 FROM j
+UNION ALL SELECT 'silver_stage_events', 'valid_stage_id', count(*), 0 FROM s
+UNION ALL SELECT 'silver_stage_events', 'has_tasks', count(*), 0 FROM s
+UNION ALL SELECT 'silver_task_events', 'valid_task_id', count(*), 0 FROM t
+UNION ALL SELECT 'silver_task_events', 'has_metrics', count(*), 0 FROM t
+""",
+}
+
+QUERIES = TABLES | OPTIONS
 QUERIES |= {f"report_{name}": sql for name, sql in REPORTS.items()}
 QUERIES |= {
     f"report_chart_{name}": _from(d, f"SELECT {by}, {value} AS value FROM {{r}} GROUP BY {by}")

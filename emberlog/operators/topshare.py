@@ -16,7 +16,7 @@ def top_tile(df: DataFrame, order: Sequence[Column], tiles: int) -> DataFrame:
     Those are the first ceil(N / tiles) rows. An NTILE without partitioning
     sorts the whole table in one task; here rows are range-partitioned by the
     full order, the partitions are counted, whole partitions before the cut are
-    kept, and only rows of partitions up to the cut are numbered. ``order``
+    kept, and only rows of the partition at the cut are numbered. ``order``
     should end in a unique key: it makes the result repeatable and lets the
     range partitioning split rows that tie on the leading columns.
 
@@ -34,18 +34,21 @@ def top_tile(df: DataFrame, order: Sequence[Column], tiles: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(
             "_part",
+            "_rows",
             F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
             F.ceil(F.sum("_rows").over(everything) / F.lit(tiles)).alias("_wanted"),
         )
         .where("_before < _wanted")
     )
+    kept = spread.join(F.broadcast(parts), "_part")
+    whole = F.col("_before") + F.col("_rows") <= F.col("_wanted")
     in_part = Window.partitionBy("_part").orderBy(*order)
-    return (
-        spread.join(F.broadcast(parts), "_part")
+    cut = (
+        kept.where(~whole)
         .withColumn("_place", F.col("_before") + F.row_number().over(in_part))
         .where("_place <= _wanted")
-        .select(*df.columns)
     )
+    return kept.where(whole).select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def top_tile_mean(

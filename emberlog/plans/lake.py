@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,10 +157,19 @@ class Lake:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def register_views(self, prefix: str = "") -> None:
-        """Make the written tables readable by name from SQL."""
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Make the tables that are written readable by name from SQL; their names."""
+        found = []
         for name in TABLES:
-            self.read(name).createOrReplaceTempView(prefix + name)
+            try:
+                df = self.read(name)
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                continue
+            df.createOrReplaceTempView(prefix + name)
+            found.append(name)
+        return found
 
     def register_tables(self, database: str) -> None:
         """Add the written tables to a catalog database, with comment and layer.

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Checkpoints go with the DataFrames that made them; tables written to the shared
+    # folder stay until its owner removes them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

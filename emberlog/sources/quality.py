@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,14 @@ def drop_bad_rows(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return df
 
 
+def violation_counts(rules: tuple[Rule, ...]) -> list[Column]:
+    """Per rule the number of rows that break it, as aggregates."""
+    return [
+        F.count_if(~F.coalesce(F.expr(rule.predicate), F.lit(False))).alias(rule.name)
+        for rule in rules
+    ]
+
+
 def count_violations(
     df: DataFrame, rules: tuple[Rule, ...], observation: Observation
 ) -> DataFrame:
@@ -47,10 +55,4 @@ def count_violations(
 
     Apply before :func:`drop_bad_rows`; read ``observation.get`` after the write.
     """
-    broken = [
-        F.sum(F.when(F.coalesce(F.expr(rule.predicate), F.lit(False)), 0).otherwise(1)).alias(
-            rule.name
-        )
-        for rule in rules
-    ]
-    return df.observe(observation, F.count(F.lit(1)).alias("rows"), *broken)
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"), *violation_counts(rules))
