@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import islice
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|>|.*\Z)|<[!?][^>]*>"
@@ -55,6 +57,9 @@ OTHER_ROLES = frozenset(
 )
 KEPT_TAGS = frozenset("html body main article".split())
 ARTICLES = ("article", "main")
+# Containers below this depth go by the path of the one at it, and an open element is
+# looked for so far up at most: work stays in proportion to the page, however deep.
+DEEPEST, FARTHEST = 64, 256
 
 
 @dataclass
@@ -62,6 +67,8 @@ class Element:
     tag: str
     path: str
     parent: int
+    depth: int
+    in_article: bool
     # "" if its text counts, else why not: "hard", "around" or "header".
     left_out: str
 
@@ -100,6 +107,7 @@ def named(attributes: str) -> tuple[str, bool]:
 def parse(html: str) -> Page:
     page, stack = Page(), []
     elements = page.elements
+    still_open: Counter[str] = Counter()
     pieces: list[str] = []
     linked, links, at, size = 0, 0, 0, len(html)
 
@@ -119,10 +127,13 @@ def parse(html: str) -> Page:
 
     def close(tags: tuple[str, ...], limits: frozenset = frozenset()) -> None:
         """Pops up to the nearest of ``tags``, if it is open inside ``limits``."""
-        for depth in range(len(stack) - 1, -1, -1):
+        if not any(still_open[tag] for tag in tags):
+            return
+        for depth in range(len(stack) - 1, max(-1, len(stack) - 1 - FARTHEST), -1):
             tag = elements[stack[depth]].tag
             if tag in tags:
                 flush()
+                still_open.subtract(elements[e].tag for e in stack[depth:])
                 del stack[depth:]
                 return
             if tag in limits:
@@ -139,8 +150,7 @@ def parse(html: str) -> Page:
         if tag in HEADINGS and above == "header":
             return ""
         if tag == "header" and not above:
-            inside = any(elements[e].tag in ARTICLES for e in stack)
-            return "header" if inside else "around"
+            return "header" if stack and elements[stack[-1]].in_article else "around"
         return above or ("around" if tag in AROUND else "")
 
     while at < size:
@@ -166,8 +176,7 @@ def parse(html: str) -> Page:
         if closing:
             if tag not in INLINE:
                 flush()
-            if tag not in INLINE or any(elements[e].tag == tag for e in stack):
-                close((tag,))
+            close((tag,))
             continue
         classes, other = named(attributes) if attributes else ("", False)
         if tag in INLINE and not other:
@@ -182,9 +191,15 @@ def parse(html: str) -> Page:
         if attributes.rstrip().endswith("/") and tag in ("svg", "object"):
             continue
         parent = stack[-1] if stack else -1
-        above = elements[parent].path + ">" if stack else ""
-        elements.append(Element(tag, above + tag + classes, parent, inherited(tag, other)))
+        over = elements[parent] if stack else None
+        depth = over.depth + 1 if over else 0
+        path = tag + classes
+        if over:
+            path = f"{over.path}>{path}" if depth < DEEPEST else over.path
+        inside = tag in ARTICLES or bool(over and over.in_article)
+        elements.append(Element(tag, path, parent, depth, inside, inherited(tag, other)))
         stack.append(len(elements) - 1)
+        still_open[tag] += 1
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(html, at)
             at = end.start() if end else size
@@ -202,7 +217,7 @@ def best_container(page: Page) -> tuple[str, float]:
     for element, text, linked in page.blocks:
         free = max(0, len(text) - linked)
         worth = free * free / len(text) + text.count(",") * 10
-        chain = [e for e in page.chain(element)]
+        chain = list(islice(page.chain(element), 4))
         inner = chain[1:] if chain and page.elements[chain[0]].tag not in ("body", "div") else chain
         for share, container in zip((1.0, 0.5, 0.25), inner or chain):
             scores[container] = scores.get(container, 0.0) + share * worth
@@ -219,10 +234,10 @@ def best_container(page: Page) -> tuple[str, float]:
 
 
 def text_at(page: Page, path: str) -> str:
-    """Blocks inside any container with this path, in page order."""
-    inside = {n for n, e in enumerate(page.elements) if e.path == path}
-    kept = [
-        text for element, text, _ in page.blocks
-        if any(e in inside for e in page.chain(element))
-    ]
-    return "\n\n".join(kept)
+    """Blocks inside any container with this path, in page order; all without a path."""
+    inside: list[bool] = []
+    for e in page.elements:
+        inside.append(e.path == path or e.parent >= 0 and inside[e.parent])
+    return "\n\n".join(
+        text for element, text, _ in page.blocks if not path or element >= 0 and inside[element]
+    )

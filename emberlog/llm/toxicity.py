@@ -123,8 +123,9 @@ class Model:
 def fit_weights(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
     """Logistic regression by Newton steps; classes count alike."""
     weights = np.zeros(features.shape[1])
-    if not len(labels) or labels.all() or not labels.any():
-        weights[0] = 0.0 if not len(labels) else (4.0 if labels.all() else -4.0)
+    if labels.all() or not labels.any():
+        # Nothing tells the classes apart, so nothing is called toxic.
+        weights[0] = -4.0
         return weights
     share = labels.mean()
     own = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
@@ -283,9 +284,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``.
 
     A NULL text counts as empty, one window of a blank. Labels that are NULL or neither
-    0 nor 1 are not used; a document with several has the largest. With no label of one
-    class every text is given the other; with none the score is 0.5. A row with a NULL
-    doc_id is not held out. Rows may repeat; no rows give none. Other columns are not
+    0 nor 1 are not used; a document with several has the largest. Without labels of
+    both classes no text is called toxic. A row with a NULL doc_id is not held out. Rows may repeat; no rows give none. Other columns are not
     read.
     """
     found = score(docs, fit(docs, labels), "doc_id")
