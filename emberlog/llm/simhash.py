@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import map_batches, written
@@ -94,10 +94,10 @@ def links_within(members: np.ndarray, bits: int) -> list[tuple]:
     return links
 
 
-def block_links(keys: DataFrame, shared: DataFrame, bits: int, block: int) -> DataFrame:
-    """Links of the keys that more than two fingerprints share. A key's members are
-    dealt to blocks by a hash, and every two blocks are verified together."""
-    held = shared.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+def block_links(shared: DataFrame, bits: int, block: int) -> DataFrame:
+    """Links among the fingerprints of each key. A key's members are dealt to blocks by
+    a hash, and every two blocks are verified together."""
+    blocks = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -106,7 +106,7 @@ def block_links(keys: DataFrame, shared: DataFrame, bits: int, block: int) -> Da
         ),
     )
     dealt = (
-        keys.join(held, "key")
+        shared.withColumn("blocks", blocks)
         .withColumn("own", own)
         .select("key", "fp", F.explode(met).alias("met"))
         .groupBy("key", "met")
@@ -131,18 +131,9 @@ def block_links(keys: DataFrame, shared: DataFrame, bits: int, block: int) -> Da
 def link_fingerprints(codes: DataFrame, bits: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints ``fp`` as all pairs within
     ``bits`` bits would. Right for up to three bits."""
-    keys = variant_keys(codes)
-    shared = written(
-        keys.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("members"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .where("members > 1"),
-        "variants",
-    )
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    pairs = shared.where("members = 2").where(near).select("a", "b").distinct()
-    return pairs.unionByName(
-        block_links(keys, shared.where("members > 2"), bits, block).distinct()
-    )
+    members = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = variant_keys(codes).withColumn("members", members).where("members > 1")
+    return block_links(written(shared, "variants"), bits, block).distinct()
 
 
 def group(rows: DataFrame, order: str = "doc_id") -> DataFrame:
