@@ -65,6 +65,8 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_linenumber = 7 OR (l_suppkey % 20 = 19 AND l_linenumber > 2)"
         " THEN 0 ELSE l_suppkey % 20 END AS e",
         "(l_orderkey + l_linenumber) % 50 = 0 AS failed",
+        # Some stages are tried twice.
+        "if(l_orderkey % 10 = 3 AND l_linenumber % 2 = 0, 1, 0) AS attempt",
     )
     return items.join(
         _orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")
@@ -126,7 +128,7 @@ def _task_lines(tasks: DataFrame) -> DataFrame:
     event = _line(
         Event="'SparkListenerTaskEnd'",
         Stage_ID="stage_id",
-        Stage_Attempt_ID="0",
+        Stage_Attempt_ID="attempt",
         Task_Type="'ResultTask'",
         Task_End_Reason=_line(Reason="if(failed, 'ExceptionFailure', 'Success')"),
         Task_Info=info,
@@ -165,7 +167,7 @@ STAGE_SUMS = {
 
 def _stage_lines(tasks: DataFrame) -> DataFrame:
     sums = {f"a{n}": expr for n, expr in enumerate(STAGE_SUMS.values())}
-    stages = tasks.groupBy("k", "stage_id", "o_orderkey", "o_orderstatus", "submit").agg(
+    stages = tasks.groupBy("k", "stage_id", "attempt", "o_orderkey", "o_orderstatus", "submit").agg(
         F.count(F.lit(1)).alias("tasks"),
         F.max("dur").alias("longest"),
         *[F.expr(expr).alias(name) for name, expr in sums.items()],
@@ -180,7 +182,7 @@ def _stage_lines(tasks: DataFrame) -> DataFrame:
             )
         info = _line(
             Stage_ID="stage_id",
-            Stage_Attempt_ID="0",
+            Stage_Attempt_ID="attempt",
             Stage_Name="concat('stage ', o_orderkey)",
             Number_of_Tasks="tasks",
             Submission_Time="submit",

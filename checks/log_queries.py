@@ -118,7 +118,9 @@ def english_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         written(spark, sf_dir, "work_stage_task_profile"),
         language="en",
     )
-    return stages.select("app_id", "stage_id", "bottleneck_type", "severity", "recommendation")
+    return stages.select(
+        "app_id", "stage_id", "attempt_id", "bottleneck_type", "severity", "recommendation"
+    )
 
 
 def ignored_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +129,7 @@ def ignored_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         written(spark, sf_dir, "work_stage_task_profile"),
         ignore_failures_like="^abort",
     )
-    return stages.select("app_id", "stage_id", "status", "bottleneck_type")
+    return stages.select("app_id", "stage_id", "attempt_id", "status", "bottleneck_type")
 
 
 def other_joins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ t0 AS (
            (l_returnflag = 'R' AND l_tax > 0.07) AS speculative,
            CASE WHEN l_linenumber = 7 OR (l_suppkey % 20 = 19 AND l_linenumber > 2)
                 THEN 0 ELSE l_suppkey % 20 END AS e,
-           (l_orderkey + l_linenumber) % 50 = 0 AS failed
+           (l_orderkey + l_linenumber) % 50 = 0 AS failed,
+           CASE WHEN l_orderkey % 10 = 3 AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END AS attempt
     FROM lineitem JOIN o ON l_orderkey = o.o_orderkey),
 t AS (
     SELECT *, 'c-0001' AS cluster_id,
@@ -37,7 +38,7 @@ t AS (
            CASE WHEN dur > 0 THEN (dur * (500000 + 8000 * qty)) / 1e6 / dur * 100 END AS cpu_pct
     FROM t0),
 s AS (
-    SELECT cluster_id, app_id, k, stage_no AS stage_id, submit,
+    SELECT cluster_id, app_id, k, stage_no AS stage_id, attempt AS attempt_id, submit,
            'stage ' || o_orderkey AS stage_name,
            CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 = 0 THEN 'FAILED'
                 ELSE 'COMPLETED' END AS status,
@@ -58,7 +59,7 @@ s AS (
            CAST(sum(l_suppkey % 100) AS BIGINT) AS wait,
            CAST(sum(gc) AS BIGINT) / CAST(sum(dur) AS BIGINT) * 100 AS gc_pct,
            CAST(sum(cpu) AS BIGINT) / 1e6 / CAST(sum(dur) AS BIGINT) * 100 AS cpu_pct
-    FROM t GROUP BY cluster_id, app_id, k, stage_no, o_orderkey, o_orderstatus, submit),
+    FROM t GROUP BY cluster_id, app_id, k, stage_no, attempt, o_orderkey, o_orderstatus, submit),
 j AS (
     SELECT 'c-0001' AS cluster_id,
            'application_1700000000_' || lpad(CAST(k AS VARCHAR), 12, '0') AS app_id, k,
@@ -106,7 +107,7 @@ ADVICE = """    ('STAGE_FAILURE', 'HIGH', 'failure_reason を確認。OOM の場
 # Per stage attempt, successful tasks only.
 PROFILE = """,
 pr AS (
-    SELECT cluster_id, app_id, stage_no AS stage_id, count(*) AS task_count,
+    SELECT cluster_id, app_id, stage_no AS stage_id, attempt AS attempt_id, count(*) AS task_count,
            min(dur) AS task_min_ms, max(dur) AS task_max_ms, avg(dur) AS task_avg_ms,
            quantile_disc(dur, 0.5) AS p50, quantile_disc(dur, 0.75) AS p75,
            quantile_disc(dur, 0.95) AS p95, quantile_disc(dur, 0.99) AS p99,
@@ -118,9 +119,9 @@ pr AS (
            quantile_disc(remote_bytes + local_bytes, 0.5) AS sh_p50,
            CAST(sum(cpu) AS BIGINT) AS cpu_ns, CAST(sum(dur) AS BIGINT) AS run_ms,
            CAST(sum(gc) AS BIGINT) AS gc_ms
-    FROM t WHERE NOT failed GROUP BY cluster_id, app_id, stage_no),
+    FROM t WHERE NOT failed GROUP BY cluster_id, app_id, stage_no, attempt),
 st0 AS (
-    SELECT s.cluster_id, s.app_id, CAST(s.stage_id AS INTEGER) AS stage_id, 0 AS attempt_id,
+    SELECT s.cluster_id, s.app_id, CAST(s.stage_id AS INTEGER) AS stage_id, attempt_id,
            stage_name, status, failure_reason, CAST(num_tasks AS INTEGER) AS num_tasks,
            pr.task_count, CASE WHEN pr.task_count IS NOT NULL THEN 0 END AS failed_tasks,
            submit AS submission_ts, first_task AS first_task_ts, complete AS completion_ts,
@@ -148,7 +149,7 @@ st0 AS (
            gc_p95 AS gc_p95_ms, round(peak_p95 / 1048576.0::DOUBLE, 1) AS peak_mem_p95_mb,
            speculative_tasks, tasks_with_disk_spill,
            remote_bytes + local_bytes AS read_bytes, disk_spill, memory_spill
-    FROM s LEFT JOIN pr USING (cluster_id, app_id, stage_id)),
+    FROM s LEFT JOIN pr USING (cluster_id, app_id, stage_id, attempt_id)),
 st1 AS (
     SELECT *, CASE
            WHEN status = 'FAILED' THEN 'STAGE_FAILURE'
@@ -351,7 +352,7 @@ SELECT cluster_id, app_id, 'SparkListenerJobEnd', job_id, NULL, complete, NULL,
        job_result, NULL FROM j WHERE complete IS NOT NULL
 """,
     "silver_stage_events": BASE + """
-SELECT cluster_id, app_id, CAST(stage_id AS INTEGER) AS stage_id, 0 AS attempt_id, stage_name,
+SELECT cluster_id, app_id, CAST(stage_id AS INTEGER) AS stage_id, attempt_id, stage_name,
        status, failure_reason, CAST(num_tasks AS INTEGER) AS num_tasks, submit AS submission_ts,
        first_task AS first_task_ts, complete AS completion_ts, duration_ms, scheduling_delay_ms,
        run AS executor_run_time_ms, cpu AS executor_cpu_time_ns, gc AS jvm_gc_time_ms,
@@ -367,7 +368,7 @@ SELECT cluster_id, app_id, CAST(stage_id AS INTEGER) AS stage_id, 0 AS attempt_i
 FROM s
 """,
     "silver_task_events": BASE + """
-SELECT cluster_id, app_id, CAST(stage_no AS INTEGER) AS stage_id, 0 AS attempt_id,
+SELECT cluster_id, app_id, CAST(stage_no AS INTEGER) AS stage_id, attempt AS attempt_id,
        o_orderkey * 100 + l_linenumber AS task_id, l_linenumber AS index,
        'ResultTask' AS task_type,
        CASE WHEN failed THEN 'ExceptionFailure' ELSE 'Success' END AS task_result,
@@ -425,7 +426,7 @@ FROM p
     "gold_job_concurrency": BASE + CONCURRENCY + "SELECT * FROM jc",
     "gold_sql_photon_analysis": BASE + SQLS + "SELECT * FROM sq",
     "work_stage_task_profile": BASE + PROFILE + """
-SELECT cluster_id, app_id, CAST(stage_id AS INTEGER) AS stage_id, 0 AS attempt_id,
+SELECT cluster_id, app_id, CAST(stage_id AS INTEGER) AS stage_id, attempt_id,
        p50 AS task_p50_ms, p75 AS task_p75_ms, p95 AS task_p95_ms, p99 AS task_p99_ms,
        task_min_ms, task_max_ms, task_avg_ms, gc_p95 AS gc_p95_ms,
        peak_p95 AS peak_mem_p95_bytes, sh_p50 AS task_shuffle_p50_bytes,
@@ -675,11 +676,11 @@ ENGLISH = """
 
 OPTIONS = {
     "option_english_texts": BASE + PROFILE + f"""
-SELECT app_id, stage_id, bottleneck_type, severity, e.text AS recommendation
+SELECT app_id, stage_id, attempt_id, bottleneck_type, severity, e.text AS recommendation
 FROM st JOIN (VALUES {ENGLISH}) AS e(kind, text) ON e.kind = bottleneck_type
 """,
     "option_ignored_failures": BASE + PROFILE + """
-SELECT app_id, stage_id, status, CASE
+SELECT app_id, stage_id, attempt_id, status, CASE
        WHEN status = 'FAILED' AND failure_reason NOT LIKE 'abort%' THEN 'STAGE_FAILURE'
        WHEN disk_spill > 0 THEN 'DISK_SPILL'
        WHEN gc_overhead_pct > 20 THEN 'HIGH_GC'
@@ -696,10 +697,10 @@ SELECT sq.app_id, execution_id, total_join_count,
 FROM sq JOIN p ON p.p_partkey = execution_id
 """,
     "stage_task_extras": BASE + """
-SELECT cluster_id, app_id, CAST(stage_no AS INTEGER) AS stage_id, 0 AS attempt_id,
+SELECT cluster_id, app_id, CAST(stage_no AS INTEGER) AS stage_id, attempt AS attempt_id,
        count(*) FILTER (WHERE failed) AS failed_task_attempts,
        CAST(0 AS BIGINT) AS scheduling_delay_from_tasks_ms
-FROM t GROUP BY cluster_id, app_id, stage_no
+FROM t GROUP BY cluster_id, app_id, stage_no, attempt
 """,
     "rule_counts": BASE + """
 SELECT 'silver_application_events' AS table_name, 'valid_app_id' AS rule,
