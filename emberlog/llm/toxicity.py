@@ -7,8 +7,8 @@ thresholds that are calibrated on the labelled rows.
 
 A dictionary's content is trained as segments: words and beginnings of words, chosen
 by the bytes they save times the documents they occur in. The toxic
-dictionary holds those of ordinary text too, so that the difference of two lengths is
-due to what only toxic text has.
+dictionary holds those of ordinary text too, in the same place before the window, so
+that the difference of two lengths is due to what only toxic text has.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ LEAST_DOCUMENTS, LEAST_PART, LEAST_RATIO = 4, 0.01, 20.0
 CANDIDATES = 20_000
 THRESHOLDS = (2, 3, 4, 5, 6)
 MIN_MATCH = 4
+# What a match costs, and the length beyond which a toxic segment is worth no more.
+MATCH_BYTES, STEM_BYTES = 2.5, 8
 # 1, the largest saving, a count per threshold, the windows.
 FEATURES = len(THRESHOLDS) + 3
 
@@ -140,11 +142,11 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2)
     return weights
 
 
-def choose(segments: list[tuple[float, str]], most: int) -> list[str]:
-    """The most useful segments, without those that only repeat or extend another; the
-    best last, as it lies nearest to the text that is compressed."""
+def choose(segments: list[tuple[float, int, str]], most: int) -> list[str]:
+    """The most useful segments, of equal ones the longest, without those that only
+    repeat or extend another; the best last, as it lies nearest to what is compressed."""
     kept: list[str] = []
-    for _, segment in sorted(segments, reverse=True):
+    for *_, segment in sorted(segments, reverse=True):
         if len(kept) == most:
             break
         if not any(segment in other or other in segment for other in kept):
@@ -223,7 +225,6 @@ def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     )
     sizes = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
     toxic_docs, ordinary_docs = (max(1, sizes.get(c, 0)) for c in (1, 0))
-    saved = F.octet_length("segment") - 2.5
     rate = F.col("toxic") / toxic_docs
     base = (F.col("ordinary") + 0.5) / ordinary_docs
     # What marks a word stands at its beginning.
@@ -231,15 +232,18 @@ def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
         rate >= LEAST_RATIO * base
     )
 
-    def best(condition, worth) -> list[tuple[float, str]]:
-        rows = counted.where(condition).select((saved * worth).alias("worth"), "segment")
-        top = rows.orderBy(F.desc("worth"), "segment").limit(CANDIDATES).collect()
-        return [(row["worth"], row["segment"]) for row in top]
+    def best(condition, documents: str, longest: int) -> list[tuple[float, int, str]]:
+        size = F.octet_length("segment")
+        worth = (F.least(size, F.lit(longest)) - MATCH_BYTES) * F.col(documents)
+        rows = counted.where(condition).select(worth.alias("worth"), size.alias("size"), "segment")
+        top = rows.orderBy(F.desc("worth"), F.desc("size"), "segment").limit(CANDIDATES)
+        return [(row["worth"], row["size"], row["segment"]) for row in top.collect()]
 
-    ordinary = choose(best(F.col("ordinary") > 1, F.col("ordinary")), ORDINARY_SEGMENTS)
-    toxic = choose(best(distinctive, F.col("toxic")), TOXIC_SEGMENTS)
+    # The common beginning of toxic words is worth more than each of their endings.
+    toxic = choose(best(distinctive, "toxic", STEM_BYTES), TOXIC_SEGMENTS)
+    ordinary = choose(best(F.col("ordinary") > 1, "ordinary", 99), ORDINARY_SEGMENTS)
     plain = "".join(ordinary).encode()
-    return plain, plain + "".join(toxic).encode()
+    return plain, "".join(toxic).encode() + plain
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
