@@ -39,8 +39,7 @@ THRESHOLDS = (2, 3, 4, 5, 6)
 MIN_MATCH = 4
 # What a match costs, and the length beyond which a toxic segment is worth no more.
 MATCH_BYTES, STEM_BYTES = 2.5, 8
-# 1, the largest saving, a count per threshold, the windows.
-FEATURES = len(THRESHOLDS) + 3
+LARGEST_SAVING, SHARE_SCALE = 12, 100
 
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -101,29 +100,47 @@ def compressor(content: bytes):
 class Model:
     ordinary: bytes
     toxic: bytes
+    # Per threshold the share of ordinary text's windows over it.
+    false_rates: np.ndarray
     weights: np.ndarray
 
     def compressors(self):
         build = lambda: (compressor(self.ordinary), compressor(self.toxic))
         return worker_cache(("toxicity", self.ordinary, self.toxic), build)
 
-    def features(self, text: str | None) -> np.ndarray:
-        """1, the largest saving, per threshold the logarithm of the windows over it,
-        and the logarithm of all windows."""
+    def measures(self, text: str | None) -> np.ndarray:
+        """Windows, the largest saving, and per threshold the windows that reach it."""
         plain, toxic = self.compressors()
         parts = windows(text)
         saved = [len(plain.compress(w)) - len(toxic.compress(w)) for w in parts]
         over = np.bincount(np.clip(saved, 0, THRESHOLDS[-1]), minlength=THRESHOLDS[-1] + 1)
         above = over[::-1].cumsum()[::-1]
-        counts = np.log1p(above[list(THRESHOLDS)])
-        return np.concatenate([[1.0, min(max(saved), 12)], counts, [np.log(len(parts))]])
-
-    def score(self, features: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(features @ self.weights, -30, 30))))
+        largest = min(max(0, *saved), LARGEST_SAVING)
+        return np.array([len(parts), largest, *above[list(THRESHOLDS)]], float)
+
+    def features(self, measures: np.ndarray) -> np.ndarray:
+        """1, the largest saving, and for each threshold logarithms of the windows, and
+        of their share, beyond those that ordinary text of this length has."""
+        windows = measures[..., :1]
+        beyond = (measures[..., 2:] - windows * self.false_rates).clip(0)
+        return np.concatenate(
+            [
+                np.ones_like(windows),
+                measures[..., 1:2],
+                np.log1p(beyond),
+                np.log1p(SHARE_SCALE * beyond / windows),
+            ],
+            axis=-1,
+        )
+
+    def score(self, text: str | None) -> float:
+        total = self.features(self.measures(text)) @ self.weights
+        return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps; classes count alike."""
+    """Logistic regression by Newton steps; classes count alike, and no saving counts
+    against a text: columns with a negative weight are left out one after the other."""
     weights = np.zeros(features.shape[1])
     if labels.all() or not labels.any():
         # Nothing tells the classes apart, so nothing is called toxic.
@@ -131,15 +148,22 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2)
         return weights
     share = labels.mean()
     own = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-        slope = features.T @ (own * (labels - p)) - penalty * weights
-        curve = (features * (own * p * (1 - p))[:, None]).T @ features
-        step = np.linalg.solve(curve + penalty * np.eye(len(weights)), slope)
-        weights = weights + step
-        if np.abs(step).max() < 1e-6:
-            break
-    return weights
+    used = np.arange(features.shape[1])
+    while True:
+        x, found = features[:, used], np.zeros(len(used))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ found, -30, 30)))
+            slope = x.T @ (own * (labels - p)) - penalty * found
+            curve = (x * (own * p * (1 - p))[:, None]).T @ x
+            step = np.linalg.solve(curve + penalty * np.eye(len(used)), slope)
+            found = found + step
+            if np.abs(step).max() < 1e-6:
+                break
+        worst = 1 + int(np.argmin(found[1:])) if len(used) > 1 else 0
+        if not worst or found[worst] >= 0:
+            weights[used] = found
+            return weights
+        used = np.delete(used, worst)
 
 
 def choose(segments: list[tuple[float, int, str]], most: int) -> list[str]:
@@ -249,20 +273,23 @@ def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries, then the weights of the windows' savings, from labelled rows."""
     sample = written(labelled_sample(docs, labels), "labelled")
-    model = Model(*train_dictionaries(sample), np.zeros(FEATURES))
+    unknown = np.zeros(len(THRESHOLDS))
+    model = Model(*train_dictionaries(sample), unknown, unknown)
 
     def make():
         def convert(batch: pa.RecordBatch) -> dict:
-            found = [model.features(t).tolist() for t in batch.column(0).to_pylist()]
-            return {"toxic": batch.column(1), "features": found}
+            found = [model.measures(t).tolist() for t in batch.column(0).to_pylist()]
+            return {"toxic": batch.column(1), "measures": found}
 
         return convert
 
-    rows = map_batches(
-        sample.select("text", "toxic"), make, "toxic int, features array<double>"
-    ).collect()
-    features = np.array([row["features"] for row in rows], float).reshape(-1, FEATURES)
-    model.weights = fit_weights(features, np.array([row["toxic"] for row in rows], int))
+    schema = "toxic int, measures array<double>"
+    rows = map_batches(sample.select("text", "toxic"), make, schema).collect()
+    measures = np.array([row["measures"] for row in rows], float).reshape(-1, 2 + len(THRESHOLDS))
+    labels_seen = np.array([row["toxic"] for row in rows], int)
+    ordinary = measures[labels_seen == 0].sum(0)
+    model.false_rates = ordinary[2:] / max(1.0, ordinary[0])
+    model.weights = fit_weights(model.features(measures), labels_seen)
     return model
 
 
@@ -273,7 +300,7 @@ def score(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
         def convert(batch: pa.RecordBatch) -> dict:
             out = {name: batch.column(n) for n, name in enumerate(carried)}
             texts = batch.column(names.index("text")).to_pylist()
-            found = [model.score(model.features(t)) for t in texts]
+            found = [model.score(t) for t in texts]
             return out | {"score": found, "predicted": [int(f >= 0.5) for f in found]}
 
         return convert
