@@ -31,6 +31,7 @@ MOST_TRAINING_ROWS = 20_000
 LEAST_SHARE = 0.25
 MOST_LANGUAGES = 64
 UNDETERMINED = "und"
+RESULTS = ("lang_pred", "score")
 # Characters worked on at a time, so that memory does not follow a text's length.
 BLOCK_CHARS = 1 << 18
 
@@ -166,22 +167,28 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(crc32_mod("doc_id", 3) != 1)
 
 
-def identify(docs: DataFrame, model: Filter, *carried: str) -> DataFrame:
-    """The carried columns, lang_pred and score of each row, from its text alone."""
+def identify(
+    docs: DataFrame, model: Filter, *carried: str, names: tuple[str, str] = RESULTS
+) -> DataFrame:
+    """The carried columns, lang_pred and score of each row, from its text alone.
 
-    names = [*carried] if "text" in carried else [*carried, "text"]
+    ``names`` are the results' names, for tables that have columns called so.
+    """
+
+    read = [*carried] if "text" in carried else [*carried, "text"]
 
     def make():
         def convert(batch: pa.RecordBatch) -> dict:
             out = {name: batch.column(n) for n, name in enumerate(carried)}
-            found = [model.decide(t) for t in batch.column(names.index("text")).to_pylist()]
-            return out | {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+            found = [model.decide(t) for t in batch.column(read.index("text")).to_pylist()]
+            return out | {names[0]: [f[0] for f in found], names[1]: [f[1] for f in found]}
 
         return convert
 
     types = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {types[c]}, " for c in carried) + "lang_pred string, score double"
-    return map_batches(docs.select(*names), make, schema)
+    schema = "".join(f"`{c}` {types[c]}, " for c in carried)
+    schema += f"`{names[0]}` string, `{names[1]}` double"
+    return map_batches(docs.select(*read), make, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:

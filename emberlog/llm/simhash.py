@@ -167,11 +167,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that remain when one of each group stays: that with the
     smallest doc_id, of repeated rows one."""
-    columns = docs.columns
-    kept = docs.select(*columns, F.monotonically_increasing_id().alias("__row"))
+    columns, number = docs.columns, "__row"
+    while number in columns:
+        number += "_"
+    kept = docs.select(*columns, F.monotonically_increasing_id().alias(number))
     kept = written(kept, "numbered")
-    rows = written(fingerprints(kept, "__row", "doc_id"), "simhash")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+    rows = written(fingerprints(kept, number, "doc_id"), "simhash")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(number).alias("row"))
     grouped = group(rows.withColumn("order", order), "order")
-    survivors = grouped.select(F.col("least.__row").alias("__row")).distinct()
-    return kept.join(survivors, "__row", "left_semi").select(*columns)
+    survivors = grouped.select(F.col("least.row").alias(number)).distinct()
+    return kept.join(survivors, number, "left_semi").select(*columns)

@@ -39,6 +39,7 @@ THRESHOLDS = (2, 3, 4, 5, 6)
 MIN_MATCH = 4
 # What a match costs, and the length beyond which a toxic segment is worth no more.
 MATCH_BYTES, STEM_BYTES = 2.5, 8
+RESULTS = ("score", "predicted")
 LARGEST_SAVING, SHARE_SCALE = 12, 100
 
 SPACE = re.compile(r"\s+")
@@ -293,22 +294,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
-    """The carried columns, score and predicted of each row, from its text alone."""
+def score(
+    docs: DataFrame, model: Model, *carried: str, names: tuple[str, str] = RESULTS
+) -> DataFrame:
+    """The carried columns, score and predicted of each row, from its text alone.
+
+    ``names`` are the results' names, for tables that have columns called so.
+    """
 
     def make():
         def convert(batch: pa.RecordBatch) -> dict:
             out = {name: batch.column(n) for n, name in enumerate(carried)}
-            texts = batch.column(names.index("text")).to_pylist()
+            texts = batch.column(read.index("text")).to_pylist()
             found = [model.score(t) for t in texts]
-            return out | {"score": found, "predicted": [int(f >= 0.5) for f in found]}
+            return out | {names[0]: found, names[1]: [int(f >= 0.5) for f in found]}
 
         return convert
 
-    names = [*carried] if "text" in carried else [*carried, "text"]
+    read = [*carried] if "text" in carried else [*carried, "text"]
     types = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {types[c]}, " for c in carried) + "score double, predicted int"
-    return map_batches(docs.select(*names), make, schema)
+    schema = "".join(f"`{c}` {types[c]}, " for c in carried)
+    schema += f"`{names[0]}` double, `{names[1]}` int"
+    return map_batches(docs.select(*read), make, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
