@@ -43,11 +43,20 @@ def worker_cache(key: tuple, build: Callable[[], Any]) -> Any:
     return store[key]
 
 
+# Documents are wide: a batch of them is held some times over by a worker and by the JVM.
+MOST_ROWS_PER_BATCH = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str
 ) -> DataFrame:
     """Rows made batch by batch: ``make()`` runs in the task and gives the function
-    from a record batch to output columns by name."""
+    from a record batch to output columns by name. Lowers the session's limit of rows
+    per Arrow batch if it is larger than the one above."""
+    settings = df.sparkSession.conf
+    if not 0 < int(settings.get(BATCH_SETTING)) <= MOST_ROWS_PER_BATCH:
+        settings.set(BATCH_SETTING, str(MOST_ROWS_PER_BATCH))
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
