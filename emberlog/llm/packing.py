@@ -21,6 +21,8 @@ from emberlog.llm.encoding import ID_BYTES, encoder
 SEQUENCE = 2048
 END_ID = 1
 GROUP = 1024
+# Parts whose bases are broadcast, 12 bytes each; more are joined by a shuffle.
+MOST_BROADCAST_PARTS = 500_000
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -70,6 +72,13 @@ def part_bases(totals: DataFrame) -> DataFrame:
     )
 
 
+def small_bases(totals: DataFrame) -> DataFrame:
+    """:func:`part_bases`, written, and broadcast while they are few: there is one per
+    task that wrote the rows."""
+    bases = written(part_bases(totals), "bases")
+    return F.broadcast(bases) if bases.count() <= MOST_BROADCAST_PARTS else bases
+
+
 def pack(
     docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID
 ) -> DataFrame:
@@ -87,7 +96,7 @@ def pack(
     counted = rows.withColumn("doc_tokens", n.cast("long"))
     totals = counted.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     first = F.col("base") + F.col("before")
-    placed = counted.join(part_bases(totals), "part").withColumn("first", first)
+    placed = counted.join(small_bases(totals), "part").withColumn("first", first)
     pieces = placed.withColumn(
         "sequence_id",
         F.explode(
