@@ -14,7 +14,7 @@ def duck():
 
 
 def test_every_query_has_an_answer():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(entry.queries()) - (set(entry.LLM_QUERIES) - set(entry.LLM_ORACLES))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
