@@ -715,6 +715,10 @@ UNION ALL SELECT 'silver_task_events', 'has_metrics', count(*), 0 FROM t
 
 QUERIES = TABLES | OPTIONS
 QUERIES |= {f"report_{name}": sql for name, sql in REPORTS.items()}
+QUERIES |= {
+    f"ranked_{name}": f"SELECT *, row_number() OVER () AS place FROM ({REPORTS[name]})"
+    for name in ("slowest_jobs", "worst_stages", "least_efficient_jobs", "least_accelerated")
+}
 QUERIES |= {
     f"report_chart_{name}": _from(d, f"SELECT {by}, {value} AS value FROM {{r}} GROUP BY {by}")
     for name, (d, by, value) in CHARTS.items()
