@@ -22,7 +22,7 @@ from emberlog.llm.common import map_batches, written
 
 SHARDS = 40
 ROW_BYTES = 16
-# Partial partitions that one combination holds.
+# Partial partitions that one combination holds at most; an Arrow batch may hold fewer.
 BATCH = 20_000
 
 
@@ -176,17 +176,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, batch_size: int = BAT
             (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
             F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
             name,
+            # Where the row was read: a group's rows lie in as many blocks as they did.
+            F.spark_partition_id().alias("block"),
+            F.monotonically_increasing_id().alias("line"),
         ),
         "sized",
     )
     groups = rows.groupBy("name").agg(F.sum("size").alias("size"))
     placed = rows.join(shard_groups(groups, shards, batch_size), "name").drop("name")
-    placed = written(
-        placed.withColumn("block", F.spark_partition_id()).withColumn(
-            "line", F.monotonically_increasing_id()
-        ),
-        "placed",
-    )
+    placed = written(placed, "placed")
     # Rows are numbered inside (block, shard) and blocks added up before: no window
     # holds more than a block.
     counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("rows"))
