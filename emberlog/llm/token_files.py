@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import map_batches, written
 from emberlog.llm.encoding import ID_BYTES, encoder
-from emberlog.llm.packing import END_ID, part_bases
+from emberlog.llm.packing import END_ID, small_bases
 
 MAGIC = b"PFR1"
 HEADER = "<4sIIQ"
@@ -206,7 +206,7 @@ def read_token_files(segments: DataFrame) -> DataFrame:
     rows = map_batches(segments.select("part", "before", "doc_ids", "image"), make, schema)
     rows = written(rows, "token-rows")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    return rows.join(part_bases(totals), "part").select(
+    return rows.join(small_bases(totals), "part").select(
         "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
     )
 
