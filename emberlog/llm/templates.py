@@ -28,6 +28,8 @@ RUN_WORDS = 13
 LEAST_WORDS = 3
 # Item windows that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_WINDOWS = 500_000
+# Contaminated documents' ids that are broadcast, 8 bytes each; more by a shuffle.
+MOST_BROADCAST_KEYS = 1_000_000
 # Bits of the sketch of item windows that documents' windows are first held against.
 SKETCH_BITS = 1 << 23
 MOST_WORDS = 400_000
@@ -288,5 +290,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
-    found = matches(docs, benchmark).select("key").distinct()
+    found = written(matches(docs, benchmark).select("key").distinct(), "contaminated")
+    if found.count() <= MOST_BROADCAST_KEYS:
+        found = F.broadcast(found)
     return docs.join(found, docs.doc_id.eqNullSafe(found.key), "left_anti")
