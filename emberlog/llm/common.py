@@ -48,12 +48,28 @@ MOST_ROWS_PER_BATCH = 500
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least_rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, joined until they have so many rows; the last may have fewer."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least_rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str
+    df: DataFrame,
+    make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]],
+    schema: str,
+    least_rows: int = 1,
 ) -> DataFrame:
     """Rows made batch by batch: ``make()`` runs in the task and gives the function
     from a record batch to output columns by name. Lowers the session's limit of rows
-    per Arrow batch if it is larger than the one above."""
+    per Arrow batch if it is larger than the one above. ``least_rows``: rows that the
+    function should see at once, if the rows are narrow."""
     settings = df.sparkSession.conf
     if not 0 < int(settings.get(BATCH_SETTING)) <= MOST_ROWS_PER_BATCH:
         settings.set(BATCH_SETTING, str(MOST_ROWS_PER_BATCH))
@@ -61,7 +77,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
-        for batch in batches:
+        for batch in gathered(batches, least_rows):
             if batch.num_rows:
                 columns = convert(batch)
                 yield pa.RecordBatch.from_arrays(

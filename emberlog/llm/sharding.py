@@ -22,7 +22,8 @@ from emberlog.llm.common import map_batches, written
 
 SHARDS = 40
 ROW_BYTES = 16
-# Partial partitions that one combination holds at most; an Arrow batch may hold fewer.
+# Partial partitions that one combination holds. The more, the evener: large groups need
+# many small ones beside them.
 BATCH = 20_000
 
 
@@ -90,7 +91,7 @@ def deal_groups(groups: DataFrame, shards: int, batch_size: int) -> DataFrame:
         return convert
 
     schema = "cell long, name binary, size long, part int"
-    return map_batches(groups.select("name", "size"), make, schema)
+    return map_batches(groups.select("name", "size"), make, schema, batch_size)
 
 
 def combine_cells(sizes: DataFrame, shards: int, batch_size: int) -> DataFrame:
@@ -120,7 +121,7 @@ def combine_cells(sizes: DataFrame, shards: int, batch_size: int) -> DataFrame:
         return convert
 
     schema = "cell long, into long, moved array<int>, combined array<long>"
-    return map_batches(sizes.select("cell", "sizes"), make, schema)
+    return map_batches(sizes.select("cell", "sizes"), make, schema, batch_size)
 
 
 def shard_groups(groups: DataFrame, shards: int = SHARDS, batch_size: int = BATCH) -> DataFrame:
