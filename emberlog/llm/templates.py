@@ -3,18 +3,20 @@
 Numbers, names and units of a text become typed placeholders, so a question keeps its
 template when its parameters are changed. Windows of template words are hash-joined
 with those of the benchmark items; the slots behind the placeholders must then map
-consistently: on one alignment of an item with a document, equal slots of the item
-stand for equal slots of the document and different ones for different ones.
+consistently: on one alignment of an item with a document, windows count whose slots
+have the values that stand for the item's equal slots at over half of their places.
+Windows that match word for word count in any case.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import map_batches, worker_cache, written
@@ -97,31 +99,45 @@ def windows(codes: np.ndarray, width: int = WINDOW) -> np.ndarray:
         return np.zeros(0, np.int64)
     span = min(width, len(codes))
     values = codes.view(np.uint64)
-    total = np.full(len(codes) - span + 1, span, np.uint64)
-    for n in range(span):
-        step = values[n : len(values) - span + 1 + n]
+    return mixed([values[n : len(values) - span + 1 + n] for n in range(span)], span)
+
+
+def mixed(steps: Iterable[np.ndarray], seed: int) -> np.ndarray:
+    """A hash per column of the steps."""
+    total = None
+    for step in steps:
+        if total is None:
+            total = np.full(len(step), seed, np.uint64)
         total = (total ^ (step ^ (step >> np.uint64(29)))) * np.uint64(0xA24BAED4963EE407)
         total ^= total >> np.uint64(32)
     return total.view(np.int64)
 
 
-def text_windows(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, places, slots): of the template's windows, then of the plain words'
-    windows where they differ. Windows of mostly placeholders are left out."""
+def text_windows(
+    text: str | None, widest: int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, places, starts, widths, slots): of the template's windows, then of
+    the plain words' windows where they differ, with width 0. Windows of mostly
+    placeholders are left out.
+    ``slots`` are those of the text's words."""
     codes, slots, plain = template(text)
     hashes, own = windows(codes), windows(plain)
     if not len(hashes):
-        return hashes, hashes, np.zeros((0, WINDOW), np.int64)
+        return hashes, hashes, hashes, hashes, slots
     span = min(WINDOW, len(codes))
-    padded = np.zeros((len(hashes), WINDOW), np.int64)
-    padded[:, :span] = np.lib.stride_tricks.sliding_window_view(slots, span)
     places = np.arange(len(hashes))
-    enough = span - np.count_nonzero(padded, axis=1) >= min(LEAST_WORDS, span)
+    known = np.concatenate([[0], np.cumsum(slots == 0)])
+    enough = known[span:] - known[:-span] >= min(LEAST_WORDS, span)
     differ = hashes != own
+    wide = [np.zeros(0, np.int64)] * 4
     return (
-        np.concatenate([hashes[enough], own[differ]]),
-        np.concatenate([places[enough], places[differ]]),
-        np.concatenate([padded[enough], np.zeros((int(differ.sum()), WINDOW), np.int64)]),
+        np.concatenate([hashes[enough], wide[0], own[differ]]),
+        np.concatenate([places[enough], wide[1], places[differ]]),
+        np.concatenate([places[enough], wide[2], places[differ]]),
+        np.concatenate(
+            [np.full(int(enough.sum()), span), wide[3], np.zeros(int(differ.sum()), np.int64)]
+        ),
+        slots,
     )
 
 
@@ -141,32 +157,44 @@ def make_sketch(batches) -> np.ndarray:
     return np.packbits(bits)
 
 
-def window_rows(texts: DataFrame, key: str, sketch: np.ndarray | None) -> DataFrame:
-    """(key, window, place, slots, words) of every row; with a sketch only the windows
-    that it may hold."""
+def window_rows(
+    texts: DataFrame, key: str, sketch: np.ndarray | None, widest: int | None = None
+) -> DataFrame:
+    """(key, row, window, place, start, slots, words) of every row; with a sketch only the
+    windows that it may hold. ``row`` is a hash of the text, as keys may repeat; ``start``
+    is the place of the first slot."""
 
     def make():
         bits = None if sketch is None else np.unpackbits(sketch).view(bool)
 
         def convert(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {c: [] for c in ("key", "window", "place", "slots", "words")}
+            columns = ("key", "row", "window", "place", "start", "slots", "words")
+            out: dict[str, list] = {c: [] for c in columns}
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, places, slots = text_windows(text)
-                if bits is not None and len(hashes):
+                hashes, places, starts, widths, slots = text_windows(text, widest)
+                if not len(hashes):
+                    continue
+                words = int(places.max()) + 1
+                if bits is not None:
                     first, second = sketch_places(hashes)
                     held = bits[first] & bits[second]
-                    hashes, places, slots = hashes[held], places[held], slots[held]
+                    hashes, places = hashes[held], places[held]
+                    starts, widths = starts[held], widths[held]
                 if len(hashes):
+                    data = text.encode("utf-8", "surrogatepass")
+                    row = zlib.crc32(data) << 31 ^ zlib.crc32(data[::-1] + b"~")
                     out["key"].extend([name] * len(hashes))
+                    out["row"].extend([row] * len(hashes))
                     out["window"].extend(hashes.tolist())
                     out["place"].extend(places.tolist())
-                    out["slots"].extend(slots.tolist())
-                    out["words"].extend([int(places.max()) + 1] * len(hashes))
+                    out["start"].extend(starts.tolist())
+                    out["slots"].extend(slots[a : a + n] for a, n in zip(starts, widths))
+                    out["words"].extend([words] * len(hashes))
             return out
 
         return convert
 
-    schema = "key long, window long, place long, slots array<long>, words long"
+    schema = "key long, row long, window long, place long, start long, slots array<long>, words long"
     return map_batches(texts.select(key, "text"), make, schema)
 
 
@@ -196,48 +224,75 @@ def item_sketch(items: DataFrame) -> np.ndarray:
     return sketch.view(np.uint8)
 
 
+def unusual_pairs() -> Column:
+    """The pairs of an alignment whose value does not stand for the item's slot at over
+    half of its places."""
+    pairs = F.col("pairs")
+
+    def usual(pair: Column) -> Column:
+        same = F.filter(pairs, lambda p: p["i"] == pair["i"])
+        return F.size(F.filter(same, lambda p: p["d"] == pair["d"])) * 2 > F.size(same)
+
+    return F.filter(pairs, lambda p: ~usual(p))
+
+
+def kept_places() -> Column:
+    """Places of the windows ``found`` of an alignment that match word for word or have
+    no unusual pair."""
+    kept = F.filter(
+        F.col("found"),
+        lambda w: F.forall(w["pairs"], lambda p: p["d"] == p["i"])
+        | ~F.arrays_overlap(w["pairs"], F.col("unusual")),
+    )
+    kept = F.when(F.size("unusual") == 0, F.col("found")).otherwise(kept)
+    return F.sort_array(F.array_distinct(F.transform(kept, lambda w: w["item_place"])))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, item_id, coverage, run): items and the rows that they contaminate.
 
     An item of fewer words than a window is matched as a whole by a text that is no
-    longer. Only alignments with consistent slots count.
+    longer. Of an alignment count the windows that match word for word and those whose
+    slots follow its majority mapping; rows of one key are aligned by themselves.
     """
     items = written(
         window_rows(benchmark.selectExpr("item_id AS key", "text"), "key", None), "items"
     )
     items = items.where("key IS NOT NULL")
-    count = items.count()
-    found = window_rows(docs.selectExpr(f"`{key}` AS key", "text"), "key", item_sketch(items))
-    found = written(found, "windows")
+    count, widest = items.agg(F.count(F.lit(1)), F.max(F.size("slots"))).first()
+    texts = docs.selectExpr(f"`{key}` AS key", "text")
+    found = window_rows(texts, "key", item_sketch(items), widest or WINDOW)
+    found = written(found.drop("start", "words"), "windows")
     right = items.select(
         "window",
         F.col("key").alias("item_id"),
+        F.col("row").alias("item_row"),
         F.col("place").alias("item_place"),
+        F.col("start").alias("item_start"),
         F.col("slots").alias("item_slots"),
         F.col("words").alias("item_windows"),
     )
     if count <= MOST_BROADCAST_WINDOWS:
         right = F.broadcast(right)
-    pair = F.transform(
-        F.filter(
-            F.arrays_zip("slots", "item_slots"),
-            lambda s: (s["slots"] != 0) & (s["item_slots"] != 0),
+    both = F.transform(
+        F.arrays_zip("slots", "item_slots"),
+        lambda s, n: F.struct(
+            (F.col("item_start") + n).alias("at"),
+            s["slots"].alias("d"),
+            s["item_slots"].alias("i"),
         ),
-        lambda s: F.struct(s["slots"].alias("d"), s["item_slots"].alias("i")),
     )
+    pairs = F.filter(both, lambda p: (p["d"] != 0) & (p["i"] != 0))
     aligned = (
         found.join(right, "window")
-        .withColumn("pairs", pair)
+        .withColumn("pairs", pairs)
         .withColumn("shift", F.col("place") - F.col("item_place"))
-        .groupBy("key", "item_id", "shift", "item_windows")
-        .agg(
-            F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-            F.sort_array(F.collect_set("item_place")).alias("places"),
-        )
+        .groupBy("key", "row", "item_id", "item_row", "shift", "item_windows")
+        .agg(F.collect_set(F.struct("item_place", "pairs")).alias("found"))
+        .withColumn("pairs", F.array_distinct(F.flatten(F.col("found.pairs"))))
+        .withColumn("unusual", unusual_pairs())
+        .withColumn("places", kept_places())
     )
-    consistent = (
-        F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
-    ) & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
     # The longest row of consecutive places: a place less its rank is constant in it.
     ranked = F.transform("places", lambda p, n: p - n)
     longest = F.array_max(
@@ -246,7 +301,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
         )
     )
     return (
-        aligned.where(consistent)
+        aligned.where(F.size("places") > 0)
         .withColumn("run", longest)
         .groupBy("key", "item_id", "item_windows")
         .agg(
