@@ -113,12 +113,37 @@ def mixed(steps: Iterable[np.ndarray], seed: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def wide_windows(
+    codes: np.ndarray, slots: np.ndarray, widest: int | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, places, starts, widths) of windows with too few plain words, each widened
+    to its right and to its left until it has enough; those wider than ``widest`` and
+    those that the text ends before are left out."""
+    size = len(codes)
+    known = np.concatenate([[0], np.cumsum(slots == 0)])
+    places = np.arange(max(0, size - WINDOW + 1))
+    places = places[known[places + WINDOW] - known[places] < LEAST_WORDS]
+    right = np.searchsorted(known, known[places] + LEAST_WORDS)
+    left = np.searchsorted(known, known[places + WINDOW] - LEAST_WORDS, "right") - 1
+    found = []
+    for side, starts, ends in ((1, places, right), (2, left, places + WINDOW)):
+        widths = ends - starts
+        held = (starts >= 0) & (ends <= size) & (widths <= (widest or size))
+        for width in np.unique(widths[held]):
+            own = held & (widths == width)
+            spread = codes[starts[own][:, None] + np.arange(width)]
+            hashes = mixed(spread.T.view(np.uint64), int(width) | side << 32)
+            found.append((hashes, places[own], starts[own], widths[own]))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
 def text_windows(
     text: str | None, widest: int | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, places, starts, widths, slots): of the template's windows, then of
-    the plain words' windows where they differ, with width 0. Windows of mostly
-    placeholders are left out.
+    """(hashes, places, starts, widths, slots): of the template's windows, of those that
+    had to be widened, then of the plain words' windows where they differ, with width 0.
     ``slots`` are those of the text's words."""
     codes, slots, plain = template(text)
     hashes, own = windows(codes), windows(plain)
@@ -130,6 +155,8 @@ def text_windows(
     enough = known[span:] - known[:-span] >= min(LEAST_WORDS, span)
     differ = hashes != own
     wide = [np.zeros(0, np.int64)] * 4
+    if not enough.all():
+        wide = wide_windows(codes, slots, widest)
     return (
         np.concatenate([hashes[enough], wide[0], own[differ]]),
         np.concatenate([places[enough], wide[1], places[differ]]),

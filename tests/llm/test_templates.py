@@ -49,3 +49,23 @@ def test_inconsistent_slots_do_not_count(spark):
     names = iter(["Ann", "Eva", "Max", "Kim", "Lea"])
     copy = " ".join(next(names) if w == "Tom" else w for w in item.split())
     assert found(spark, [item], [(1, copy)]) == {}
+
+
+def test_items_dense_in_parameters(spark):
+    item = "so Anna has 5 kg and Bob 7 kg and Eva 9 kg and Max 4 kg and Kim 2 kg of red plums, who has most"
+    copy = "so Petra has 6 kg and Jim 8 kg and Una 1 kg and Leo 3 kg and Fay 11 kg of red plums, who has most"
+    got = found(spark, [item], [(1, copy), (2, item)])
+    assert got[1, 0]["coverage"] == got[2, 0]["coverage"] == 1.0
+    assert got[1, 0]["run"] == len(templates.template(item)[0])
+
+
+def test_wide_windows_hold_enough_plain_words():
+    text = "we put 1 2 3 4 5 6 7 8 9 in a box"
+    hashes, places, starts, widths, slots = templates.text_windows(text)
+    wide = widths > templates.WINDOW
+    assert wide.any() and set(places.tolist()) == set(range(len(slots) - 4))
+    for at, start, width in zip(places[wide], starts[wide], widths[wide]):
+        assert start <= at and at + 5 <= start + width
+        assert (slots[start : start + width] == 0).sum() == templates.LEAST_WORDS
+    narrow = templates.text_windows(text, 6)
+    assert narrow[3].max() <= 6
