@@ -16,6 +16,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 QUALIFIED = re.compile(r"(?:has|with|without|no|is)[-_]", re.IGNORECASE)
+QUALIFIED_INSIDE = re.compile(r"[-_](?:has|with|without|no)[-_].*", re.IGNORECASE)
 DIGITS = re.compile(r"\d+")
 
 # Element names of HTML by their role, and names that mark what is not
@@ -56,6 +57,11 @@ OTHER_ROLES = frozenset(
     "navigation banner complementary contentinfo search dialog alert alertdialog form".split()
 )
 KEPT_TAGS = frozenset("html body main article".split())
+# How far a name marks what is no article: by a part between others, by its first or last
+# part, or in whole. An element marked by a part is left out unless it holds more than
+# this share of the page's free text, one marked in whole unless no text is left.
+INNER, OUTER, WHOLE = 1, 2, 3
+LEAST_KEPT = {INNER: 0.5, OUTER: 0.9}
 ARTICLES = ("article", "main")
 # Containers below this depth go by the path of the one at it, and an open element is
 # looked for so far up at most: work stays in proportion to the page, however deep.
@@ -71,6 +77,8 @@ class Element:
     in_article: bool
     # "" if its text counts, else why not: "hard", "around" or "header".
     left_out: str
+    # INNER or OUTER if a part of a name marks it, else 0.
+    mark: int = 0
 
 
 @dataclass
@@ -78,6 +86,8 @@ class Page:
     elements: list[Element] = field(default_factory=list)
     # (element, text, characters inside links) in page order.
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    # Whether any name marks what is no article.
+    marked: bool = False
 
     def chain(self, element: int):
         while element >= 0:
@@ -85,26 +95,64 @@ class Page:
             element = self.elements[element].parent
 
 
-def named(attributes: str) -> tuple[str, bool]:
-    """The generalised classes of a tag, and whether they mark what is no article."""
-    classes, other = [], False
+def mark_of(name: str) -> int:
+    if QUALIFIED.match(name):
+        return 0
+    parts = [p.lower() for p in NAME_PART.findall(QUALIFIED_INSIDE.sub("", name))]
+    marks = [p in OTHER_PARTS for p in parts]
+    if not any(marks):
+        return 0
+    return WHOLE if all(marks) else OUTER if marks[0] or marks[-1] else INNER
+
+
+def named(attributes: str) -> tuple[str, int]:
+    """The generalised classes of a tag, and how far they mark what is no article."""
+    classes, other = [], 0
     for kind, value in ATTRIBUTE.findall(attributes):
         value, kind = value.strip("\"'"), kind.lower()
         if kind == "role":
-            other |= value.strip().lower() in OTHER_ROLES
+            other = WHOLE if value.strip().lower() in OTHER_ROLES else other
             continue
         names = value.split()
         if kind == "class":
             classes += names
         for name in names:
-            if not QUALIFIED.match(name):
-                parts = {p.lower() for p in NAME_PART.findall(name)}
-                other |= not parts.isdisjoint(OTHER_PARTS)
+            other = max(other, mark_of(name))
     general = sorted({DIGITS.sub("#", c.lower()) for c in classes})
     return "".join(f".{c}" for c in general), other
 
 
+def without_marked(page: Page) -> list[tuple[int, str, int]]:
+    """The blocks outside elements that a part of a name marks and that hold a minor
+    share of the free text; all if none is outside."""
+    if not any(e.mark for e in page.elements):
+        return page.blocks
+    free = [0] * len(page.elements)
+    total = 0
+    for element, text, linked in page.blocks:
+        own = max(0, len(text) - linked)
+        total += own
+        if element >= 0:
+            free[element] += own
+    for n in range(len(free) - 1, -1, -1):
+        if page.elements[n].parent >= 0:
+            free[page.elements[n].parent] += free[n]
+    dropped: list[bool] = []
+    for n, e in enumerate(page.elements):
+        own = e.mark and free[n] <= LEAST_KEPT[e.mark] * total
+        dropped.append(bool(own) or e.parent >= 0 and dropped[e.parent])
+    return [b for b in page.blocks if b[0] < 0 or not dropped[b[0]]] or page.blocks
+
+
 def parse(html: str) -> Page:
+    """The page's elements and the blocks that count; if there are none because of names
+    and roles, those that are there without regard to these."""
+    page = parse_marked(html, False)
+    page.blocks = without_marked(page)
+    return parse_marked(html, True) if page.marked and not page.blocks else page
+
+
+def parse_marked(html: str, regardless: bool) -> Page:
     page, stack = Page(), []
     elements = page.elements
     still_open: Counter[str] = Counter()
@@ -139,9 +187,9 @@ def parse(html: str) -> Page:
             if tag in limits:
                 return
 
-    def inherited(tag: str, other: bool) -> str:
+    def inherited(tag: str, other: int) -> str:
         above = elements[stack[-1]].left_out if stack else ""
-        if tag in DROPPED or other and tag not in KEPT_TAGS:
+        if tag in DROPPED or other == WHOLE and tag not in KEPT_TAGS:
             return "hard"
         if above == "hard":
             return "hard"
@@ -178,7 +226,10 @@ def parse(html: str) -> Page:
                 flush()
             close((tag,))
             continue
-        classes, other = named(attributes) if attributes else ("", False)
+        classes, other = named(attributes) if attributes else ("", 0)
+        if other:
+            page.marked = True
+            other = 0 if regardless else other
         if tag in INLINE and not other:
             continue
         if tag not in INLINE:
@@ -197,7 +248,8 @@ def parse(html: str) -> Page:
         if over:
             path = f"{over.path}>{path}" if depth < DEEPEST else over.path
         inside = tag in ARTICLES or bool(over and over.in_article)
-        elements.append(Element(tag, path, parent, depth, inside, inherited(tag, other)))
+        mark = other if other != WHOLE and tag not in KEPT_TAGS else 0
+        elements.append(Element(tag, path, parent, depth, inside, inherited(tag, other), mark))
         stack.append(len(elements) - 1)
         still_open[tag] += 1
         if tag in RAW:

@@ -67,6 +67,27 @@ def test_extract_alone(html, text):
     assert extraction.extract(html, None) == text
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["content-with-sidebar", "layout-sidebar-right", "elementor-widget-container",
+     "article-share-wrapper", "sidebar-layout", "widget"],
+)
+def test_wrapper_with_a_marked_name(name):
+    body = PAGE.replace('class="wrap"', f'class="{name}"')
+    if name == "widget":
+        body = "<body><div class='widget'><p>all there is</p></div></body>"
+        assert extraction.extract(body, None) == "all there is"
+    else:
+        body = body.replace("comments", "post-comments").format(n=1)
+        assert extraction.extract(body.replace("A comment, longer", "So"), None) == TEXT
+
+
+@pytest.mark.parametrize("name", ["post-share-row", "related-posts", "left-sidebar", "comments"])
+def test_marked_parts_of_a_page_go(name):
+    body = PAGE.replace('class="ad"', f'class="{name}"').format(n=1)
+    assert extraction.extract(body, None) == TEXT
+
+
 def test_hosts_agree(spark):
     """A page whose comments outweigh its article follows its host's other pages."""
     long_article = PAGE.replace("Second one", "Second one, " + "and much more, " * 60)
