@@ -1,11 +1,11 @@
 """Operator 2: language identification by language-bitmask n-gram filters.
 
 One Bloom filter answers for all languages: each of its positions holds a mask with a
-bit per language, and the AND of an n-gram's positions is the set of languages that
+bit per language, in as many 64-bit words as they need, and the AND of an n-gram's positions is the set of languages that
 contain it. A text's hits are counted per language, corrected for the hits that the
 filter's fill alone would give, and the largest share decides.
 
-The filter's size, the n-grams it takes per language and the rows it is fitted on are
+The filter's size, the n-grams it takes and the rows it is fitted on per language are
 parameters; none grows with the data. Its n-grams are three characters, the middle one
 a letter; other characters count as one blank.
 """
@@ -24,12 +24,13 @@ from emberlog.llm.common import crc32_mod, map_batches, worker_cache, written
 POSITIONS = 1 << 18
 PROBES = 3
 GRAMS_PER_LANGUAGE = 20_000
-# Labelled rows the filter is fitted on; more are thinned out by a hash of their id.
+# Labelled rows of a language the filter is fitted on; more are thinned out by a hash of
+# their id.
 MOST_TRAINING_ROWS = 20_000
 # An n-gram belongs to a language in which its share is at least this part of its
 # largest share in any: documents with foreign passages would fill the filter else.
 LEAST_SHARE = 0.25
-MOST_LANGUAGES = 64
+MASK_BITS = 64
 UNDETERMINED = "und"
 RESULTS = ("lang_pred", "score")
 # Characters worked on at a time, so that memory does not follow a text's length.
@@ -79,11 +80,13 @@ class Filter:
         hits, total = np.zeros(len(self.languages)), 0
         for hashes in grams(text):
             total += len(hashes)
-            held = self.masks[probes(hashes)[0]]
-            for places in probes(hashes)[1:]:
+            first, *others = probes(hashes)
+            held = self.masks[first]
+            for places in others:
                 held &= self.masks[places]
             for n in range(len(self.languages)):
-                hits[n] += np.count_nonzero(held >> np.uint64(n) & np.uint64(1))
+                word, bit = divmod(n, MASK_BITS)
+                hits[n] += np.count_nonzero(held[:, word] >> np.uint64(bit) & np.uint64(1))
         if not total or not self.languages:
             return UNDETERMINED, 0.0
         share = (hits / total - self.false_positive) / (1 - self.false_positive)
@@ -93,26 +96,37 @@ class Filter:
 
 def build_filter(rows: list[tuple[str, int]], languages: list[str]) -> Filter:
     """From (language, n-gram hash); languages in the order that wins ties."""
-    masks = np.zeros(POSITIONS, np.uint64)
+    words = max(1, -(-len(languages) // MASK_BITS))
+    masks = np.zeros((POSITIONS, words), np.uint64)
     fill = np.zeros(len(languages))
+    by_language: dict[str, list[int]] = {}
+    for name, gram in rows:
+        by_language.setdefault(name, []).append(gram)
     for n, language in enumerate(languages):
-        hashes = np.array([h for name, h in rows if name == language], np.int64)
+        word, bit = divmod(n, MASK_BITS)
+        hashes = np.array(by_language.get(language, []), np.int64)
         for places in probes(hashes.view(np.uint64)):
-            np.bitwise_or.at(masks, places, np.uint64(1 << n))
-        fill[n] = np.count_nonzero(masks >> np.uint64(n) & np.uint64(1)) / POSITIONS
+            masks[np.unique(places), word] |= np.uint64(1 << bit)
+        fill[n] = np.count_nonzero(masks[:, word] >> np.uint64(bit) & np.uint64(1)) / POSITIONS
     return Filter(languages, masks, fill**PROBES)
 
 
 def fit(labelled: DataFrame, most_rows: int = MOST_TRAINING_ROWS) -> Filter:
-    """A filter from (doc_id, text, lang). Rows without text or lang are left out."""
+    """A filter from (doc_id, text, lang), of about ``most_rows`` rows of each language
+    at most. Rows without text or lang are left out."""
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(
         "doc_id", "text", "lang"
     )
-    rows = usable.count()
-    if rows > most_rows:
-        scale = 1 << 20
-        usable = usable.where(
-            F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * most_rows / rows)
+    rows = usable.groupBy(F.col("lang").alias("__lang")).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = rows.where(F.col("__rows") > most_rows).collect()
+    if rows:
+        many = usable.sparkSession.createDataFrame(
+            [(r["__lang"], most_rows / r["__rows"]) for r in rows], "__lang string, __part double"
+        )
+        scale = 1 << 40
+        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("__part") * scale
+        usable = usable.join(F.broadcast(many), usable.lang == F.col("__lang"), "left").where(
+            F.col("__part").isNull() | drawn
         )
 
     def make():
@@ -143,15 +157,17 @@ def fit(labelled: DataFrame, most_rows: int = MOST_TRAINING_ROWS) -> Filter:
         counted.groupBy("lang")
         .agg(F.sum("n").alias("total"))
         .orderBy(F.desc("total"), "lang")
-        .limit(MOST_LANGUAGES)
         .collect()
     )
     if not totals:
         return build_filter([], [])
-    total = F.create_map(*[F.lit(x) for row in totals for x in (row["lang"], row["total"])])
+    total = counted.sparkSession.createDataFrame(
+        [(row["lang"], row["total"]) for row in totals], "lang string, total long"
+    )
     per_gram, per_lang = Window.partitionBy("gram"), Window.partitionBy("lang")
     chosen = (
-        counted.withColumn("share", F.col("n") / total[F.col("lang")])
+        counted.join(F.broadcast(total), "lang")
+        .withColumn("share", F.col("n") / F.col("total"))
         .withColumn("most", F.max("share").over(per_gram))
         .where(F.col("share") >= LEAST_SHARE * F.col("most"))
         .withColumn("rank", F.row_number().over(per_lang.orderBy(F.desc("n"), "gram")))
