@@ -63,7 +63,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
     return spark.createDataFrame([(bits,)], "bits array<long>")
 
 
-def kept_terms(text: Column, bits: Column) -> Column:
+def kept_terms(terms: Column, bits: Column) -> Column:
     """Sorted distinct term hashes in the band."""
 
     def in_band(term: Column) -> Column:
@@ -71,14 +71,24 @@ def kept_terms(text: Column, bits: Column) -> Column:
         cell = F.element_at(bits, (F.shiftright(slot, 6) + 1).cast("int"))
         return F.getbit(cell, slot.bitwiseAND(63).cast("int")) == 1
 
-    return F.sort_array(F.array_distinct(F.filter(term_hashes(text), in_band)))
+    return F.sort_array(F.array_distinct(F.filter(terms, in_band)))
+
+
+def or_whole(kept: Column, terms: Column, text: Column) -> Column:
+    """The kept terms; if there are none, all of the text's, or the text itself."""
+    every = F.sort_array(F.array_distinct(terms))
+    whole = F.when(F.size(terms) == 0, F.array(F.xxhash64(text))).otherwise(every)
+    return F.when(F.size(kept) == 0, whole).otherwise(kept)
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, bits: Column) -> DataFrame:
     """Adds ``name``: SCALES * DRAWS hashes of 15 bits, EMPTY for a subset without terms."""
     terms = [f"__terms{n}" for n in range(SCALES)]
     out = df.withColumn("__bits", bits)
-    out = out.withColumn(terms[0], kept_terms(F.col(text), F.col("__bits"))).drop("__bits")
+    out = out.withColumn("__all", term_hashes(F.col(text)))
+    out = out.withColumn("__kept", kept_terms(F.col("__all"), F.col("__bits")))
+    whole = or_whole(F.col("__kept"), F.col("__all"), F.col(text))
+    out = out.withColumn(terms[0], whole).drop("__bits", "__all", "__kept")
     for scale in range(1, SCALES):
         mask = ((1 << 2 * scale) - 1) << SCALE_BIT
         out = out.withColumn(terms[scale], rarer(F.col(terms[scale - 1]), mask))
@@ -171,8 +181,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) with the edited text and both fingerprints.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many
-    of the next document. A NULL text counts as empty; a text without a term in the
-    band has an empty fingerprint, so such texts are equal. Rows and ids may repeat.
+    of the next document. A NULL text counts as empty; of a text without a term in
+    the band all terms are hashed, of one without terms the text. Rows and ids may repeat.
     Other columns are not read. No rows give none.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
