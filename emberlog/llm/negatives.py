@@ -62,9 +62,7 @@ def packed_scores(candidates: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     biased[: len(c)] = c - low_c
     wide = biased[0::fields].astype(kind)
     for field in range(1, fields):
-        wide = wide + biased[field::fields].astype(kind) * kind(2 ** (field * bits)) if (
-            narrow
-        ) else wide + biased[field::fields] * (1 << (field * bits))
+        wide = wide + biased[field::fields].astype(kind) * (1 << (field * bits))
     sums = (wide @ (a - low_a).astype(kind).T).astype(whole)
     out = np.empty((len(biased), len(a)), whole)
     mask = (1 << bits) - 1
@@ -172,7 +170,11 @@ def blocks(rows: DataFrame, positives: int) -> DataFrame:
         return convert
 
     columns = rows.select("vec_id", "label", "parts", "key", "scores")
-    made = written(map_batches(columns, make, BLOCK, BLOCK_ROWS), "vector-blocks")
+    return written(map_batches(columns, make, BLOCK, BLOCK_ROWS), "vector-blocks")
+
+
+def numbered(made: DataFrame) -> DataFrame:
+    """Blocks with ``block``, their number from 0 over all partitions."""
     totals = made.groupBy("part").agg(F.count(F.lit(1)).alias("total"))
     return made.join(small_bases(totals), "part").withColumn(
         "block", F.col("base") + F.col("place")
@@ -340,8 +342,8 @@ def between_shares(
         some = anchor_blocks.where(F.col("block").between(first, last))
         some = some.withColumn("first", F.lit(0))
         few = _named(some, "a_", "block", "first", "keys", "scores", *SHAPE)
-        numbered = sides.withColumn("met", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        pairs = numbered.join(F.broadcast(few), F.col("met") == F.col("a_block"))
+        meeting = sides.withColumn("met", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        pairs = meeting.join(F.broadcast(few), F.col("met") == F.col("a_block"))
         return _best_lists(pairs, positives, negatives, chosen)
 
     lists = _in_rounds(anchor_blocks, one_round)
@@ -411,7 +413,7 @@ def hard_negatives(
     starts = written(
         rows.where("anchor").withColumn("key", F.monotonically_increasing_id()), "anchors"
     )
-    anchor_blocks = blocks(starts.sortWithinPartitions("label"), 0)
+    anchor_blocks = numbered(blocks(starts.sortWithinPartitions("label"), 0))
     found = nearest_of_label(candidate_blocks, anchor_blocks, positives)
     if found is None:
         return spark.createDataFrame([], RESULT)
@@ -421,7 +423,7 @@ def hard_negatives(
     )
     limited = starts.drop("scores").join(scores, "key")
     limited = limited.withColumn("scores", F.col("best.positive_score"))
-    limited_blocks = blocks(limited.sortWithinPartitions("label"), positives)
+    limited_blocks = numbered(blocks(limited.sortWithinPartitions("label"), positives))
     worst = between_shares(
         candidate_blocks, limited_blocks, positives, negatives, least_percent, most_percent
     )
