@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.llm.best_fit import pack_best_fit
 from emberlog.llm.common import table
 from emberlog.llm.extraction import main_text
 from emberlog.llm.imatch import fingerprint_report
@@ -77,6 +78,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(whole_numbers(embeddings), F.col("vec_id") % 50 == 0)
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pack_best_fit(documents, public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_language": op2_language,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_best_fit": op13_best_fit,
 }
 
 ORACLES: dict[str, str] = {
