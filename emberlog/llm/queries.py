@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.llm.alignment import align_documents
 from emberlog.llm.best_fit import pack_best_fit
 from emberlog.llm.common import table
 from emberlog.llm.extraction import main_text
@@ -24,6 +25,7 @@ from emberlog.llm.transducer import token_counts
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(whole_numbers(embeddings), F.col("vec_id") % 50 == 0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    byte_tokenizer = public_tokenizers.path(BYTE_TOKENIZER)
+    return align_documents(documents, byte_tokenizer, public_tokenizers.path(PIECE_TOKENIZER))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return pack_best_fit(documents, public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_alignment": op12_alignment,
     "op13_best_fit": op13_best_fit,
 }
 
