@@ -45,16 +45,17 @@ def difference(a: Column | str, b: Column | str) -> Column:
 
 
 def metric_map(entries: Column) -> Column:
-    """Name -> number of (Name, Value) entries; of repeated names the first counts.
+    """Name -> value as text of (Name, Value) entries; of repeated names the first counts.
 
-    Names hardly ever repeat, and only then are repeats searched for.
+    Names hardly ever repeat, and only then are repeats searched for; otherwise the map
+    is made of two arrays of fields, without a lambda per entry.
     """
-    names = F.transform(entries, lambda e: e["Name"])
+    names = entries.getField("Name")
     first = F.filter(entries, lambda e, n: F.array_position(names, e["Name"]) == n + 1)
-    unique = F.when(F.size(F.array_distinct(names)) == F.size(names), entries).otherwise(first)
-    return F.map_from_entries(
-        F.transform(unique, lambda e: F.struct(e["Name"], to_long(e["Value"])))
-    )
+    return F.when(
+        F.size(F.array_distinct(names)) == F.size(names),
+        F.map_from_arrays(names, entries.getField("Value")),
+    ).otherwise(F.map_from_entries(first))
 
 
 def first_found(metrics: Column, names: Sequence[str]) -> Column:
@@ -62,7 +63,7 @@ def first_found(metrics: Column, names: Sequence[str]) -> Column:
 
     0 when none of the names occurs; NULL when they occur without a number.
     """
-    values = [F.try_element_at(metrics, F.lit(name)) for name in names]
+    values = [to_long(F.try_element_at(metrics, F.lit(name))) for name in names]
     known = [F.coalesce(F.map_contains_key(metrics, name), F.lit(False)) for name in names]
     occurs = reduce(lambda a, b: a | b, known)
     return F.coalesce(*values, F.when(~occurs, F.lit(0).cast("long")))

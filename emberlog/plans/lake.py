@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.metrics import MIB
@@ -134,6 +134,29 @@ def build_tables(bronze: DataFrame, names: Iterable[str] | None = None) -> dict[
     return {name: build(name) for name in (TABLES if names is None else names)}
 
 
+# Log text shrinks ten- to a hundredfold, and a row group counts its pages as they are
+# written. A page that may grow larger than its group keeps the count in bytes of text, so
+# that a group ends after so much of it and the parsing of one file stays divisible.
+ROW_GROUP_TEXT = 32 * MIB
+ROW_GROUP_ROWS = 20_000
+
+
+def bronze_writer(df: DataFrame) -> DataFrameWriter:
+    """Writer of Bronze rows, split by event kind in small row groups.
+
+    Rebalancing splits the common kinds and merges the rare ones, else every input
+    split would write a file for each kind.
+    """
+    return (
+        df.hint("rebalance", "event_kind")
+        .write.mode("overwrite")
+        .partitionBy("event_kind")
+        .option("parquet.block.size", ROW_GROUP_TEXT)
+        .option("parquet.page.size", 2 * ROW_GROUP_TEXT)
+        .option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
+    )
+
+
 @dataclass(frozen=True)
 class Lake:
     """A folder with one Parquet table per name; Bronze is split by event kind."""
@@ -147,11 +170,7 @@ class Lake:
     def write(self, name: str, df: DataFrame) -> None:
         writer = df.write.mode("overwrite")
         if name == BRONZE:
-            # Log text shrinks about twentyfold: small row groups keep the parsing
-            # of one file divisible. Rebalancing splits the common kinds and merges the
-            # rare ones, else every input split would write a file for each kind.
-            writer = df.hint("rebalance", "event_kind").write.mode("overwrite")
-            writer = writer.partitionBy("event_kind").option("parquet.block.size", 32 * MIB)
+            writer = bronze_writer(df)
         writer.parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:

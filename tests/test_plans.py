@@ -64,9 +64,12 @@ def test_latest_by_key_limits_groups_before_the_shuffle(spark):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_no_python_and_no_cross_joins(spark, name):
     plan = plan_of(entry.queries()[name](spark, SMALLEST))
+    # Operators stand in numbered lines; a plan may name others in its literals.
+    operators = set(re.findall(r"^\(\d+\) (\w+)", plan, re.M))
+    assert operators
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEval",
                  "MapInPandas", "FlatMapGroups"):
-        assert word not in plan
+        assert not {o for o in operators if o.startswith(word)}
 
 
 def test_building_starts_no_job(spark):
