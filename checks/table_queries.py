@@ -146,7 +146,7 @@ def distinct_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by_key(
         table(spark, sf_dir, "events"),
         ["user_id", "event_type"],
-        [F.desc("ts"), F.desc("event_id")],
+        ["ts", "event_id"],
     ).select("user_id", "event_type", "event_id", _micros("ts").alias("at"), "value")
 
 

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def latest_by_key(
-    df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]
+    df: DataFrame, keys: Sequence[str], newness: Sequence[Column | str]
 ) -> DataFrame:
-    """First row of each key in the given order.
+    """The row of each key that is greatest by the columns of ``newness``, in order of
+    weight; NULL is least. Rows equal in all of them are told apart arbitrarily.
 
-    Spark cuts each map-side group to its first row before shuffling (window
-    group limit), so a frequent key does not gather in one task.
+    An aggregate, so that each task passes on one row per key: a frequent key neither
+    gathers in one task nor has its rows sorted there.
     """
-    ranked = Window.partitionBy(*keys).orderBy(*newest_first)
-    return (
-        df.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
+    rest = [c for c in df.columns if c not in keys]
+    latest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*newness))
+    return df.groupBy(*keys).agg(latest.alias("_latest")).select(
+        *[
+            F.col(f"`{c}`") if c in keys else F.col("_latest").getField(c).alias(c)
+            for c in df.columns
+        ]
     )

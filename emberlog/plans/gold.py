@@ -295,7 +295,9 @@ def executor_analysis(
     work_executor_load: DataFrame,
     silver_executor_events: DataFrame,
     silver_resource_profiles: DataFrame,
+    write_norms: bool = False,
 ) -> DataFrame:
+    """``write_norms``: see :func:`peer_load`; it starts a job."""
     lifecycle = lifecycle_pivot(
         silver_executor_events,
         EXECUTOR,
@@ -310,7 +312,13 @@ def executor_analysis(
     )
     profile = [*APP, "resource_profile_id"]
     return (
-        peer_load(work_executor_load, APP, "total_task_ms", "app_avg_task_ms")
+        peer_load(
+            work_executor_load,
+            APP,
+            "total_task_ms",
+            "app_avg_task_ms",
+            write_norms=write_norms,
+        )
         .join(lifecycle, EXECUTOR, "left")
         .join(silver_resource_profiles.drop("ingested_at"), profile, "left")
         .select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
@@ -99,6 +100,7 @@ TABLES: dict[str, Table] = {
         "load balance per executor",
         ("work_executor_load", "silver_executor_events", "silver_resource_profiles"),
         gold.executor_analysis,
+        partial(gold.executor_analysis, write_norms=True),
     ),
     "gold_bottleneck_report": Table(
         "gold",

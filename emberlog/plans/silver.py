@@ -277,13 +277,8 @@ def spark_config(bronze_raw_events: DataFrame) -> DataFrame:
         .where(F.col("config_key").rlike(S.CONFIG_KEEP_PATTERN))
     )
     rolled = F.regexp_extract("source_file", S.ROLLED_FILE_PATTERN, 1).try_cast("long")
-    newest = [
-        F.desc("ingested_at"),
-        F.desc_nulls_last("rolled"),
-        *[F.desc(c) for c in ("source_file", "place", "config_value")],
-    ]
-    settings = settings.withColumn("rolled", rolled)
-    return latest_by_key(settings, ["cluster_id", "app_id", "config_key"], newest).select(
+    newness = ["ingested_at", rolled, "source_file", "place", "config_value"]
+    return latest_by_key(settings, ["cluster_id", "app_id", "config_key"], newness).select(
         "cluster_id", "app_id", "config_key", "config_value", "ingested_at"
     )
 

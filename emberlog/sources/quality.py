@@ -32,14 +32,6 @@ TABLE_RULES: dict[str, tuple[Rule, ...]] = {
 }
 
 
-def drop_bad_rows(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Keep rows for which every dropping rule is true (NULL counts as broken)."""
-    for rule in rules:
-        if rule.drops:
-            df = df.where(rule.predicate)
-    return df
-
-
 def violation_counts(rules: tuple[Rule, ...]) -> list[Column]:
     """Per rule the number of rows that break it, as aggregates."""
     return [
@@ -56,3 +48,20 @@ def count_violations(
     Apply before :func:`drop_bad_rows`; read ``observation.get`` after the write.
     """
     return df.observe(observation, F.count(F.lit(1)).alias("rows"), *violation_counts(rules))
+
+
+def drop_bad_rows(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Keep rows for which every dropping rule is true (NULL counts as broken).
+
+    Spark would push the predicates below the parse and repeat it there, as many times
+    as they name columns of it. It pushes nothing below an observation.
+    """
+    dropping = [rule for rule in rules if rule.drops]
+    if not dropping:
+        return df
+    # The rules' names tell apart the observations of tables that meet in one plan.
+    name = "_".join(["broken", *[rule.name for rule in dropping]])
+    df = df.observe(name, *violation_counts(tuple(dropping)))
+    for rule in dropping:
+        df = df.where(rule.predicate)
+    return df

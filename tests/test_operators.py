@@ -129,8 +129,13 @@ def test_peer_load(spark):
 def test_latest_by_key(spark):
     rows = [("a", 1, "x"), ("a", 3, "y"), ("a", 3, "z"), ("b", 2, "w"), (None, 1, "n")]
     df = spark.createDataFrame(rows, "k string, at int, v string")
-    got = latest_by_key(df, ["k"], [F.desc("at"), F.desc("v")]).collect()
+    got = latest_by_key(df, ["k"], ["at", "v"]).collect()
     assert sorted(map(tuple, got), key=repr) == [("a", 3, "z"), ("b", 2, "w"), (None, 1, "n")]
+    # NULL is oldest.
+    rows = [("a", None, "x"), ("a", 1, None), ("b", None, "y")]
+    df = spark.createDataFrame(rows, "k string, at int, `v w` string")
+    got = latest_by_key(df, ["k"], ["at"]).collect()
+    assert sorted(map(tuple, got), key=repr) == [("a", 1, None), ("b", None, "y")]
 
 
 def test_id_lists(spark):
