@@ -4,18 +4,16 @@ Texts are shuffled by their full text, so that each distinct one is tokenised an
 once, whatever the number of its copies; counts of linked id pairs are weighted by that
 number, and the measures of a text are joined back to the ids of its documents.
 
-Both tokenizers are cut at a single space between two characters that are no white space:
-no token of either reaches over it. A worker keeps the alignment of the segments it has
-met, up to a number of bytes.
+Long texts are cut into chunks at a single space between two characters that are no white
+space: no token of either tokenizer reaches over it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-import struct
-from collections.abc import Callable
-
+from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,10 +23,8 @@ from emberlog.llm.common import map_batches, worker_cache, written
 from emberlog.llm.encoding import byte_characters
 
 # Python's white space includes all of the tokenizers', so these places are safe for both.
-SEGMENT_END = re.compile(r"(?<=\S) (?=\S)")
-# What a worker keeps of segments it has met; longer segments are aligned each time.
-MOST_BYTES = 120_000_000
-LONGEST_KEPT = 100
+CHUNK_START = re.compile(r"(?<=\S)(?= \S)")
+CHUNK_CHARS = 20_000
 # A pair or text of this share of all rows is hot; there are no more hot ones than that.
 HOT_PAIRS = 1 << 20
 HOT_TEXTS = 1000
@@ -36,95 +32,132 @@ HOT_TEXTS = 1000
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
-class Aligned:
-    """What the tokens of a segment say, added up over a text by the worker."""
+# Fixed value: how the byte-level pre-tokenizer splits a text.
+PRE_TOKENS = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+# Latin, Greek and Cyrillic letters, in which tables of letters of any age agree.
+LAST_AGREED = "\u052f"
 
-    __slots__ = ("sizes", "links", "groups")
 
-    def __init__(self, sizes: tuple[int, int, int], links: bytes, groups: str):
-        self.sizes, self.links, self.groups = sizes, links, groups
+class ByteTokens:
+    """Ids of a byte-level vocabulary and their bytes.
 
+    Where every merge makes the id next to the one before, ids are ranks, and tiktoken
+    finds the same tokens several times faster; chunks with other letters than those
+    above go to the tokenizers library all the same."""
 
-class Aligner:
-    """segment -> its alignment, None where the joined token bytes are not the text's."""
-
-    def __init__(self, path_a: str, path_b: str):
-        from sentencepiece import SentencePieceProcessor
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=path_b)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
         letters = {c: b for b, c in byte_characters().items()}
-        self.bytes_a = {
-            i: bytes(letters[c] for c in token)
-            for token, i in self.a.get_vocab(with_added_tokens=False).items()
-        }
-        self.bytes_b = {}
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
-            found = BYTE_PIECE.fullmatch(piece) if self.b.is_byte(i) else None
-            self.bytes_b[i] = (
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        tokens = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
+        self.bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
+        made = [vocabulary["".join(pair)] for pair in merges]
+        plain = model["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
+        }
+        ranked = plain and made == list(range(256, 256 + len(made))) and not model["normalizer"]
+        ranked = ranked and {bytes([n]) for n in range(256)} <= set(tokens.values())
+        self.quick = ranked and tiktoken.Encoding(
+            "ranks", pat_str=PRE_TOKENS, mergeable_ranks={t: i for i, t in tokens.items()},
+            special_tokens={},
+        )
+
+    def encode(self, text: str) -> list[int]:
+        if self.quick and (text.isascii() or max(text) <= LAST_AGREED):
+            return self.quick.encode_ordinary(text)
+        return self.library.encode(text, add_special_tokens=False).ids
+
+
+class PieceTokens:
+    """Ids of a sentencepiece model and their bytes."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.library = SentencePieceProcessor(model_file=path)
+        self.bytes = []
+        for i in range(self.library.get_piece_size()):
+            piece = self.library.id_to_piece(i)
+            found = BYTE_PIECE.fullmatch(piece) if self.library.is_byte(i) else None
+            self.bytes.append(
                 bytes([int(found[1], 16)]) if found else piece.replace("▁", " ").encode()
             )
-        self.kept: dict[str, Aligned | None] = {}
-        self.kept_bytes = 0
-
-    def tokens(self, segment: str) -> tuple[list[int], list[int]]:
-        """Ids of both; the segment begins with a space, which B adds by itself."""
-        return self.a.encode(segment, add_special_tokens=False).ids, self.b.encode(segment[1:])
-
-    def align(self, segment: str) -> Aligned | None:
-        ids_a, ids_b = self.tokens(segment)
-        parts_a = [self.bytes_a[i] for i in ids_a]
-        parts_b = [self.bytes_b[i] for i in ids_b]
-        whole = segment.encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        groups, links = [], []
-        at_a = at_b = from_a = from_b = end_a = end_b = 0
-        while at_a < len(ids_a) or at_b < len(ids_b):
-            if end_a <= end_b:
-                end_a += len(parts_a[at_a])
-                at_a += 1
-            else:
-                end_b += len(parts_b[at_b])
-                at_b += 1
-            if end_a == end_b:
-                groups.append(
-                    ",".join(map(str, ids_a[from_a:at_a]))
-                    + "|"
-                    + ",".join(map(str, ids_b[from_b:at_b]))
-                )
-                links.append(ids_a[at_a - 1] << 32 | ids_b[at_b - 1])
-                from_a, from_b = at_a, at_b
-        return Aligned(
-            (len(ids_a), len(ids_b), len(groups)),
-            struct.pack(f"<{len(links)}q", *links),
-            ";".join(groups),
-        )
 
-    def of(self, segment: str) -> Aligned | None:
-        if segment in self.kept:
-            return self.kept[segment]
-        made = self.align(segment)
-        if len(segment) <= LONGEST_KEPT:
-            # A segment, its alignment and their places in the table.
-            size = 500 + 4 * len(segment)
-            if made is not None:
-                size += len(made.links) + len(made.groups)
-            if self.kept_bytes + size <= MOST_BYTES:
-                self.kept[segment] = made
-                self.kept_bytes += size
-        return made
-
-    def text(self, text: str) -> list[Aligned] | None:
-        """The alignments of a text's segments in order. None if the joined bytes of
-        either tokenizer's tokens are not the text's."""
-        first, *others = SEGMENT_END.split(" " + text)
-        parts = [self.of(first)]
-        parts += [self.of(" " + segment) for segment in others]
-        return None if None in parts else parts
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text)
+
+
+class Aligner:
+    """Aligns texts chunk by chunk; a chunk ends where neither tokenizer reaches over."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
+        self.lengths_a = np.array([len(t) for t in self.a.bytes], np.int64)
+        self.lengths_b = np.array([len(t) for t in self.b.bytes], np.int64)
+        # How an id is written inside a group and at the end of its side of it.
+        count_a, count_b = len(self.a.bytes), len(self.b.bytes)
+        self.written = [f"{i}{end}".encode() for i in range(count_a) for end in ",|"]
+        self.written += [f"{i}{end}".encode() for i in range(count_b) for end in ",;"]
+        self.written = np.array(self.written, object)
+        self.pieces_b = np.array(self.b.bytes, object)
+        self.first_b = 2 * count_a
+
+    def chunk(self, chunk: str) -> tuple[int, int, np.ndarray, bytes] | None:
+        """Numbers of A's and B's tokens, the linked pairs and the groups of a chunk, which
+        begins with a space that B adds by itself. None if the joined bytes of either
+        tokenizer's tokens are not the chunk's."""
+        whole = chunk.encode()
+        a = np.array(self.a.encode(chunk), np.int64)
+        b = np.array(self.b.encode(chunk[1:]), np.int64)
+        # Ranks of single bytes make every text; only others have to be compared.
+        if not self.a.quick and b"".join([self.a.bytes[i] for i in a]) != whole:
+            return None
+        if b"".join(self.pieces_b[b].tolist()) != whole:
+            return None
+        end_a, end_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        ends = np.zeros(len(whole) + 1, np.int8)
+        ends[end_a] = 1
+        ends[end_b] += 2
+        last_a, last_b = ends[end_a] == 3, ends[end_b] == 3
+        pairs = a[last_a] << 32 | b[last_b]
+        # Groups come in order, in each A's tokens before B's.
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        through_a, through_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.append(0, through_b)[group_a]] = 2 * a + last_a
+        order[np.arange(len(b)) + through_a[group_b]] = self.first_b + 2 * b + last_b
+        return len(a), len(b), pairs, b"".join(self.written[order].tolist())
+
+    def text(self, text: str) -> tuple[int, int, np.ndarray, list[bytes]] | None:
+        """The same of a whole text, the groups in parts."""
+        n_a, n_b, pairs, groups = 0, 0, [], []
+        for chunk in chunks(" " + text):
+            found = self.chunk(chunk)
+            if found is None:
+                return None
+            n_a, n_b = n_a + found[0], n_b + found[1]
+            pairs.append(found[2])
+            groups.append(found[3])
+        groups[-1] = groups[-1][:-1]
+        return n_a, n_b, np.concatenate(pairs), groups
+
+
+def chunks(text: str) -> Iterator[str]:
+    start = 0
+    while start < len(text):
+        cut = CHUNK_START.search(text, start + CHUNK_CHARS)
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
+        start = end
 
 
 ALIGNED = (
@@ -156,21 +189,18 @@ def aligned_texts(
                 for k in ("copies", "text_key", "n_a", "n_b", "n_groups", "groups_sha256", "groups")
             }
             pairs, times = [], []
+            nothing = 0, 0, np.zeros(0, np.int64), []
             for text, key, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                parts = aligner.text(text) or []
-                n_a, n_b, n_groups = (sum([p.sizes[i] for p in parts]) for i in range(3))
-                groups = ";".join([p.groups for p in parts])
-                digest = hashlib.sha256(groups.encode()).hexdigest() if parts else ""
-                met, often = np.unique(
-                    np.frombuffer(b"".join([p.links for p in parts]), "<i8"), return_counts=True
-                )
+                n_a, n_b, links, groups = aligner.text(text) or nothing
+                met, often = np.unique(links, return_counts=True)
                 pairs.append(met)
                 times.append(often)
-                values = copies, key, n_a, n_b, n_groups
-                for name, value in zip(out, values):
+                for name, value in zip(out, (copies, key, n_a, n_b, len(links))):
                     out[name].append(value)
+                written_groups = b"".join(groups)
+                digest = hashlib.sha256(written_groups).hexdigest() if groups else ""
                 out["groups_sha256"].append(digest)
-                out["groups"].append(groups if keep_groups else None)
+                out["groups"].append(written_groups.decode() if keep_groups else None)
             ends = np.cumsum([0, *map(len, pairs)])
             for name, parts, kind in (("pairs", pairs, "int64"), ("times", times, "int32")):
                 flat = np.concatenate(parts or [np.zeros(0)]).astype(kind)

@@ -95,14 +95,14 @@ def test_equal_to_the_definition(spark, documents, monkeypatch, hot_pairs, hot_t
     monkeypatch.setattr(alignment, "HOT_TEXTS", hot_texts)
     odd = spark.createDataFrame(list(enumerate(ODD, 1000)), "doc_id long, text string")
     docs = documents.select("doc_id", "text").where("doc_id IS NULL OR doc_id <> 104")
-    docs = docs.unionByName(odd).unionByName(odd.where("doc_id > 1009"))
+    docs = docs.unionByName(odd).unionByName(odd.where("doc_id > 1010"))
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     assert measured(docs) == expected(pairs)
 
 
-def test_a_full_cache_and_a_text_of_a_third_of_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(alignment, "MOST_BYTES", 3000)
-    pairs = [(n, ODD[3] if n % 3 else ODD[n % 12]) for n in range(300)] + [(300, None), (301, "")]
+def test_small_chunks_and_a_text_of_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "CHUNK_CHARS", 3)
+    pairs = [(n, ODD[3] if n % 3 else ODD[n % len(ODD)]) for n in range(300)] + [(300, None), (301, "")]
     docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
     assert measured(docs) == expected(pairs)
 
