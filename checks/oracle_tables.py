@@ -35,6 +35,29 @@ FROM (SELECT l_suppkey, min(b) AS lo, max(b) AS hi, quantile_disc(b, 0.5) AS med
       FROM (SELECT l_suppkey, CAST(l_quantity AS BIGINT) * 1000003 + l_partkey * 1009 AS b
             FROM lineitem) GROUP BY l_suppkey)
 """,
+    "exact_percentiles": """
+        WITH items AS (
+            SELECT CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS flag,
+                CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+                CASE WHEN l_quantity > 2 THEN -CAST(trunc(l_quantity) AS BIGINT) END AS lack
+            FROM lineitem
+        ), placed AS (
+            SELECT *,
+                row_number() OVER (PARTITION BY flag ORDER BY cents) AS c,
+                row_number() OVER (PARTITION BY flag, lack IS NULL ORDER BY lack) AS l,
+                count(*) OVER (PARTITION BY flag) AS n,
+                count(lack) OVER (PARTITION BY flag) AS m
+            FROM items
+        )
+        SELECT flag,
+            max(CASE WHEN c = ceil(0.01 * n) THEN cents END) AS p1,
+            max(CASE WHEN c = ceil(0.5 * n) THEN cents END) AS p50,
+            max(CASE WHEN c = ceil(0.999 * n) THEN cents END) AS p999,
+            max(cents) AS most,
+            max(CASE WHEN lack IS NOT NULL AND l = ceil(0.25 * m) THEN lack END) AS lack_p25,
+            max(lack) AS lack_p100
+        FROM placed GROUP BY flag
+    """,
     "peer_load": """
 WITH e AS (
     SELECT s_suppkey, s_nationkey, count(*) AS items,

@@ -96,6 +96,24 @@ def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups far above what a sketch holds exactly."""
+    items = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("flag"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
+        F.when(F.col("l_quantity") > 2, -F.col("l_quantity").cast("long")).alias("lack"),
+    )
+    return distribution_profile(
+        items,
+        ["flag"],
+        [
+            Spread("cents", {"p1": 0.01, "p50": 0.5, "p999": 0.999}, high="most"),
+            Spread("lack", {"lack_p25": 0.25, "lack_p100": 1.0}),
+        ],
+        exact=True,
+    )
+
+
 def concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.expr("o_custkey % 25").alias("lane"),
@@ -285,7 +303,7 @@ def top_share(tiles: int, output: str) -> Query:
             F.expr("o_custkey % 100").alias("measure"),
         )
         order = [F.desc("price"), F.asc("o_orderkey")]
-        return top_tile_mean(orders, "measure", order, tiles, output)
+        return top_tile_mean(orders, "measure", order, tiles, output, "price")
 
     return query
 
@@ -426,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "task_distribution": task_distribution,
     "data_skew": data_skew,
     "peer_load": peers,
+    "exact_percentiles": exact_percentiles,
     "interval_concurrency": concurrency,
     "lifecycle_pivot": lifecycle,
     "conditional_rollup": conditional_rollup,

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Time units per bucket. With epoch milliseconds: about 70 minutes, so a bucket
 # holds at most 4.2 million distinct times and ten years make 75,000 buckets.
 BUCKET_WIDTH = 1 << 22
+# Intervals of one id that one task takes in order of time.
+MOST_IN_WINDOW = 1_000_000
+# Commonest ids looked for, and ids that the sketch behind them holds.
+MOST_FREQUENT, SKETCH_ITEMS = 1_000, 20_000
 
 
 def open_counts(
@@ -112,7 +116,7 @@ def interval_concurrency(
     if unique_ids:
         counted = intervals.withColumn("_own", F.when(valid, 1).otherwise(0))
     else:
-        counted = own_counts(intervals, [*keys, id_column], start, end)
+        counted = own_counts(intervals, [*keys, id_column], start, end, bucket_width)
     others = F.coalesce(F.col("open") - F.col("_own"), nothing)
     return (
         counted.withColumn("at", F.col(start))
@@ -121,15 +125,53 @@ def interval_concurrency(
     )
 
 
-def own_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+def own_counts(
+    intervals: DataFrame,
+    keys: Sequence[str],
+    start: str,
+    end: str,
+    bucket_width: int = BUCKET_WIDTH,
+    most_in_window: int | None = None,
+) -> DataFrame:
     """``intervals`` with ``_own``: those of the same keys, itself included, that are
-    open at its start. One shuffle by the keys; rows are read in order of time, so a
-    key with many intervals needs no memory for them."""
+    open at its start.
+
+    One shuffle by the keys, rows in order of time. Keys with more than
+    ``most_in_window`` intervals would be long windows of one task; their rows go through
+    :func:`open_counts` instead, whose windows are bounded by the width of a bucket. A
+    sketch of fixed size finds the MOST_FREQUENT commonest keys without a shuffle; any
+    other key has less than that share of all rows. Both ways give the same counts.
+    """
+    most_in_window = MOST_IN_WINDOW if most_in_window is None else most_in_window
+    keys = list(keys)
+    key = F.xxhash64(*keys)
+    commonest = F.expr(f"approx_top_k(_key, {MOST_FREQUENT}, {SKETCH_ITEMS})")
+    frequent = (
+        intervals.select(key.alias("_key"))
+        .agg(commonest.alias("_top"))
+        .select(F.inline("_top").alias("_key", "_n"))
+        .where(F.col("_n") > most_in_window)
+        .select("_key", F.lit(True).alias("_frequent"))
+    )
+    marked = intervals.withColumn("_key", key).join(F.broadcast(frequent), "_key", "left")
+    few = marked.where("_frequent IS NULL").select(*intervals.columns)
+    many = marked.where("_frequent").select(*intervals.columns)
+    opened = open_counts(many, keys, start, end, bucket_width)
+    valid = F.col(end).isNull() | (F.col(end) >= F.col(start))
+    # A row that ends before it starts is never open, not even for itself.
+    counted = many.withColumn("at", F.col(start)).join(opened, [*keys, "at"], "left")
+    own = F.when(F.col(start).isNotNull(), F.col("open"))
+    counted = counted.select(*intervals.columns, own.alias("_own"))
+    return _own_in_windows(few, keys, start, end, valid).unionByName(counted)
+
+
+def _own_in_windows(
+    intervals: DataFrame, keys: Sequence[str], start: str, end: str, valid: Column
+) -> DataFrame:
     edges = F.array(
         F.struct(F.col(start).alias("_at"), F.lit(True).alias("_starts")),
         F.struct(F.col(end).alias("_at"), F.lit(False).alias("_starts")),
     )
-    valid = F.col(end).isNull() | (F.col(end) >= F.col(start))
     rows = intervals.select("*", F.explode(edges).alias("_edge")).select("*", "_edge.*")
     ends = ~F.col("_starts") & F.col("_at").isNotNull() & F.col(start).isNotNull() & valid
     in_time = Window.partitionBy(*keys).orderBy("_at")

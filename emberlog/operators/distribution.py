@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.operators.selection import exact_quantiles
+from emberlog.session import written_aside
+
 
 @dataclass(frozen=True)
 class Spread:
@@ -24,11 +27,16 @@ class Spread:
     mean: str | None = None
 
 
+# percentile_approx is exact for groups of up to so many rows.
+SKETCH_ROWS = 10_000
+
+
 def distribution_profile(
     df: DataFrame,
     keys: Sequence[str],
     spreads: Sequence[Spread],
     extra: Sequence[Column] = (),
+    exact: bool = False,
 ) -> DataFrame:
     """One row per group with the spread of each column and ``extra`` aggregates.
 
@@ -36,6 +44,10 @@ def distribution_profile(
     aggregate merges, so a group holding most of the rows is reduced on the map
     side and never gathered in one task. Quantiles are actual values of the
     column, exact for groups of up to 10,000 rows.
+
+    ``exact`` makes them exact for larger groups too, of whole-number columns: the
+    profile is written, and rows of the groups that are too large for a sketch, at most
+    one group for 10,000 rows, are read again (:func:`exact_quantiles`). It starts jobs.
     """
     aggregates, outputs = [], [F.col(k) for k in keys]
     for number, spread in enumerate(spreads):
@@ -49,8 +61,48 @@ def distribution_profile(
             if name:
                 aggregates.append(aggregate(value).alias(name))
                 outputs.append(F.col(name))
-    grouped = df.groupBy(*keys).agg(*aggregates, *extra)
-    measured = {*keys, *(f"_sketch{n}" for n in range(len(spreads)))}
+    zero = F.lit(0).cast("long")
+    most = F.greatest(zero, zero, *[F.count(s.column) for s in spreads]).alias("_rows")
+    grouped = df.groupBy(*keys).agg(*aggregates, *extra, *([most] if exact else []))
+    measured = {*keys, "_rows", *(f"_sketch{n}" for n in range(len(spreads)))}
     named = {name for s in spreads for name in (s.low, s.high, s.mean) if name}
     outputs += [F.col(c) for c in grouped.columns if c not in measured | named]
-    return grouped.select(*outputs)
+    if not exact:
+        return grouped.select(*outputs)
+    profile = written_aside(grouped.select(*outputs, "_rows"), "profile")
+    large = profile.where(F.col("_rows") > SKETCH_ROWS).select(*keys)
+    if large.isEmpty():
+        return profile.drop("_rows")
+    return _with_exact(df, keys, spreads, profile, large)
+
+
+def _with_exact(
+    df: DataFrame,
+    keys: Sequence[str],
+    spreads: Sequence[Spread],
+    profile: DataFrame,
+    large: DataFrame,
+) -> DataFrame:
+    """``profile`` with exact quantiles of its ``large`` groups."""
+    wanted = {s.column: sorted({*map(float, s.quantiles.values())}) for s in spreads}
+    found = exact_quantiles(df, keys, wanted, large)
+    picked = [
+        F.max(
+            F.when((F.col("measure") == s.column) & (F.col("fraction") == float(f)), F.col("value"))
+        ).alias(f"_exact_{name}")
+        for s in spreads
+        for name, f in s.quantiles.items()
+    ]
+    values = found.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(*picked)
+    same = [F.col(f"_g_{k}").eqNullSafe(F.col(k)) for k in keys]
+    names = {name for s in spreads for name in s.quantiles}
+    types = dict(profile.dtypes)
+    return profile.join(F.broadcast(values), same, "left").select(
+        *[
+            F.coalesce(F.col(f"_exact_{c}").cast(types[c]), F.col(c)).alias(c)
+            if c in names
+            else F.col(c)
+            for c in profile.columns
+            if c != "_rows"
+        ]
+    )

@@ -41,8 +41,11 @@ MILLIS_PER_MINUTE = 60_000
 # --- intermediate tables, each used by more than one diagnostic --------------------
 
 
-def stage_task_profile(silver_task_events: DataFrame) -> DataFrame:
-    """Successful tasks of each stage attempt: distribution and sums in one pass."""
+def stage_task_profile(silver_task_events: DataFrame, exact: bool = False) -> DataFrame:
+    """Successful tasks of each stage attempt: distribution and sums in one pass.
+
+    ``exact``: see :func:`distribution_profile`; it starts jobs.
+    """
     return distribution_profile(
         silver_task_events.where(F.col("task_result") == "Success"),
         ATTEMPT,
@@ -79,6 +82,7 @@ def stage_task_profile(silver_task_events: DataFrame) -> DataFrame:
             F.try_sum("executor_run_time_ms").alias("run_ms"),
             F.try_sum("gc_time_ms").alias("gc_ms"),
         ],
+        exact=exact,
     )
 
 

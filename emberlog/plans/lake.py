@@ -73,6 +73,7 @@ TABLES: dict[str, Table] = {
     "work_stage_task_profile": Table(
         "work", "task distribution per stage attempt", ("silver_task_events",),
         gold.stage_task_profile,
+        partial(gold.stage_task_profile, exact=True),
     ),
     "work_job_stage_map": Table(
         "work", "stages of each job", ("silver_job_events",), gold.job_stage_map

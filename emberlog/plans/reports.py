@@ -186,7 +186,7 @@ def slowest_share(executions: DataFrame, tiles: int, output: str) -> DataFrame:
         F.asc("app_id"),
         F.asc("execution_id"),
     ]
-    return top_tile_mean(finished, "photon_pct", order, tiles, output)
+    return top_tile_mean(finished, "photon_pct", order, tiles, output, "duration_sec")
 
 
 def slowest_5_percent(executions: DataFrame) -> DataFrame:

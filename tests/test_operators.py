@@ -7,13 +7,15 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators.concurrency import interval_concurrency
+from emberlog.operators import concurrency, selection, topshare
+from emberlog.operators.concurrency import interval_concurrency, own_counts
 from emberlog.operators.dedup import latest_by_key
 from emberlog.operators.distribution import Spread, distribution_profile
 from emberlog.operators.idlists import explode_id_list
 from emberlog.operators.peers import peer_load
 from emberlog.operators.rollup import chart_series, counters
 from emberlog.operators.rules import bottleneck_rules, classify, severity_order
+from emberlog.operators.selection import exact_quantiles
 from emberlog.operators.topshare import top_tile, top_tile_mean
 
 
@@ -46,6 +48,26 @@ def test_concurrency_equals_its_definition(spark, seed, width):
     assert sorted(map(tuple, got), key=repr) == sorted(pairwise(rows), key=repr)
 
 
+@pytest.mark.parametrize("width", [3, 1 << 22])
+def test_concurrency_of_hot_ids_by_buckets(spark, monkeypatch, width):
+    """An id with most of the intervals is counted by buckets, the others in windows."""
+    monkeypatch.setattr(concurrency, "MOST_IN_WINDOW", 20)
+    draw = random.Random(11)
+    rows = []
+    for _ in range(400):
+        start = draw.choice([None, *range(60)])
+        end = None if start is None else draw.choice([None, start + draw.randrange(-5, 30)])
+        number = 7 if draw.random() < 0.7 else draw.randrange(100)
+        rows.append((draw.choice(["hot", "hot", "cold", None]), number, start, end))
+    df = spark.createDataFrame(rows, "k string, id int, s long, e long")
+    ways = [own_counts(df, ["k", "id"], "s", "e", width, n).where("s IS NOT NULL AND k IS NOT NULL")
+            for n in (0, 20, 10**9)]
+    first, *others = [sorted(map(tuple, way.collect()), key=repr) for way in ways]
+    assert others == [first, first]
+    got = interval_concurrency(df, ["k"], "id", "s", "e", "n", bucket_width=width).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(pairwise(rows), key=repr)
+
+
 def test_concurrency_of_unique_ids(spark):
     draw = random.Random(6)
     rows = []
@@ -67,24 +89,52 @@ def test_concurrency_of_null_starts_and_keys(spark):
     assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
 
 
-@pytest.mark.parametrize(("rows", "tiles"), [(1, 20), (7, 20), (20, 20), (101, 10), (999, 20)])
-def test_top_tile_is_the_first_ntile(spark, rows, tiles):
+@pytest.mark.parametrize("leading", [None, "v"])
+@pytest.mark.parametrize(
+    ("rows", "tiles"), [(1, 20), (7, 20), (20, 20), (101, 10), (999, 20), (50, 1)]
+)
+def test_top_tile_is_the_first_ntile(spark, rows, tiles, leading):
     df = spark.range(rows).select("id", (F.col("id") % 13).alias("v"))
     order = [F.desc("v"), F.asc("id")]
-    got = sorted(r["id"] for r in top_tile(df, order, tiles).collect())
+    got = sorted(r["id"] for r in top_tile(df, order, tiles, leading).collect())
     ranked = sorted(range(rows), key=lambda i: (-(i % 13), i))
     assert got == sorted(ranked[: math.ceil(rows / tiles)])
 
 
-def test_top_tile_when_all_values_tie(spark):
+@pytest.mark.parametrize("leading", [None, "v"])
+def test_top_tile_when_all_values_tie(spark, leading):
     df = spark.range(1000).select("id", F.lit(1).alias("v"))
-    (row,) = top_tile_mean(df, "id", [F.desc("v"), F.asc("id")], 10, "m").collect()
+    (row,) = top_tile_mean(df, "id", [F.desc("v"), F.asc("id")], 10, "m", leading).collect()
     assert row["m"] == sum(range(100)) / 100
 
 
-def test_top_tile_of_nothing(spark):
+@pytest.mark.parametrize("leading", [None, "v"])
+def test_top_tile_of_nothing(spark, leading):
     df = spark.range(0).select("id", F.lit(1).alias("v"))
-    assert top_tile_mean(df, "v", [F.desc("v"), F.asc("id")], 10, "m").collect()[0]["m"] is None
+    (row,) = top_tile_mean(df, "v", [F.desc("v"), F.asc("id")], 10, "m", leading).collect()
+    assert row["m"] is None
+
+
+def test_top_tile_orders_few_rows(spark, monkeypatch):
+    ordered = []
+    plain = topshare.first_rows
+    monkeypatch.setattr(
+        topshare, "first_rows", lambda df, order, n: ordered.append(df.count()) or plain(df, order, n)
+    )
+    rows = 200_000
+    df = spark.range(0, rows, 1, 8).selectExpr("id", "cast(id * 7919 % 100003 AS double) / 3 AS v")
+    got = top_tile(df, [F.desc("v"), F.asc("id")], 20, "v")
+    assert got.count() == rows // 20 and ordered[0] < rows // 500
+    expected = df.orderBy(F.desc("v"), "id").limit(rows // 20)
+    total = F.sum(F.xxhash64("id", "v").cast("decimal(38,0)"))
+    assert got.agg(total).first() == expected.agg(total).first()
+
+
+def test_top_tile_when_the_sketch_is_off(spark, monkeypatch):
+    monkeypatch.setattr(F, "percentile_approx", lambda v, r, n: F.array(F.max(v), F.max(v)))
+    df = spark.range(100).select("id", (F.col("id") % 13).alias("v"))
+    got = sorted(r["id"] for r in top_tile(df, [F.desc("v"), F.asc("id")], 10, "v").collect())
+    assert got == sorted(sorted(range(100), key=lambda i: (-(i % 13), i))[:10])
 
 
 def test_distribution(spark):
@@ -111,6 +161,47 @@ def test_distribution_ignores_nulls_and_keeps_empty_groups(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == [("a", None, None), ("b", 3, 3)]
 
 
+@pytest.mark.parametrize("bits", [1, 3, 16])
+def test_exact_quantiles(spark, monkeypatch, bits):
+    monkeypatch.setattr(selection, "DIGIT_BITS", bits)
+    draw = random.Random(bits)
+    groups = {
+        "a": [draw.randrange(-(10**4), 10**4) for _ in range(500)],
+        "b": [7], "c": [5, 5, 5, -3], None: [draw.randrange(3) for _ in range(90)],
+    }
+    rows = [(k, v, None if v % 2 else 2 * v) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame([*rows, ("d", None, None)], "k string, v long, w int")
+    fractions = [0.0, 0.01, 0.5, 0.95, 1.0]
+    got = {
+        (r.k, r.measure, r.fraction): r.value
+        for r in exact_quantiles(df, ["k"], {"v": fractions, "w": [0.5]}).collect()
+    }
+    expected = {}
+    for k, vs in groups.items():
+        evens = [2 * v for v in vs if v % 2 == 0]
+        for name, values, some in (("v", vs, fractions), ("w", evens, [0.5])):
+            for f in some if values else ():
+                expected[k, name, f] = sorted(values)[max(math.ceil(f * len(values)), 1) - 1]
+    assert got == expected
+
+
+def test_profile_of_a_stage_of_a_million_tasks_is_exact(spark):
+    df = spark.range(0, 1_000_000, 1, 8).selectExpr(
+        "if(id % 50 = 0, 'small', 'large') AS k", "id * 7919 % 1000003 * 11 AS v"
+    )
+    fractions = {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p9999": 0.9999}
+    profile = distribution_profile(
+        df, ["k"], [Spread("v", fractions, high="hi")], [F.count("v").alias("n")], exact=True
+    )
+    assert profile.columns == ["k", *fractions, "hi", "n"]
+    values = {k: sorted(r.v for r in df.where(f"k = '{k}'").collect()) for k in ("small", "large")}
+    for row in profile.collect():
+        ordered = values[row["k"]]
+        assert (row["hi"], row["n"]) == (ordered[-1], len(ordered))
+        for name, fraction in fractions.items():
+            assert row[name] == ordered[math.ceil(fraction * len(ordered)) - 1]
+
+
 def test_peer_load(spark):
     loads = {"a": [10, 20, 60], "b": [5], "c": [0, 0]}
     rows = [(g, i, v) for g, vs in loads.items() for i, v in enumerate(vs)]

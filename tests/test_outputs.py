@@ -5,6 +5,7 @@ import subprocess
 import sys
 import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlog.plans import reports as R
@@ -32,6 +33,24 @@ def test_history_appends(spark, tmp_path):
     ]
 
 
+def test_history_of_a_repeated_run_is_not_doubled(spark, tmp_path):
+    path = str(tmp_path / "history")
+    entry = dict(
+        generated_at=datetime.datetime(2026, 1, 2), model_name="m", schema_name="s",
+        summary_text="a", top3_text="b", prompt_tokens=1, total_tokens=2,
+    )
+    other = {**entry, "summary_text": "c"}
+    assert append_history(spark, path, [entry], run_key="2026-01-02/a b").count() == 1
+    assert append_history(spark, path, [entry, other], run_key="2026-01-02/a b").count() == 2
+    assert append_history(spark, path, [entry, other], run_key="2026-01-02/a b").count() == 2
+    assert append_history(spark, path, [entry], run_key="2026-01-03").count() == 3
+    assert append_history(spark, path, [entry]).count() == 4
+    for key in ("", "..", "."):
+        with pytest.raises(ValueError):
+            append_history(spark, path, [entry], run_key=key)
+    assert read_history(spark, path).columns == list(entry)
+
+
 class Logs:
     """A log folder read by the batch reader and by the incremental one."""
 
@@ -80,6 +99,53 @@ def test_incremental_leaves_a_growing_roll_until_a_later_one_or_the_end(spark, t
     assert (logs.load(), logs.load(), logs.equal()) == (1, 0, 4)
 
 
+def jobs(logs):
+    both = read_bronze(logs.spark, logs.logs, CLUSTER, logs.lake)
+    found = both.where("event_type = 'SparkListenerJobStart'")
+    return sorted(r[0] for r in found.selectExpr("from_json(value, '`Job ID` STRING').`Job ID`").collect())
+
+
+def rolled(root, n, suffix="", job=None):
+    name = f"events_{n}_local-6{suffix}"
+    events = [app_start(app="local-6")] * (n == 1) + [job_start(n if job is None else job, 2, [])]
+    return write_log(root, events, "eventlog_v2_local-6", name=name)
+
+
+def test_a_compact_file_of_known_rolls_says_nothing_new(spark, tmp_path):
+    logs, root = Logs(spark, tmp_path), tmp_path / "logs"
+    first, second = rolled(root, 1), rolled(root, 2)
+    rolled(root, 3)
+    assert logs.load() == 2 and jobs(logs) == ["1", "2", "3"]
+    # Compaction keeps some of the events; the others are known from the rolls.
+    rolled(root, 2, ".compact")
+    assert logs.load() == 0 and jobs(logs) == ["1", "2", "3"]  # before the rolls are deleted
+    first.unlink(), second.unlink()
+    assert logs.load() == 0 and jobs(logs) == ["1", "2", "3"]
+    rolled(root, 4)
+    assert logs.load() == 1 and jobs(logs) == ["1", "2", "3", "4"]
+
+
+def test_a_compact_file_of_an_unknown_roll_replaces_the_known_ones(spark, tmp_path):
+    logs, root = Logs(spark, tmp_path), tmp_path / "logs"
+    first, second = rolled(root, 1), rolled(root, 2)
+    assert logs.load() == 1 and jobs(logs) == ["1", "2"]
+    first.unlink(), second.unlink()
+    name = "events_2_local-6.compact"
+    write_log(root, [app_start(app="local-6"), job_start(1, 2, []), job_start(2, 2, [])],
+              "eventlog_v2_local-6", name=name)
+    assert jobs(logs) == ["1", "2"]  # read as it is, it replaces them too
+    assert logs.load() == 1 and jobs(logs) == ["1", "2"]
+    third = rolled(root, 3)
+    assert jobs(logs) == ["1", "2", "3"]
+    # The next compaction stands for the first one as well.
+    (root / CLUSTER / "eventlog" / "eventlog_v2_local-6" / name).unlink(), third.unlink()
+    write_log(root, [app_start(app="local-6"), job_start(2, 2, []), job_start(3, 2, [])],
+              "eventlog_v2_local-6", name="events_3_local-6.compact")
+    rolled(root, 4)
+    assert logs.load() == 1 and jobs(logs) == ["2", "3", "4"]
+    assert logs.load() == 0
+
+
 def test_incremental_after_a_run_that_died_and_in_small_steps(spark, tmp_path):
     logs, root = Logs(spark, tmp_path), tmp_path / "logs"
     for n in range(3):
