@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 from itertools import islice
@@ -37,7 +37,10 @@ DROPPED = frozenset(
     textarea button title xmp noembed noframes datalist dialog
     """.split()
 )
-AROUND = frozenset("nav header footer aside form menu".split())
+AROUND = frozenset("nav footer menu".split())
+# Elements that are no part of the article unless they hold more than this share of the
+# page's free text: some sites wrap every page in one.
+WRAPPERS = {"form": 0.5, "aside": 0.9, "header": 0.9}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME_CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
@@ -63,9 +66,9 @@ KEPT_TAGS = frozenset("html body main article".split())
 INNER, OUTER, WHOLE = 1, 2, 3
 LEAST_KEPT = {INNER: 0.5, OUTER: 0.9}
 ARTICLES = ("article", "main")
-# Containers below this depth go by the path of the one at it, and an open element is
-# looked for so far up at most: work stays in proportion to the page, however deep.
-DEEPEST, FARTHEST = 64, 256
+# Containers below this depth go by the path of the one at it, which keeps paths short;
+# their text belongs to that path.
+DEEPEST = 64
 
 
 @dataclass
@@ -79,6 +82,8 @@ class Element:
     left_out: str
     # INNER or OUTER if a part of a name marks it, else 0.
     mark: int = 0
+    # Whether it is a wrapper outside of any article's header.
+    wraps: bool = False
 
 
 @dataclass
@@ -123,9 +128,10 @@ def named(attributes: str) -> tuple[str, int]:
 
 
 def without_marked(page: Page) -> list[tuple[int, str, int]]:
-    """The blocks outside elements that a part of a name marks and that hold a minor
-    share of the free text; all if none is outside."""
-    if not any(e.mark for e in page.elements):
+    """The blocks outside elements that a part of a name marks, or that are wrappers, and
+    that hold a minor share of the free text; all if none is outside. An article inside
+    a wrapper counts, whatever the wrapper holds."""
+    if not any(e.mark or e.wraps for e in page.elements):
         return page.blocks
     free = [0] * len(page.elements)
     total = 0
@@ -137,11 +143,17 @@ def without_marked(page: Page) -> list[tuple[int, str, int]]:
     for n in range(len(free) - 1, -1, -1):
         if page.elements[n].parent >= 0:
             free[page.elements[n].parent] += free[n]
-    dropped: list[bool] = []
+    by_name: list[bool] = []
+    by_tag: list[bool] = []
     for n, e in enumerate(page.elements):
-        own = e.mark and free[n] <= LEAST_KEPT[e.mark] * total
-        dropped.append(bool(own) or e.parent >= 0 and dropped[e.parent])
-    return [b for b in page.blocks if b[0] < 0 or not dropped[b[0]]] or page.blocks
+        own = bool(e.mark) and free[n] <= LEAST_KEPT[e.mark] * total
+        by_name.append(own or e.parent >= 0 and by_name[e.parent])
+        own = e.wraps and free[n] <= WRAPPERS[e.tag] * total
+        above = e.parent >= 0 and by_tag[e.parent] and e.tag not in ARTICLES
+        by_tag.append(own or above)
+    return [
+        b for b in page.blocks if b[0] < 0 or not (by_name[b[0]] or by_tag[b[0]])
+    ] or page.blocks
 
 
 def parse(html: str) -> Page:
@@ -155,7 +167,8 @@ def parse(html: str) -> Page:
 def parse_marked(html: str, regardless: bool) -> Page:
     page, stack = Page(), []
     elements = page.elements
-    still_open: Counter[str] = Counter()
+    # For each tag the places of its open elements in the stack, outermost first.
+    open_at: defaultdict[str, list[int]] = defaultdict(list)
     pieces: list[str] = []
     linked, links, at, size = 0, 0, 0, len(html)
 
@@ -175,17 +188,14 @@ def parse_marked(html: str, regardless: bool) -> Page:
 
     def close(tags: tuple[str, ...], limits: frozenset = frozenset()) -> None:
         """Pops up to the nearest of ``tags``, if it is open inside ``limits``."""
-        if not any(still_open[tag] for tag in tags):
+        nearest = max((open_at[tag][-1] for tag in tags if open_at[tag]), default=-1)
+        limit = max((open_at[tag][-1] for tag in limits if open_at[tag]), default=-1)
+        if nearest < 0 or limit > nearest:
             return
-        for depth in range(len(stack) - 1, max(-1, len(stack) - 1 - FARTHEST), -1):
-            tag = elements[stack[depth]].tag
-            if tag in tags:
-                flush()
-                still_open.subtract(elements[e].tag for e in stack[depth:])
-                del stack[depth:]
-                return
-            if tag in limits:
-                return
+        flush()
+        for element in reversed(stack[nearest:]):
+            open_at[elements[element].tag].pop()
+        del stack[nearest:]
 
     def inherited(tag: str, other: int) -> str:
         above = elements[stack[-1]].left_out if stack else ""
@@ -197,8 +207,8 @@ def parse_marked(html: str, regardless: bool) -> Page:
             return ""
         if tag in HEADINGS and above == "header":
             return ""
-        if tag == "header" and not above:
-            return "header" if stack and elements[stack[-1]].in_article else "around"
+        if tag == "header" and not above and stack and elements[stack[-1]].in_article:
+            return "header"
         return above or ("around" if tag in AROUND else "")
 
     while at < size:
@@ -249,9 +259,11 @@ def parse_marked(html: str, regardless: bool) -> Page:
             path = f"{over.path}>{path}" if depth < DEEPEST else over.path
         inside = tag in ARTICLES or bool(over and over.in_article)
         mark = other if other != WHOLE and tag not in KEPT_TAGS else 0
-        elements.append(Element(tag, path, parent, depth, inside, inherited(tag, other), mark))
+        left_out = inherited(tag, other)
+        wraps = tag in WRAPPERS and not left_out
+        elements.append(Element(tag, path, parent, depth, inside, left_out, mark, wraps))
+        open_at[tag].append(len(stack))
         stack.append(len(elements) - 1)
-        still_open[tag] += 1
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(html, at)
             at = end.start() if end else size

@@ -88,6 +88,54 @@ def test_marked_parts_of_a_page_go(name):
     assert extraction.extract(body, None) == TEXT
 
 
+ARTICLE = "<div><p>The river runs, and the stones stay where they have always been, in the rain.</p></div>"
+LINE = "The river runs, and the stones stay where they have always been, in the rain."
+
+
+@pytest.mark.parametrize("tag", ["form", "aside", "header"])
+def test_a_page_wrapped_in_one_element(tag):
+    """As some frameworks write all of their pages."""
+    body = f"<body><{tag} id='f'><nav>menu</nav>{ARTICLE}<footer>f</footer></{tag}></body>"
+    assert extraction.extract(body, None) == LINE
+    small = f"<body>{ARTICLE}<{tag}>Sign in, or read more.</{tag}></body>"
+    assert extraction.extract(small, None) == LINE
+    inside = f"<body><{tag}><article>{ARTICLE}</article></{tag}><div>{LINE * 9}</div></body>"
+    assert LINE in extraction.extract(inside, None)
+
+
+@pytest.mark.parametrize("depth", [10, 300, 5000])
+def test_an_element_closed_far_below(depth):
+    body = f"<body><nav>{'<div>' * depth}menu</nav>{ARTICLE}</body>"
+    assert extraction.extract(body, None) == LINE
+
+
+def test_votes_are_counted_as_they_are(spark):
+    """The host's path against a plain count over the pages."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(120):
+        cls = rng.choice(["post", "entry", "main-text"])
+        words = " ".join(rng.choice(["river", "stone,", "rain"]) for _ in range(rng.randint(3, 40)))
+        html = rng.choice([None, f"<div class='{cls}'><p>{words}</p></div>", f"<p>{words}</p>"])
+        rows.append((n, f"http://h{rng.randrange(6)}.example/{n}", html))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.host: r.path for r in extraction.host_paths(extraction.with_host(pages)).collect()}
+    votes: dict = {}
+    for _, url, html in rows:
+        path, score = markup.best_container(markup.parse(html)) if html else ("", 0)
+        if path:
+            count, total = votes.setdefault(url.split("/")[2], {}).get(path, (0, 0.0))
+            votes[url.split("/")[2]][path] = count + 1, total + score
+    # Equal votes go to the larger score, which floats may round either way.
+    for host, counts in votes.items():
+        most = max(v[0] for v in counts.values())
+        best = [p for p, v in counts.items() if v[0] == most]
+        assert got[host] in best
+        if len(best) > 1:
+            assert counts[got[host]][1] == pytest.approx(max(counts[p][1] for p in best))
+    assert set(got) == set(votes)
+
+
 def test_hosts_agree(spark):
     """A page whose comments outweigh its article follows its host's other pages."""
     long_article = PAGE.replace("Second one", "Second one, " + "and much more, " * 60)
