@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from html import unescape
 from itertools import islice
@@ -127,12 +128,15 @@ def named(attributes: str) -> tuple[str, int]:
     return "".join(f".{c}" for c in general), other
 
 
-def without_marked(page: Page) -> list[tuple[int, str, int]]:
-    """The blocks outside elements that a part of a name marks, or that are wrappers, and
-    that hold a minor share of the free text; all if none is outside. An article inside
-    a wrapper counts, whatever the wrapper holds."""
-    if not any(e.mark or e.wraps for e in page.elements):
-        return page.blocks
+def without_minor(
+    page: Page, most: Callable[[Element], float | None], resets: tuple[str, ...] = ()
+) -> None:
+    """Drops the blocks inside elements that hold no more than a share of the page's
+    free text, given by ``most`` where the element is to be judged, unless none is left.
+    What is inside an element of ``resets`` stays, whatever is around it."""
+    judged = [most(e) for e in page.elements]
+    if not any(share is not None for share in judged):
+        return
     free = [0] * len(page.elements)
     total = 0
     for element, text, linked in page.blocks:
@@ -143,24 +147,19 @@ def without_marked(page: Page) -> list[tuple[int, str, int]]:
     for n in range(len(free) - 1, -1, -1):
         if page.elements[n].parent >= 0:
             free[page.elements[n].parent] += free[n]
-    by_name: list[bool] = []
-    by_tag: list[bool] = []
-    for n, e in enumerate(page.elements):
-        own = bool(e.mark) and free[n] <= LEAST_KEPT[e.mark] * total
-        by_name.append(own or e.parent >= 0 and by_name[e.parent])
-        own = e.wraps and free[n] <= WRAPPERS[e.tag] * total
-        above = e.parent >= 0 and by_tag[e.parent] and e.tag not in ARTICLES
-        by_tag.append(own or above)
-    return [
-        b for b in page.blocks if b[0] < 0 or not (by_name[b[0]] or by_tag[b[0]])
-    ] or page.blocks
+    dropped: list[bool] = []
+    for n, (e, share) in enumerate(zip(page.elements, judged)):
+        own = share is not None and free[n] <= share * total
+        dropped.append(own or e.parent >= 0 and dropped[e.parent] and e.tag not in resets)
+    page.blocks = [b for b in page.blocks if b[0] < 0 or not dropped[b[0]]] or page.blocks
 
 
 def parse(html: str) -> Page:
     """The page's elements and the blocks that count; if there are none because of names
     and roles, those that are there without regard to these."""
     page = parse_marked(html, False)
-    page.blocks = without_marked(page)
+    without_minor(page, lambda e: WRAPPERS[e.tag] if e.wraps else None, ARTICLES)
+    without_minor(page, lambda e: LEAST_KEPT.get(e.mark))
     return parse_marked(html, True) if page.marked and not page.blocks else page
 
 
