@@ -87,6 +87,23 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+# Of all rows a key has at least this share or is no hot one; so there are no more hot ones.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, which has a row per key and ``n``, how many
+    of the ``total`` rows the key has.
+
+    Spark splits a hot key only where both sides are bare shuffles. Here the values of
+    the keys with a thousandth of all rows or more are broadcast, and their rows stay
+    where they are; no task gets more than a thousandth of the rows for one key."""
+    hot = F.col("n") * HOT_KEYS >= total
+    known = rows.join(F.broadcast(values.where(hot)), key, "left")
+    others = known.where("n IS NULL").select(*rows.columns).join(values.where(~hot), key)
+    return known.where("n IS NOT NULL").unionByName(others)
+
+
 def crc32_mod(column: str, modulus: int):
     """crc32 of the decimal text of a column, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -5,34 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import written
+from emberlog.llm.common import join_hot, written
 
 MOST_ROUNDS = 60
 
 
-def _stars(links: DataFrame) -> DataFrame:
+def _least(links: DataFrame) -> DataFrame:
+    return links.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+
+
+def _stars(links: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours move to the smallest node it knows, then each
-    node's smaller ones; both halves of the star contraction in one round."""
+    node's smaller ones; both halves of the star contraction in one round. ``total`` is
+    the number of links."""
     both = links.unionByName(links.selectExpr("b AS a", "a AS b"))
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
     large = (
-        both.join(least, "a")
+        join_hot(both, _least(both), "a", 2 * total)
         .where("b > a")
-        .selectExpr("b AS a", "least AS b")
+        .selectExpr("b AS a", "least(a, least) AS b")
         .where("a <> b")
         .distinct()
     )
     # Now a > b in every row: b is a smaller neighbour of a.
-    down = large.groupBy("a").agg(F.min("b").alias("least"))
-    small = (
-        large.join(down, "a")
+    return (
+        join_hot(large, _least(large), "a", 2 * total)
         .selectExpr("explode(array(struct(b AS a, least AS b), struct(a, least AS b))) AS link")
         .select("link.*")
         .where("a <> b")
         .distinct()
     )
-    return small
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,8 +41,7 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has columns a and b. Rounds end when no link changes, after a number of
     them that grows with the logarithm of the longest chain. Every round is written,
-    so a lost executor repeats one round; a hot root is one row on one side of a join
-    whose other side may be split.
+    so a lost executor repeats one round; links of a hot node are not gathered.
     """
     current = written(links.select("a", "b").where("a <> b").distinct(), "links")
     before = None
@@ -52,5 +52,5 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             return current.selectExpr("a AS node", "b AS root")
         before = state
-        current = written(_stars(current), "links")
+        current = written(_stars(current, state[0]), "links")
     raise RuntimeError(f"links still change after {MOST_ROUNDS} rounds")

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import map_batches, written
+from emberlog.llm.common import join_hot, map_batches, written
 from emberlog.llm.components import components
 
 SHINGLE = 3
@@ -131,8 +131,10 @@ def block_links(shared: DataFrame, bits: int, block: int) -> DataFrame:
 def link_fingerprints(codes: DataFrame, bits: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints ``fp`` as all pairs within
     ``bits`` bits would. Right for up to three bits."""
-    members = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = variant_keys(codes).withColumn("members", members).where("members > 1")
+    keyed = variant_keys(codes)
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    total = codes.count() * 2 * (HALF + 1)
+    shared = join_hot(keyed, counts, "key", total).withColumnRenamed("n", "members")
     return block_links(written(shared, "variants"), bits, block).distinct()
 
 
@@ -145,8 +147,8 @@ def group(rows: DataFrame, order: str = "doc_id") -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("least"))
-    classes = named.drop("least").join(smallest, "root").select("fp", "least")
-    return rows.join(classes, "fp")
+    classes = written(named.drop("least").join(smallest, "root"), "classes")
+    return rows.join(classes.select("fp", "least"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

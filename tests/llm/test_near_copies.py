@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from emberlog.llm import minhash, simhash
+from emberlog.llm.components import components
 
 
 def jaccard(a: str, b: str) -> float:
@@ -25,8 +28,9 @@ def edited(rng: random.Random, text: str, changes: int) -> str:
     return " ".join(words)
 
 
-def test_stage_links_all_similar_texts(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 7)
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_stage_links_all_similar_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(4)
     texts = []
     for n in range(25):
@@ -57,3 +61,60 @@ def test_stage_links_all_similar_texts(spark, monkeypatch):
     wanted = sorted({find(n) for n in range(len(texts))})
     assert sorted(r["doc_id"] for r in kept.collect()) == wanted
     assert corpus_pipeline.one_of_each(spark, docs.limit(0), "").collect() == []
+
+
+def shared_words(rng: random.Random, base: list[str], kept: int) -> str:
+    """A text that has the first ``kept`` words of a boilerplate and its own rest."""
+    return " ".join(base[:kept] + [f"o{rng.randrange(10**9)}" for _ in range(len(base) - kept)])
+
+
+def test_a_boilerplate_family_costs_in_proportion_to_its_members(spark, monkeypatch):
+    """Texts of one family, far from similar, no longer form one group to verify."""
+    rng = random.Random(8)
+    base = [f"b{n}" for n in range(200)]
+    texts = [shared_words(rng, base, rng.randint(100, 125)) for _ in range(1500)]
+    sample = [jaccard(*rng.sample(texts, 2)) for _ in range(200)]
+    assert 0.3 < min(sample) and max(sample) < 0.5
+    members = []
+    plain = minhash.group_links
+
+    def counted(rows, kind, size):
+        if kind is minhash.Sets:
+            members.append(rows.groupBy("root").count().agg(F.max("count"), F.sum("count")).first())
+        return plain(rows, kind, size)
+
+    monkeypatch.setattr(minhash, "group_links", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.one_of_each(spark, docs, "").count() == 1500
+    largest, all_of_them = members[0]
+    assert (largest or 0) < 30 and (all_of_them or 0) < 150
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs of just enough similarity: at least 0.99 are found."""
+    rng = random.Random(9)
+    texts, planted = [], 0
+    for _ in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 300]))]
+        a = " ".join(words)
+        b = edited(rng, a, 1)
+        at = len(words)
+        while jaccard(a, b) > 0.85:
+            at -= len(words) // 60
+            b = edited(rng, " ".join(words[:at]), 1)
+        if jaccard(a, b) >= 0.8:
+            planted += 1
+            texts += [a, b]
+    assert planted > 1000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    missed = sum(n in kept for n in range(1, len(texts), 2))
+    assert missed <= 0.01 * planted
+
+
+def test_links_of_a_hot_node_are_not_gathered(spark):
+    """Components of a star and a chain, with links enough for hot nodes."""
+    rows = [(0, n) for n in range(1, 4000)] + [(n, n + 1) for n in range(10_000, 10_300)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {n: 0 for n in range(1, 4000)} | {n: 10_000 for n in range(10_001, 10_301)}
