@@ -9,11 +9,16 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
+from itertools import chain
 
 from emberlog.llm.common import worker_cache
 
-# Pieces a worker keeps; later ones are encoded each time. Bounds its memory.
-MOST_PIECES = 600_000
+# Pieces a worker keeps, and the characters of the longest; others are encoded each time.
+MOST_PIECES, LONGEST_PIECE = 600_000, 64
+# Longer pieces are cut where a letter and a digit meet, over which nothing is joined.
+LONG = 10_000
+LETTER_DIGIT = re.compile("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 ID_BYTES = 4
 
 # Python also splits at these four separators, which are no white space to the library.
@@ -51,10 +56,18 @@ class Pieces(dict):
         else:
             numbers = self.tokenizer.encode(piece, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(numbers)}I", *numbers)
-        if len(self) < MOST_PIECES:
+        if len(self) < MOST_PIECES and len(piece) <= LONGEST_PIECE:
             self[piece] = ids
         return ids
 
+    def of_long(self, piece: str) -> Iterator[bytes]:
+        start = 0
+        while start < len(piece):
+            cut = LETTER_DIGIT.search(piece, start + LONG)
+            end = cut.start() if cut else len(piece)
+            yield self[piece[start:end]]
+            start = end
+
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
@@ -64,6 +77,9 @@ class Pieces(dict):
         except UnicodeEncodeError:
             pass
         pieces = OTHER_SPACES.split(text) if SEPARATORS.search(text) else text.split()
+        if len(text) > LONG and any(len(piece) > LONG for piece in pieces):
+            long = (self.of_long(p) if len(p) > LONG else (self[p],) for p in pieces)
+            return b"".join(chain.from_iterable(long))
         return b"".join(map(self.__getitem__, pieces))
 
 

@@ -113,6 +113,24 @@ def mixed(steps: Iterable[np.ndarray], seed: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+# An odd number and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the codes of each span, from sums over the whole text: the work does not
+    depend on the lengths of the spans."""
+    mixed_codes = (codes.view(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed_codes = (mixed_codes ^ mixed_codes >> np.uint64(32)) * np.uint64(0xA24BAED4963EE407)
+    powers = np.full(len(codes) + 1, BASE, np.uint64)
+    inverses = np.full(len(codes) + 1, INVERSE, np.uint64)
+    powers[0] = inverses[0] = 1
+    powers, inverses = np.cumprod(powers), np.cumprod(inverses)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed_codes * powers[:-1])])
+    return (sums[ends] - sums[starts]) * inverses[starts]
+
+
 def wide_windows(
     codes: np.ndarray, slots: np.ndarray, widest: int | None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,13 +147,9 @@ def wide_windows(
     for side, starts, ends in ((1, places, right), (2, left, places + WINDOW)):
         widths = ends - starts
         held = (starts >= 0) & (ends <= size) & (widths <= (widest or size))
-        for width in np.unique(widths[held]):
-            own = held & (widths == width)
-            spread = codes[starts[own][:, None] + np.arange(width)]
-            hashes = mixed(spread.T.view(np.uint64), int(width) | side << 32)
-            found.append((hashes, places[own], starts[own], widths[own]))
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        hashes = spans(codes, starts[held], ends[held])
+        seeds = (widths[held] | side << 32).astype(np.uint64)
+        found.append((mixed([seeds, hashes], 0), places[held], starts[held], widths[held]))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
@@ -187,18 +201,18 @@ def make_sketch(batches) -> np.ndarray:
 def window_rows(
     texts: DataFrame, key: str, sketch: np.ndarray | None, widest: int | None = None
 ) -> DataFrame:
-    """(key, row, window, place, start, slots, words) of every row; with a sketch only the
-    windows that it may hold. ``row`` is a hash of the text, as keys may repeat; ``start``
-    is the place of the first slot."""
+    """(key, row, window, place, slots, words, width) of every row; with a sketch only the
+    windows that it may hold. ``row`` is a hash of the text, as keys may repeat; ``slots``
+    are those of the window's own five words, however far it was widened."""
 
     def make():
         bits = None if sketch is None else np.unpackbits(sketch).view(bool)
 
         def convert(batch: pa.RecordBatch) -> dict:
-            columns = ("key", "row", "window", "place", "start", "slots", "words")
+            columns = ("key", "row", "window", "place", "slots", "words", "width")
             out: dict[str, list] = {c: [] for c in columns}
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, places, starts, widths, slots = text_windows(text, widest)
+                hashes, places, _, widths, slots = text_windows(text, widest)
                 if not len(hashes):
                     continue
                 words = int(places.max()) + 1
@@ -206,7 +220,7 @@ def window_rows(
                     first, second = sketch_places(hashes)
                     held = bits[first] & bits[second]
                     hashes, places = hashes[held], places[held]
-                    starts, widths = starts[held], widths[held]
+                    widths = widths[held]
                 if len(hashes):
                     data = text.encode("utf-8", "surrogatepass")
                     row = zlib.crc32(data) << 31 ^ zlib.crc32(data[::-1] + b"~")
@@ -214,14 +228,18 @@ def window_rows(
                     out["row"].extend([row] * len(hashes))
                     out["window"].extend(hashes.tolist())
                     out["place"].extend(places.tolist())
-                    out["start"].extend(starts.tolist())
-                    out["slots"].extend(slots[a : a + n] for a, n in zip(starts, widths))
+                    # Windows of plain words have no slots to be held against others.
+                    ends = places + np.where(widths > 0, WINDOW, 0)
+                    out["slots"].extend(slots[a:b] for a, b in zip(places, ends))
                     out["words"].extend([words] * len(hashes))
+                    out["width"].extend(widths.tolist())
             return out
 
         return convert
 
-    schema = "key long, row long, window long, place long, start long, slots array<long>, words long"
+    schema = (
+        "key long, row long, window long, place long, slots array<long>, words long, width long"
+    )
     return map_batches(texts.select(key, "text"), make, schema)
 
 
@@ -286,16 +304,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
         window_rows(benchmark.selectExpr("item_id AS key", "text"), "key", None), "items"
     )
     items = items.where("key IS NOT NULL")
-    count, widest = items.agg(F.count(F.lit(1)), F.max(F.size("slots"))).first()
+    count, widest = items.agg(F.count(F.lit(1)), F.max("width")).first()
     texts = docs.selectExpr(f"`{key}` AS key", "text")
     found = window_rows(texts, "key", item_sketch(items), widest or WINDOW)
-    found = written(found.drop("start", "words"), "windows")
+    found = written(found.drop("words", "width"), "windows")
     right = items.select(
         "window",
         F.col("key").alias("item_id"),
         F.col("row").alias("item_row"),
         F.col("place").alias("item_place"),
-        F.col("start").alias("item_start"),
         F.col("slots").alias("item_slots"),
         F.col("words").alias("item_windows"),
     )
@@ -304,7 +321,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataF
     both = F.transform(
         F.arrays_zip("slots", "item_slots"),
         lambda s, n: F.struct(
-            (F.col("item_start") + n).alias("at"),
+            (F.col("item_place") + n).alias("at"),
             s["slots"].alias("d"),
             s["item_slots"].alias("i"),
         ),

@@ -33,9 +33,14 @@ from pyspark.sql import DataFrame
 from emberlog.llm.common import map_batches, worker_cache
 
 CHUNK_CHARS = 65_536
-# Transitions a worker keeps before it starts compiling anew; bounds its memory.
-MOST_TRANSITIONS = 800_000
-MOST_MACROS = 600_000
+# Transitions a worker keeps before it starts compiling anew, some 400 bytes each, and
+# characters between two looks at their number.
+MOST_TRANSITIONS = 300_000
+STEP = 4096
+# Pieces kept, and the characters of the longest; pairs of tokens known to follow each
+# other or not to.
+MOST_MACROS, LONGEST_MACRO = 600_000, 64
+MOST_ALLOWED = 500_000
 
 # The contractions that the byte-level pre-tokenizer splits off.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -92,6 +97,8 @@ class Merges:
     def may_follow(self, left: bytes, token: bytes) -> bool:
         found = self.allowed.get((left, token))
         if found is None:
+            if len(self.allowed) >= MOST_ALLOWED:
+                self.allowed.clear()
             found = self.allowed[left, token] = self.encode(left + token) == [left, token]
         return found
 
@@ -129,6 +136,9 @@ class Merges:
         return state, total
 
 
+START = ("start",)
+
+
 class State(dict):
     """character -> (next state, change of the count), filled when first needed."""
 
@@ -149,8 +159,8 @@ class Macros(dict):
     __slots__ = ("machine",)
 
     def __missing__(self, piece: str) -> int:
-        count = self.machine.walk(self.machine.start, piece)[1]
-        if len(self) < MOST_MACROS:
+        count = self.machine.walk(START, piece)[1]
+        if len(self) < MOST_MACROS and len(piece) <= LONGEST_MACRO:
             self[piece] = count
         return count
 
@@ -173,7 +183,6 @@ class Transducer:
     def clear(self) -> None:
         self.states: dict[tuple, State] = {}
         self.transitions = 0
-        self.start = self.state(("start",))
 
     def state(self, key: tuple) -> State:
         return self.states.setdefault(key, State(key, self))
@@ -223,30 +232,34 @@ class Transducer:
             return following, merges.run(Merges.EMPTY, last)[1] - between + more
         return self.begin(char)
 
-    # Maps of chunks: (head, count, exit state); no exit state if all is head.
-
-    @staticmethod
-    def walk(state: State, text: str) -> tuple[State, int]:
-        total = 0
-        for char in text:
-            state, more = state[char]
-            total += more
-        return state, total
-
-    def chunk_map(self, text: str, first: bool) -> tuple[str, int, State | None]:
+    # Maps of chunks: (head, count, key of the exit state); no key if all is head. A key
+    # alone builds its state again, so nothing else of the states has to be kept.
+
+    def walk(self, key: tuple, text: str) -> tuple[tuple, int]:
+        total, state = 0, self.state(key)
+        for at in range(0, len(text), STEP):
+            if self.transitions > MOST_TRANSITIONS:
+                self.clear()
+                state = self.state(state.key)
+            for char in text[at : at + STEP]:
+                state, more = state[char]
+                total += more
+        return state.key, total
+
+    def chunk_map(self, text: str, first: bool) -> tuple[str, int, tuple | None]:
         found = None if first else SYNC.search(text)
         if not first and not found:
             return text, 0, None
         at = found.start() if found else 0
         *before, last = PIECE.findall(text, at)
-        state, total = self.walk(self.start, last)
-        return text[:at], sum(map(self.macros.__getitem__, before)) + total, state
+        key, total = self.walk(START, last)
+        return text[:at], sum(map(self.macros.__getitem__, before)) + total, key
 
     def compose(self, left: tuple, right: tuple) -> tuple:
         if left[2] is None:
             return left[0] + right[0], right[1], right[2]
-        state, total = self.walk(left[2], right[0])
-        return left[0], left[1] + total + right[1], state if right[2] is None else right[2]
+        key, total = self.walk(left[2], right[0])
+        return left[0], left[1] + total + right[1], key if right[2] is None else right[2]
 
     def count_plain(self, text: str) -> int:
         maps = [
@@ -260,8 +273,6 @@ class Transducer:
 
     def count(self, text: str) -> int:
         """Tokens of a text; a special token's text counts one and cuts the text."""
-        if self.transitions > MOST_TRANSITIONS:
-            self.clear()
         if self.special is None:
             return self.count_plain(text)
         parts = self.special.split(text)

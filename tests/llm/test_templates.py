@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
+
+import numpy as np
 
 from emberlog.llm import templates
 
@@ -69,3 +72,47 @@ def test_wide_windows_hold_enough_plain_words():
         assert (slots[start : start + width] == 0).sum() == templates.LEAST_WORDS
     narrow = templates.text_windows(text, 6)
     assert narrow[3].max() <= 6
+
+
+def test_an_item_of_thousands_of_numbers_is_quick():
+    rng = random.Random(3)
+    numbers = " ".join(str(rng.randrange(10**6)) for _ in range(2000))
+    text = f"tell me the sum of {numbers} and then the mean of them all"
+    began = time.perf_counter()
+    hashes, places, *_ = templates.text_windows(text)
+    assert time.perf_counter() - began < 0.5
+    assert set(places.tolist()) == set(range(len(text.split()) - 4)) and len(hashes) < 8000
+
+
+def test_spans_are_told_apart_by_their_codes():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 3, 300).astype(np.int64)
+    spans = [(a, a + n) for n in (1, 2, 7, 40) for a in range(0, 300 - n)]
+    starts, ends = (np.array(x) for x in zip(*spans))
+    found = templates.spans(codes, starts, ends)
+    seen: dict = {}
+    for (a, b), value in zip(spans, found.tolist()):
+        content = tuple(codes[a:b].tolist())
+        assert seen.setdefault(content, value) == value
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_a_number_dense_item_is_found_with_other_numbers(spark):
+    rng = random.Random(6)
+
+    def question(seed: int, swap: bool) -> str:
+        draw = random.Random(seed)
+        values = [str(draw.randrange(10, 999)) for _ in range(60)]
+        if swap:
+            values = [str(int(v) + 1000) for v in values]
+        return "tell me the sum of " + " ".join(values) + " and then the mean of them all"
+
+    items = spark.createDataFrame([(1, question(1, False))], "item_id long, text string")
+    other = " ".join(rng.choice(["river", "stone", "12", "rain"]) for _ in range(80))
+    docs = spark.createDataFrame(
+        [(1, "Here: " + question(1, False)), (2, "Well, " + question(1, True) + " " + other),
+         (3, question(2, False)[:35] + " river " + other), (4, other)],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: r.contaminated for r in templates.contamination(docs, items).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}

@@ -142,3 +142,31 @@ def test_bases_in_two_levels(spark, monkeypatch):
     totals = spark.createDataFrame([(n, n * n) for n in range(23)], "part int, total long")
     got = {r["part"]: r["base"] for r in packing.part_bases(totals).collect()}
     assert got == {n: sum(k * k for k in range(n)) for n in range(23)}
+
+
+def test_an_unbroken_text_keeps_the_transducer_small(monkeypatch):
+    """States are dropped inside one text, and its count is the library's."""
+    monkeypatch.setattr(transducer, "MOST_TRANSITIONS", 5000)
+    monkeypatch.setattr(transducer, "STEP", 100)
+    monkeypatch.setattr(transducer, "MOST_ALLOWED", 1000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, machine = Tokenizer.from_file(path), transducer.Transducer(path)
+    rng = random.Random(2)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150_000))
+    mixed = "".join(rng.choice("abXY01-_é'") for _ in range(90_000))
+    for text in (letters, mixed, letters[:70_000] + " " + mixed[:3000]):
+        assert machine.count(text) == len(library.encode(text).ids)
+        assert machine.transitions <= 5100 and len(machine.merges.allowed) <= 1000
+    assert all(len(piece) <= transducer.LONGEST_MACRO for piece in machine.macros)
+
+
+def test_long_pieces_of_letters_and_digits(monkeypatch):
+    monkeypatch.setattr(encoding, "LONG", 50)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, pieces = Tokenizer.from_file(path), encoding.Pieces(path)
+    rng = random.Random(3)
+    for kind in ("abc012", "aZ9+/=", "éa1<|endoftext|>", "a1 "):
+        text = "".join(rng.choice(kind) for _ in range(4000))
+        ids = np.frombuffer(pieces.encode(text), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+    assert all(len(piece) <= encoding.LONGEST_PIECE for piece in pieces)
