@@ -1,0 +1,119 @@
+"""Tables that follow appended logs equal a full rebuild."""
+
+import glob
+import os
+
+import pytest
+
+from emberlog.plans.lake import BRONZE, TABLES, Lake, run
+from emberlog.streaming import refresh as module
+from emberlog.streaming.bronze import append_bronze
+from emberlog.streaming.refresh import read_refreshed, refresh
+from tests.logs import CLUSTER, app_start, golden_events, job_start, write_log
+
+
+def comparable(df):
+    return sorted(str(r) for r in df.drop("ingested_at", "source_file").collect())
+
+
+class Logs:
+    def __init__(self, spark, folder):
+        self.spark, self.root = spark, folder / "logs"
+        self.logs, self.lake = str(self.root), str(folder / "lake")
+        self.rebuilt, self.folder = 0, folder
+
+    def advance(self, **options):
+        append_bronze(self.spark, self.logs, CLUSTER, self.lake)
+        return refresh(self.spark, self.lake, **options)
+
+    def equal(self, *names):
+        """Every table equals the one made from all logs at once."""
+        self.rebuilt += 1
+        whole = Lake(self.spark, str(self.folder / f"whole{self.rebuilt}"))
+        run(self.spark, self.logs, CLUSTER, whole.root)
+        for name in names or TABLES:
+            if name != BRONZE:
+                got = read_refreshed(self.spark, self.lake, name)
+                expected = whole.read(name)
+                assert got.columns == expected.columns, name
+                assert comparable(got) == comparable(expected), name
+
+    def files(self, name):
+        found = glob.glob(f"{self.lake}/by_bucket/{name}/version=*/app_bucket=*")
+        return {os.path.relpath(f, self.lake) for f in found}
+
+
+def app_log(logs, number, events, name="run/eventlog"):
+    return write_log(logs.root, events, app=f"app-{number}", name=name)
+
+
+def test_refresh_equals_a_rebuild_and_leaves_other_buckets(spark, tmp_path, monkeypatch):
+    logs = Logs(spark, tmp_path)
+    assert refresh(spark, logs.lake) == 0
+    events = golden_events()
+    half = len(events) // 2
+    app_log(logs, 1, events)
+    app_log(logs, 2, events[:half])
+    first = logs.advance(buckets=5)
+    assert first >= 1
+    logs.equal()
+    assert logs.advance() == 0
+
+    before = logs.files("gold_stage_performance")
+    # The rest of one application comes with another file; a new application starts.
+    app_log(logs, 2, events[half:], name="run/eventlog2")
+    app_log(logs, 3, [app_start(), *events[3:]])
+    assert 1 <= logs.advance() <= 2
+    logs.equal()
+    # A refresh writes its own version and touches nothing of earlier ones.
+    assert before <= logs.files("gold_stage_performance")
+
+
+def test_a_refresh_that_died_is_repeated(spark, tmp_path, monkeypatch):
+    logs = Logs(spark, tmp_path)
+    app_log(logs, 1, golden_events())
+    logs.advance(buckets=2)
+    app_log(logs, 4, golden_events()[:20])
+    written = []
+    plain = module._write
+
+    def dies(df, root, name, *more):
+        written.append(name)
+        if name == "gold_job_performance":
+            raise RuntimeError("lost")
+        plain(df, root, name, *more)
+
+    monkeypatch.setattr(module, "_write", dies)
+    with pytest.raises(RuntimeError):
+        logs.advance()
+    seen = read_refreshed(spark, logs.lake, "silver_job_events")
+    assert {r["app_id"] for r in seen.select("app_id").distinct().collect()} == {"app-1"}
+    monkeypatch.setattr(module, "_write", plain)
+    assert logs.advance() == 1
+    logs.equal("silver_job_events", "gold_job_performance", "gold_application_summary")
+
+
+def test_compaction_restates_its_application(spark, tmp_path):
+    logs = Logs(spark, tmp_path)
+    app = "eventlog_v2_local-6"
+
+    def roll(number, jobs, suffix=""):
+        events = [app_start(app="local-6")] * (number == 1 or bool(suffix))
+        events += [job_start(n, 1000 * n, []) for n in jobs]
+        return write_log(logs.root, events, app, name=f"events_{number}_local-6{suffix}")
+
+    app_log(logs, 1, golden_events())
+    first, second = roll(1, [1]), roll(2, [2])
+    logs.advance(buckets=3)
+    first.unlink(), second.unlink()
+    roll(2, [2], ".compact")  # the finished job 1 is not kept
+    roll(3, [3])
+    logs.advance()
+    jobs = read_refreshed(spark, logs.lake, "gold_job_performance").where("app_id = 'local-6'")
+    assert sorted(r["job_id"] for r in jobs.collect()) == [2]
+    roll(4, [4])
+    logs.advance()
+    jobs = read_refreshed(spark, logs.lake, "gold_job_performance").where("app_id = 'local-6'")
+    assert sorted(r["job_id"] for r in jobs.collect()) == [2, 3]
+    golden = read_refreshed(spark, logs.lake, "gold_stage_performance").where("app_id = 'app-1'")
+    assert golden.count() > 0
