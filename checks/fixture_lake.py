@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from checks.adapter import CLUSTER, event_lines
 from emberlog.plans.lake import BRONZE, TABLES, Lake, write_bronze, write_table
 from emberlog.session import checkpoint_root
+from emberlog.sources.eventlog import app_id_from_path, log_path
 from emberlog.sources.quality import TABLE_RULES, drop_bad_rows
 
 _written: dict[tuple[str, str], set[str]] = {}
@@ -43,3 +44,27 @@ def computed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = TABLES[name]
     df = table.build(*[written(spark, sf_dir, i) for i in table.inputs])
     return drop_bad_rows(df, TABLE_RULES.get(name, ()))
+
+
+def registered(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
+    """Views of the tables by name; the prefix of the views' names."""
+    for name in names:
+        written(spark, sf_dir, name)
+    lake, _ = _lake(spark, sf_dir)
+    prefix = f"t{hashlib.sha256(sf_dir.encode()).hexdigest()[:8]}_"
+    lake.register_views(prefix)
+    return prefix
+
+
+def log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of log files as text, a sub-folder per application; made on first use."""
+    with _lock:
+        lake, done = _lake(spark, sf_dir)
+        root = f"{lake.root}/logs"
+        if "log files" not in done:
+            tagged = event_lines(spark, sf_dir).withColumn("app", app_id_from_path("source_file"))
+            tagged.drop("source_file").write.mode("overwrite").partitionBy("app").text(
+                log_path(root, CLUSTER)
+            )
+            done.add("log files")
+    return root

@@ -358,6 +358,7 @@ def executor_analysis(
     )
 
 
+# Output columns in their order.
 BOTTLENECK_COLUMNS = """
     cluster_id app_id job_id stage_id stage_name status severity bottleneck_type
     duration_ms num_tasks task_skew_ratio gc_overhead_pct disk_spill_mb memory_spill_mb

@@ -68,6 +68,7 @@ def jobs_by_submit_time(jobs: DataFrame) -> DataFrame:
 
 
 def stage_dataset(stages: DataFrame) -> DataFrame:
+    # Output columns in their order.
     return stages.select(
         "cluster_id",
         "app_id",
@@ -118,6 +119,7 @@ def stage_dataset(stages: DataFrame) -> DataFrame:
 
 
 def executor_dataset(executors: DataFrame) -> DataFrame:
+    # Output columns in their order.
     return executors.select(
         "cluster_id",
         "app_id",

@@ -169,6 +169,7 @@ def run_metrics(run, gc, disk=0, memory=0, read=100 * MIB, gc_name="jvmGarbageCo
     return {name: str(value) for name, value in values.items()}
 
 
+# The golden scenario, whose results are known.
 # Stage -> job, start offset, duration, task duration, spacing, GC share in percent of the
 # tasks and of the stage, extra task and stage values.
 GOLDEN = {
