@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from emberlog import schemas as S
+from emberlog.plans import lake as lake_module
 from emberlog.plans.lake import BRONZE, ROW_GROUP_ROWS, ROW_GROUP_TEXT, Lake, write_bronze
 from tests.logs import CLUSTER
 
@@ -52,3 +53,35 @@ def test_row_groups_follow_the_text(spark, written, event):
 def test_every_row_is_there(spark, written):
     counts = {r.event_kind: r["count"] for r in written.read(BRONZE).groupBy("event_kind").count().collect()}
     assert counts == {event: rows for event, rows, _ in SHAPES}
+
+
+def test_lines_are_neither_shuffled_nor_sorted(spark, tmp_path, monkeypatch):
+    plans = []
+    writer = lake_module._bronze_writer
+    monkeypatch.setattr(lake_module, "_bronze_writer", lambda df: plans.append(df) or writer(df))
+    lines = spark.range(1000, numPartitions=4).selectExpr(
+        """to_json(named_struct('Event', 'SparkListenerTaskEnd', 'x', id)) AS value""",
+        "'file:/logs/c/eventlog/app-1/log' AS source_file",
+    )
+    lake = Lake(spark, str(tmp_path))
+    write_bronze(lake, lines, CLUSTER)
+    assert len(plans) == 1
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    # The JSON is made once and not again for a filter.
+    assert plan.count("StructsToJsonEvaluator") == 1
+    assert lake.read(BRONZE).count() == 1000
+    for file in glob.glob(f"{lake.path(BRONZE)}/*/*.parquet"):
+        assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_crumbs_of_rare_kinds_are_gathered(spark, tmp_path):
+    lines = spark.range(2000, numPartitions=40).selectExpr(
+        """concat('{"Event":"', if(id % 2 = 0, 'SparkListenerJobStart', 'x'), '"}') AS value""",
+        "'file:/logs/c/eventlog/app-1/log' AS source_file",
+    )
+    lake = Lake(spark, str(tmp_path))
+    write_bronze(lake, lines, CLUSTER)
+    files = glob.glob(f"{lake.path(BRONZE)}/*/*.parquet")
+    assert len(files) <= 4 and lake.read(BRONZE).count() == 2000
+    assert {f.split("event_kind=")[1].split("/")[0] for f in files} == {S.JOB_START, S.OTHER_EVENT}
