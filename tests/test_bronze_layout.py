@@ -5,6 +5,7 @@ import glob
 import pyarrow.parquet as pq
 import pytest
 
+from checks.fixture_lake import log_folder
 from emberlog import schemas as S
 from emberlog.plans import lake as lake_module
 from emberlog.plans.lake import BRONZE, ROW_GROUP_ROWS, ROW_GROUP_TEXT, Lake, write_bronze
@@ -85,3 +86,13 @@ def test_crumbs_of_rare_kinds_are_gathered(spark, tmp_path):
     files = glob.glob(f"{lake.path(BRONZE)}/*/*.parquet")
     assert len(files) <= 4 and lake.read(BRONZE).count() == 2000
     assert {f.split("event_kind=")[1].split("/")[0] for f in files} == {S.JOB_START, S.OTHER_EVENT}
+
+
+def test_log_files_are_compressed_and_few(spark):
+    folder = log_folder(spark, "/root/testdata/sf0.001")
+    files = glob.glob(f"{folder.removeprefix('file:')}/**/part-*", recursive=True)
+    apps = {file.split("app=")[1].split("/")[0] for file in files}
+    assert files and all(file.endswith(".gz") for file in files)
+    # Tasks, stages, jobs, executors and the application itself; the texts and SQL
+    # executions are dealt to the first five applications in as many files as tasks.
+    assert len(files) <= 5 * len(apps) + 5 * 2 * spark.sparkContext.defaultParallelism
