@@ -5,6 +5,7 @@ import glob
 import pyarrow.parquet as pq
 import pytest
 
+from checks.adapter import event_lines
 from checks.fixture_lake import log_folder
 from emberlog import schemas as S
 from emberlog.plans import lake as lake_module
@@ -96,3 +97,14 @@ def test_log_files_are_compressed_and_few(spark):
     # Tasks, stages, jobs, executors and the application itself; the texts and SQL
     # executions are dealt to the first five applications in as many files as tasks.
     assert len(files) <= 5 * len(apps) + 5 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_lines_of_tasks_and_stages_read_one_shuffle(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = event_lines(spark, "/root/testdata/sf0.001")
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    reused = [line for line in plan.split("\n") if "ReusedExchange" in line and "l_partkey" in line]
+    assert len(reused) == 1
