@@ -1,8 +1,10 @@
 """Near copies by word shingles: one document of each group of similar texts stays.
 
 Texts are sets of the hashes of their five-word shingles; two are linked if the sets'
-Jaccard similarity is 0.8 or more. Distinct sets meet at ``BANDS`` MinHash keys of
-``ROWS`` minima: at similarity s a pair misses all of them with probability
+Jaccard similarity is 0.8 or more. Candidates come from two sides: operator 4 links the
+sets' SimHash fingerprints that are within its three bits, exactly, and as sets of
+similarity 0.8 mostly differ in more bits than that, distinct sets also meet at ``BANDS``
+MinHash keys of ``ROWS`` minima: at similarity s a pair misses all of them with probability
 (1 - s^ROWS)^BANDS, 1.1e-4 at 0.8 and 7e-11 at 0.9. Keys are loose, half of the pairs at
 0.54 share one, so the members of a key are first compared by a sketch of all minima, a
 byte each: fewer than LEAST_AGREEING equal ones, and a pair is out (at 0.8 five in a
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import join_hot, map_batches, worker_cache, written
 from emberlog.llm.components import components
+from emberlog.llm.simhash import link_fingerprints, majority
 
 SHINGLE = 5
 LEAST_SIMILARITY = 0.8
@@ -85,8 +88,8 @@ def signed(code: int) -> int:
 
 
 def signatures(docs: DataFrame, *carried: str) -> DataFrame:
-    """The carried columns, ``code`` that stands for the set of shingles, its keys and its
-    sketch; a set without members has neither."""
+    """The carried columns, ``code`` that stands for the set of shingles, its SimHash
+    fingerprint ``fp``, its keys and its sketch; a set without members has none of these."""
 
     def make():
         from xxhash import xxh64_intdigest
@@ -97,6 +100,7 @@ def signatures(docs: DataFrame, *carried: str) -> DataFrame:
             least = [minima(s) if len(s) else None for s in sets]
             return out | {
                 "code": [signed(xxh64_intdigest(s.tobytes(), SEED)) for s in sets],
+                "fp": [signed(majority(s)) if len(s) else None for s in sets],
                 "keys": [[] if m is None else band_keys(m) for m in least],
                 "sketch": [b"" if m is None else (m >> np.uint64(24)).astype(np.uint8).tobytes()
                            for m in least],
@@ -106,7 +110,7 @@ def signatures(docs: DataFrame, *carried: str) -> DataFrame:
 
     types = dict(docs.dtypes)
     schema = "".join(f"`{c}` {types[c]}, " for c in carried)
-    schema += "code long, keys array<long>, sketch binary"
+    schema += "code long, fp long, keys array<long>, sketch binary"
     return map_batches(docs.select(*carried, "text"), make, schema)
 
 
@@ -247,11 +251,29 @@ def group_links(members: DataFrame, kind: type[Sets] | type[Sketches], size: Col
     return links.unionByName(settled).unionByName(met.applyInArrow(verify, LINKS))
 
 
+def fingerprint_links(codes: DataFrame) -> DataFrame:
+    """(a, b): links that connect the codes whose fingerprints operator 4 connects.
+    ``codes`` is a written table with a row per code; NULL fingerprints have no links."""
+    known = codes.where("fp IS NOT NULL").select("fp", "code")
+    of_print = known.groupBy("fp").agg(F.min("code").alias("first"), F.count(F.lit(1)).alias("n"))
+    of_print = written(of_print, "fingerprints")
+    equal = join_hot(known, of_print.where("n > 1"), "fp", codes.count())
+    links = written(link_fingerprints(of_print.select("fp")), "fingerprint-links")
+    firsts = of_print.select(F.col("fp").alias("a"), "first")
+    ends = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(firsts, "a")
+    near = join_hot(links, ends, "a", links.count()).select(F.col("first").alias("a"), "b")
+    near = near.join(of_print.selectExpr("fp AS b", "first"), "b")
+    return near.selectExpr("a", "first AS b").unionByName(
+        equal.where("code <> first").selectExpr("first AS a", "code AS b")
+    )
+
+
 def grouped_codes(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """(code, root) for every code that is linked to a smaller one. ``rows`` has the
-    key, code and keys of ``docs``; both should be written tables."""
+    key and signatures of ``docs``; both should be written tables."""
     codes = rows.groupBy("code").agg(
         F.min(key).alias("one"),
+        F.first("fp").alias("fp"),
         F.first("keys").alias("keys"),
         F.first("sketch").alias("held"),
     )
@@ -263,6 +285,7 @@ def grouped_codes(rows: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     meeting = join_hot(keyed, shared, "root", total).select("root", "code")
     meeting = written(meeting.join(codes.select("code", "held"), "code"), "band-members")
     likely = group_links(meeting, Sketches, F.count(F.lit(1)) / BLOCK)
+    likely = likely.unionByName(fingerprint_links(codes))
     found = written(components(written(likely.distinct(), "likely")), "candidates")
     both = found.select("node", "root").unionByName(
         found.select(F.col("root").alias("node"), "root").distinct()

@@ -41,12 +41,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     spans = zip(starts[:count].tolist(), ends[-count:].tolist())
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in spans), "<u8", count)
+    return majority(
+        np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in spans), "<u8", count)
+    )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; of no hashes zero."""
     set_bits = np.zeros(64, np.int64)
-    for at in range(0, count, HASHES):
+    for at in range(0, len(hashes), HASHES):
         part = hashes[at : at + HASHES].view(np.uint8).reshape(-1, 8)
         set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > count, bitorder="little").view("<u8")[0])
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:

@@ -118,3 +118,22 @@ def test_links_of_a_hot_node_are_not_gathered(spark):
     links = spark.createDataFrame(rows, "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {n: 0 for n in range(1, 4000)} | {n: 10_000 for n in range(10_001, 10_301)}
+
+
+def test_operator_4_links_sets_that_share_no_minhash_key(spark):
+    rng = random.Random(11)
+    base = " ".join(f"w{n}" for n in range(600))
+    texts = [base, base + " end", "first " + base, base.replace("w300 ", "")]
+    texts += [" ".join(f"x{rng.randrange(9000)}" for _ in range(200)) for _ in range(5)]
+    texts += ["", None]
+    prints = [simhash.majority(minhash.shingles(t)) for t in texts]
+    assert all((prints[0] ^ p).bit_count() <= simhash.MOST_BITS for p in prints[1:4])
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    rows = minhash.signatures(docs, "row").cache()
+    codes = [r["code"] for r in rows.orderBy("row").collect()]
+    # Each set has a key of its own.
+    apart = rows.withColumn("keys", F.when(F.size("keys") > 0, F.array("code")).otherwise(F.array()))
+    found = minhash.grouped_codes(minhash.written(apart, "apart"), docs, "row").collect()
+    assert {(r["code"], r["root"]) for r in found} == {
+        (c, min(codes[:4])) for c in codes[:4] if c != min(codes[:4])
+    }
