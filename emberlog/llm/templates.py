@@ -47,7 +47,9 @@ UNITS = frozenset(
     months year years dollar dollars euro euros cent cents
     """.split()
 )
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n%$€£]")
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[.!?\n%$€£]")
+# The same tokens of a text in ASCII, without a look at each character's category.
+ASCII_TOKEN = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*|[0-9]+(?:[.,:/][0-9]+)*|[.!?\n%$]")
 
 WORD, NAME, NUMBER, UNIT, END = range(5)
 
@@ -77,7 +79,8 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, slots, plain) per word: the word's or its placeholder's hash; what stands
     behind a placeholder, 0 for a word; the word's own hash."""
     words = worker_cache(("template words",), Words)
-    tokens = TOKEN.findall(text or "")
+    text = text or ""
+    tokens = (ASCII_TOKEN if text.isascii() else TOKEN).findall(text)
     codes = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
     kinds = codes & 7
     after_end = np.concatenate([[True], kinds[:-1] == END])
@@ -98,17 +101,22 @@ def windows(codes: np.ndarray, width: int = WINDOW) -> np.ndarray:
     if not len(codes):
         return np.zeros(0, np.int64)
     span = min(width, len(codes))
-    values = codes.view(np.uint64)
+    values = folded(codes.view(np.uint64))
     return mixed([values[n : len(values) - span + 1 + n] for n in range(span)], span)
 
 
+def folded(values: np.ndarray) -> np.ndarray:
+    return values ^ (values >> np.uint64(29))
+
+
 def mixed(steps: Iterable[np.ndarray], seed: int) -> np.ndarray:
-    """A hash per column of the steps."""
+    """A hash per column of the steps, which are folded."""
     total = None
     for step in steps:
         if total is None:
             total = np.full(len(step), seed, np.uint64)
-        total = (total ^ (step ^ (step >> np.uint64(29)))) * np.uint64(0xA24BAED4963EE407)
+        total ^= step
+        total *= np.uint64(0xA24BAED4963EE407)
         total ^= total >> np.uint64(32)
     return total.view(np.int64)
 
@@ -149,7 +157,8 @@ def wide_windows(
         held = (starts >= 0) & (ends <= size) & (widths <= (widest or size))
         hashes = spans(codes, starts[held], ends[held])
         seeds = (widths[held] | side << 32).astype(np.uint64)
-        found.append((mixed([seeds, hashes], 0), places[held], starts[held], widths[held]))
+        steps = [folded(seeds), folded(hashes)]
+        found.append((mixed(steps, 0), places[held], starts[held], widths[held]))
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
@@ -160,24 +169,25 @@ def text_windows(
     had to be widened, then of the plain words' windows where they differ, with width 0.
     ``slots`` are those of the text's words."""
     codes, slots, plain = template(text)
-    hashes, own = windows(codes), windows(plain)
+    hashes = windows(codes)
     if not len(hashes):
         return hashes, hashes, hashes, hashes, slots
     span = min(WINDOW, len(codes))
     places = np.arange(len(hashes))
     known = np.concatenate([[0], np.cumsum(slots == 0)])
-    enough = known[span:] - known[:-span] >= min(LEAST_WORDS, span)
-    differ = hashes != own
+    words = known[span:] - known[:-span]
+    enough = words >= min(LEAST_WORDS, span)
+    differ = np.flatnonzero(words < span)
+    words_own = folded(plain.view(np.uint64))
+    own = mixed([words_own[differ + n] for n in range(span)], span)
     wide = [np.zeros(0, np.int64)] * 4
     if not enough.all():
         wide = wide_windows(codes, slots, widest)
     return (
-        np.concatenate([hashes[enough], wide[0], own[differ]]),
-        np.concatenate([places[enough], wide[1], places[differ]]),
-        np.concatenate([places[enough], wide[2], places[differ]]),
-        np.concatenate(
-            [np.full(int(enough.sum()), span), wide[3], np.zeros(int(differ.sum()), np.int64)]
-        ),
+        np.concatenate([hashes[enough], wide[0], own]),
+        np.concatenate([places[enough], wide[1], differ]),
+        np.concatenate([places[enough], wide[2], differ]),
+        np.concatenate([np.full(int(enough.sum()), span), wide[3], np.zeros(len(differ), np.int64)]),
         slots,
     )
 

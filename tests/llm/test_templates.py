@@ -116,3 +116,21 @@ def test_a_number_dense_item_is_found_with_other_numbers(spark):
     )
     got = {r.doc_id: r.contaminated for r in templates.contamination(docs, items).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_words_of_ascii_texts_are_those_of_any_text():
+    rng = random.Random(3)
+    signs = ["ab", "Cd", "7", "19", "'", "_", ".", ",", ":", "/", "!", "?", "\n", "%", "$", " ", "-"]
+    for _ in range(3_000):
+        text = "".join(rng.choices(signs, k=rng.randrange(30)))
+        assert templates.ASCII_TOKEN.findall(text) == templates.TOKEN.findall(text)
+
+
+def test_plain_windows_are_made_only_where_a_placeholder_stands():
+    text = "the red box holds 12 apples and then five more boxes came to Anna by train today"
+    hashes, places, _, widths, slots = templates.text_windows(text)
+    plain = templates.windows(templates.template(text)[2])
+    held = {int(p): int(h) for h, p, w in zip(hashes, places, widths) if w == 0}
+    with_slots = [n for n in range(len(plain)) if slots[n : n + templates.WINDOW].any()]
+    assert sorted(held) == with_slots and 0 < len(with_slots) < len(plain)
+    assert all(held[n] == plain[n] for n in with_slots)
