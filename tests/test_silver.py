@@ -5,6 +5,7 @@ import json
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from emberlog.functions.metrics import all_found, first_found
 from emberlog.plans.lake import TABLES, build_tables
 from emberlog.sources.eventlog import tag_events
 from emberlog.sources.quality import TABLE_RULES, count_violations, drop_bad_rows
@@ -219,3 +220,33 @@ def test_ids_of_the_fixture_stay_small(spark):
     jobs = named.groupBy("k", "o_custkey").agg(F.expr(JOB_ID).alias("job"))
     assert jobs.select("k", "job").distinct().count() == jobs.count()
     assert jobs.where("try_cast(job AS int) IS NULL").count() == 0
+
+
+def test_metric_lookups_stay_small_enough_to_be_compiled(spark):
+    """The JVM does not compile methods of 8,000 bytes or more."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = spark.createDataFrame([("{}", "file")], "value string, source_file string")
+        stages = build_tables(tag_events(lines, CLUSTER), ["silver_stage_events"])
+        code = stages["silver_stage_events"]._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [code.apply(n)._3().maxMethodCodeSize() for n in range(code.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8_000
+
+
+def test_lists_of_names_are_looked_up_as_one_by_one(spark):
+    entries = "map<string,string>"
+    rows = spark.createDataFrame(
+        [({"a": "1", "c": "3"},), ({"b": "2", "a": "x"},), ({"b": None},), ({},), (None,)],
+        f"m {entries}",
+    )
+    wanted = [("a",), ("a", "b"), ("c",), ("d", "c")]
+    got = rows.select(
+        all_found(F.col("m"), wanted).alias("all"),
+        F.array(*[first_found(F.col("m"), names) for names in wanted]).alias("each"),
+    ).collect()
+    assert [row["all"] for row in got] == [row["each"] for row in got]
+    assert [row["all"] for row in got] == [
+        [1, 1, 3, 3], [None, 2, 0, 0], [0, None, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0],
+    ]
