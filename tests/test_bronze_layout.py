@@ -5,7 +5,7 @@ import glob
 import pyarrow.parquet as pq
 import pytest
 
-from checks.adapter import event_lines
+from checks.adapter import _executors, _orders, event_lines
 from checks.fixture_lake import log_folder
 from emberlog import schemas as S
 from emberlog.plans import lake as lake_module
@@ -108,3 +108,23 @@ def test_lines_of_tasks_and_stages_read_one_shuffle(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     reused = [line for line in plan.split("\n") if "ReusedExchange" in line and "l_partkey" in line]
     assert len(reused) == 1
+
+
+def test_executors_cross_the_join_as_one_row_for_each_order(spark, tmp_path):
+    orders = [(1, 5), (2, 6), (3, 5), (10_003, 5), (4, None)]
+    items = [
+        (1, 1, 7), (1, 1, 7), (1, 7, 3), (1, 3, 19), (1, 2, 39), (2, 1, None), (2, None, 8),
+        (3, 1, -3), (3, 2, 20), (10_003, 1, 18), (4, 1, 2), (9, 1, 1), (None, 1, 1),
+    ]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").selectExpr(
+        "*", "'F' AS o_orderstatus", "timestamp_ntz'1995-01-01 00:00:00' AS o_orderdate"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(
+        items, "l_orderkey long, l_linenumber int, l_suppkey long"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    executors = _executors(spark, str(tmp_path), _orders(spark, str(tmp_path)))
+    got = {tuple(row) for row in executors.where("k IS NOT NULL").collect()}
+    assert got == {(0, 7), (0, 0), (0, 19), (1, None), (1, 8), (0, -3), (5, 18)}
+    assert executors.where("k IS NOT NULL").count() == len(got)
+    plan = executors._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in plan and "l_suppkey" not in plan.split("SortMergeJoin")[0]
