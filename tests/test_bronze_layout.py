@@ -1,9 +1,11 @@
 """Row groups of written Bronze, as the Parquet footers state them."""
 
 import glob
+import time
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from checks.adapter import _executors, _orders, event_lines
 from checks.fixture_lake import log_folder
@@ -128,3 +130,65 @@ def test_executors_cross_the_join_as_one_row_for_each_order(spark, tmp_path):
     assert executors.where("k IS NOT NULL").count() == len(got)
     plan = executors._jdf.queryExecution().executedPlan().toString()
     assert "partial_bit_or" in plan and "l_suppkey" not in plan.split("SortMergeJoin")[0]
+
+
+TEXT_LINES = """to_json(named_struct('Event', 'SparkListenerTaskEnd', 'run', id * 7919 % 100003,
+    'cpu', id * 7919 % 100003 * 508000, 'id', id)) AS value"""
+
+
+def _shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    before = _shuffle_files(spark)
+    lines = spark.range(20_000).repartition(5, "id").selectExpr(
+        TEXT_LINES, "'file:/logs/c/eventlog/app-1/log' AS source_file"
+    )
+    lake = Lake(spark, str(tmp_path))
+    write_bronze(lake, lines, CLUSTER)
+    lake.write("sums", spark.range(1000).groupBy((F.col("id") % 10).alias("g")).count())
+    assert lake.read(BRONZE).where("length(value) > 0").collect() and lake.read("sums").collect()
+    for _ in range(50):  # files go in the background
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before
+    # The rows may be used again, and the session is as it was.
+    assert lines.count() == 20_000
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(name) == "false"
+
+
+def test_text_is_stored_smaller_than_at_the_usual_level(spark, tmp_path, monkeypatch):
+    lines = spark.range(60_000, numPartitions=2).selectExpr(
+        TEXT_LINES, "'file:/logs/c/eventlog/app-1/log' AS source_file"
+    )
+
+    def size(name):
+        lake = Lake(spark, f"{tmp_path}/{name}")
+        write_bronze(lake, lines, CLUSTER)
+        files = glob.glob(f"{lake.path(BRONZE)}/*/*.parquet")
+        return sum(pq.ParquetFile(f).metadata.row_group(0).column(0).total_compressed_size for f in files)
+
+    now = size("now")
+    monkeypatch.setattr(lake_module, "TEXT_LEVEL", 3)
+    assert now < size("usual")
+
+
+def test_tasks_that_write_text_read_small_partitions(spark, tmp_path, monkeypatch):
+    name, sizes = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+    writer = lake_module._bronze_writer
+    monkeypatch.setattr(
+        lake_module, "_bronze_writer", lambda df: sizes.append(spark.conf.get(name)) or writer(df)
+    )
+    usual = spark.conf.get(name)
+    lines = spark.range(10).selectExpr(TEXT_LINES, "'file:/logs/c/eventlog/app-1/log' AS source_file")
+    write_bronze(Lake(spark, str(tmp_path)), lines, CLUSTER)
+    assert sizes == [lake_module.SHUFFLED_FOR_TEXT] and spark.conf.get(name) == usual
+
+
+def test_line_items_are_shuffled_once_for_the_join(spark):
+    plan = event_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    assert "RoundRobinPartitioning" not in plan.toString()
