@@ -192,3 +192,15 @@ def test_tasks_that_write_text_read_small_partitions(spark, tmp_path, monkeypatc
 def test_line_items_are_shuffled_once_for_the_join(spark):
     plan = event_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
     assert "RoundRobinPartitioning" not in plan.toString()
+
+
+def test_lines_get_no_dictionary(spark, tmp_path):
+    lines = spark.range(2000, numPartitions=1).selectExpr(
+        TEXT_LINES, "'file:/logs/c/eventlog/app-1/log' AS source_file"
+    )
+    lake = Lake(spark, str(tmp_path))
+    write_bronze(lake, lines, CLUSTER)
+    (file,) = glob.glob(f"{lake.path(BRONZE)}/*/*.parquet")
+    columns = [pq.ParquetFile(file).metadata.row_group(0).column(n) for n in (0, 1)]
+    found = [{e for e in c.encodings if "DICTIONARY" in e} for c in columns]
+    assert columns[0].path_in_schema == "value" and not found[0] and found[1]
