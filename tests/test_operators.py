@@ -202,6 +202,43 @@ def test_profile_of_a_stage_of_a_million_tasks_is_exact(spark):
             assert row[name] == ordered[math.ceil(fraction * len(ordered)) - 1]
 
 
+def test_few_values_are_put_in_order_and_not_sketched(spark, monkeypatch):
+    draw = random.Random(11)
+    groups = {"a": 300, "b": 40, None: 39, "c": 1, "d": 41}
+    rows = [
+        (k, draw.choice([None, draw.randrange(-50, 50)]), draw.randrange(9))
+        for k, n in groups.items()
+        for _ in range(n)
+    ]
+    df = spark.createDataFrame([*rows, ("e", None, 1)], "k string, v long, w int")
+    fractions = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    spreads = [Spread("v", fractions, "lo", "hi", "mean"), Spread("w", {"w50": 0.5})]
+
+    def profile():
+        return distribution_profile(df, ["k"], spreads, [F.sum("w").alias("s")], exact=True)
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    few = profile()
+    assert "percentile_approx" not in plan(few)
+    monkeypatch.setattr("emberlog.operators.distribution.SKETCH_ROWS", 40)
+    for made in (few, profile()):
+        got = {row["k"]: row for row in made.collect()}
+        assert len(got) == made.count() == 6
+        for k, row in got.items():
+            own = [r for r in [*rows, ("e", None, 1)] if r[0] == k]
+            values = sorted(v for _, v, _ in own if v is not None)
+            for name, fraction in fractions.items():
+                place = max(math.ceil(fraction * len(values)), 1) - 1
+                assert row[name] == (values[place] if values else None)
+            assert (row["lo"], row["hi"]) == ((values[0], values[-1]) if values else (None, None))
+            assert row["mean"] == (pytest.approx(statistics.mean(values)) if values else None)
+            others = sorted(w for _, _, w in own)
+            assert row["w50"] == others[math.ceil(0.5 * len(others)) - 1]
+            assert row["s"] == sum(others)
+
+
 def test_peer_load(spark):
     loads = {"a": [10, 20, 60], "b": [5], "c": [0, 0]}
     rows = [(g, i, v) for g, vs in loads.items() for i, v in enumerate(vs)]
