@@ -1,6 +1,7 @@
 """Spellings of the log format, missing and malformed values, quality rules."""
 
 import json
+import re
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -250,3 +251,14 @@ def test_lists_of_names_are_looked_up_as_one_by_one(spark):
     assert [row["all"] for row in got] == [
         [1, 1, 3, 3], [None, 2, 0, 0], [0, None, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0],
     ]
+
+
+def test_stage_metrics_need_no_map_and_one_lambda_for_all_texts(spark):
+    lines = spark.createDataFrame([("{}", "file")], "value string, source_file string")
+    stages = build_tables(tag_events(lines, CLUSTER), ["silver_stage_events"])
+    plan = stages["silver_stage_events"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from" not in plan and "map_contains_key" not in plan
+    assert "array_position(" in plan
+    # Only where the texts become numbers; the lookups beside it are compiled.
+    lambdas = {found for found in re.findall(r"lambdafunction\(.*?\)", plan) if "array_position" in found}
+    assert not lambdas
