@@ -1,6 +1,8 @@
 """Row groups of written Bronze, as the Parquet footers state them."""
 
 import glob
+import gzip
+import os
 import time
 
 import pyarrow.parquet as pq
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from checks.adapter import _executors, _orders, event_lines
 from checks.fixture_lake import log_folder
 from emberlog import schemas as S
+from emberlog.operators.distribution import Spread, distribution_profile
 from emberlog.plans import lake as lake_module
 from emberlog.plans.lake import BRONZE, ROW_GROUP_ROWS, ROW_GROUP_TEXT, Lake, write_bronze
 from tests.logs import CLUSTER
@@ -204,3 +207,34 @@ def test_lines_get_no_dictionary(spark, tmp_path):
     columns = [pq.ParquetFile(file).metadata.row_group(0).column(n) for n in (0, 1)]
     found = [{e for e in c.encodings if "DICTIONARY" in e} for c in columns]
     assert columns[0].path_in_schema == "value" and not found[0] and found[1]
+
+
+def test_log_files_are_not_compressed_at_the_usual_level(spark):
+    folder = log_folder(spark, "/root/testdata/sf0.001")
+    files = glob.glob(f"{folder.removeprefix('file:')}/**/part-*.gz", recursive=True)
+    largest = max(files, key=os.path.getsize)
+    with open(largest, "rb") as file:
+        text = gzip.decompress(file.read())
+    assert len(gzip.compress(text, 6)) < os.path.getsize(largest) < len(text) / 2
+
+
+def test_many_different_numbers_of_a_table_are_stored_as_differences(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    lake.write("numbers", spark.range(0, 300_000, 1, 1).selectExpr("id", "id % 7 AS few"))
+    (file,) = glob.glob(f"{tmp_path}/numbers/*.parquet")
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    assert "DELTA_BINARY_PACKED" in group.column(0).encodings
+    assert group.column(0).total_compressed_size < 300_000
+    assert lake.read("numbers").agg(F.sum("id"), F.sum("few")).first() == (44_999_850_000, 899_997)
+
+
+def test_counting_large_groups_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    df = spark.range(1000).selectExpr("id % 10 AS k", "id AS v")
+    profile = distribution_profile(df, ["k"], [Spread("v", {"p50": 0.5})], exact=True)
+    for _ in range(50):  # files go in the background
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before
+    assert profile.count() == 10
