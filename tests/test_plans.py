@@ -138,3 +138,10 @@ def test_concurrency_shuffles_by_id_once(spark):
     # No id is frequent here, so what would count such ids is gone when the plan has run.
     plan = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert len(set(re.findall(r" Exchange .*plan_id=(\d+)", plan))) <= 9
+
+
+def test_intervals_are_shuffled_by_id_before_they_are_doubled(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id % 500 AS n", "id AS s", "id + 5 AS e")
+    plan = optimised(interval_concurrency(df, ["k"], "n", "s", "e")).split("\n")
+    doubled = [n for n, line in enumerate(plan) if "Generate explode" in line and "_starts" in line]
+    assert doubled and "RepartitionByExpression [k" in "".join(plan[doubled[0] : doubled[0] + 3])
