@@ -145,3 +145,13 @@ def test_intervals_are_shuffled_by_id_before_they_are_doubled(spark):
     plan = optimised(interval_concurrency(df, ["k"], "n", "s", "e")).split("\n")
     doubled = [n for n, line in enumerate(plan) if "Generate explode" in line and "_starts" in line]
     assert doubled and "RepartitionByExpression [k" in "".join(plan[doubled[0] : doubled[0] + 3])
+
+
+def test_after_the_counts_rows_are_together_by_id(spark, small_skew):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id % 500 AS n", "id AS s", "id + 5 AS e")
+    counted = interval_concurrency(df, ["k"], "n", "s", "e")
+    plan = final_plan(counted.groupBy("k", "n", "s").agg(F.sum("concurrent_at_start")))
+    exchanges = re.findall(r" Exchange hashpartitioning\((.*?)\)", plan.split("Initial Plan")[0])
+    columns = [re.findall(r"(\w+)#", found) for found in exchanges]
+    assert ["k", "n"] in columns and ["k", "s"] in columns
+    assert ["k", "n", "s"] not in columns
